@@ -35,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids (8 bytes each) are broadcast up to this many; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def small_or_not(ids: DataFrame) -> DataFrame:
+    """ids with a broadcast hint if they are few enough; a row holds an id and a flag at most."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

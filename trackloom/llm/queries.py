@@ -2,14 +2,22 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontamination, mixing, sharding
+from trackloom.llm import decontamination, importance, lm_scoring, mixing, neardup, sharding
 from trackloom.llm.common import table
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bfd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100, depth=4)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents"))
 
@@ -18,7 +26,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = (op4_bfd_sharding, op6_source_mixing, op9_decontamination)
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_importance_resampling, op4_bfd_sharding, op5_lsh_forest, op6_source_mixing, op9_decontamination, op10_bloom_lm)
 
 
 def queries() -> dict:
