@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontamination, importance, lm_scoring, mixing, neardup, sharding
+from trackloom.llm import decontamination, html_text, importance, lm_scoring, mixing, neardup, sharding, toxicity
 from trackloom.llm.common import table
 
 
@@ -10,6 +10,14 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bfd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -30,7 +38,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_importance_resampling, op4_bfd_sharding, op5_lsh_forest, op6_source_mixing, op9_decontamination, op10_bloom_lm)
+QUERIES = (op1_importance_resampling, op2_block_rules, op3_lexicon_automata, op4_bfd_sharding, op5_lsh_forest, op6_source_mixing, op9_decontamination, op10_bloom_lm)
 
 
 def queries() -> dict:
