@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontamination, html_text, importance, lm_scoring, mixing, neardup, sharding, toxicity
+from trackloom.llm import decontamination, html_text, importance, lm_scoring, media, mixing, neardup, sharding, toxicity, warc
 from trackloom.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents"))
 
 
+def op7_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.load(media.store(table(spark, sf_dir, "documents")))
+
+
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +46,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_importance_resampling, op2_block_rules, op3_lexicon_automata, op4_bfd_sharding, op5_lsh_forest, op6_source_mixing, op9_decontamination, op10_bloom_lm)
+QUERIES = (op1_importance_resampling, op2_block_rules, op3_lexicon_automata, op4_bfd_sharding, op5_lsh_forest, op6_source_mixing, op7_lossless_webp, op8_arc_to_warc, op9_decontamination, op10_bloom_lm)
 
 
 def queries() -> dict:
@@ -46,4 +54,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_source_mixing": mixing.ORACLE, "op9_decontamination": decontamination.ORACLE}
+    return {"op6_source_mixing": mixing.ORACLE, "op8_arc_to_warc": warc.ORACLE, "op9_decontamination": decontamination.ORACLE}
