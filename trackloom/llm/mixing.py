@@ -34,8 +34,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     full = F.coalesce(F.sum("stop").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_w = F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
     total = F.sum("source_size").over(everything).cast("double") * share
-    x = x.withColumn("level", (total - full) / open_w)
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
+    x = x.withColumn("level", (total - full) / open_w).withColumn("rank", F.row_number().over(by_ratio))
+    # the first source, in order, that its level doesn't fill, and all after it stay below their stops
+    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("rank", "level"))).over(everything)["level"]
     return x.withColumn("target", F.least("stop", F.coalesce(level, F.lit(float("inf"))) * F.col("w"))).select("src", "source_size", "target")
 
 
@@ -80,8 +81,10 @@ WITH r AS (SELECT doc_id, source AS src, len(regexp_extract_all(coalesce(text, '
 k AS (SELECT *, floor(sqrt(size::DOUBLE))::BIGINT AS lc, ('0x' || substr(h, 1, 4))::BIGINT % 64 AS sub FROM r),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM k GROUP BY src),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS stop FROM s),
-f AS (SELECT *, stop / w AS ratio, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(stop) OVER (ORDER BY stop / w, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY stop / w, src NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT src, source_size, least(stop, coalesce((SELECT min(level) FROM f WHERE level <= ratio), 'inf'::DOUBLE) * w) AS target FROM f),
+x AS (SELECT *, stop / w AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM w),
+e AS (SELECT min(a.ratio) AS ratio FROM x a WHERE (SELECT sum(least(b.stop, a.ratio * b.w)) FROM x b) >= a.total),
+l AS (SELECT (max(total) - coalesce(sum(stop) FILTER (x.ratio < e.ratio), 0)) / sum(w) FILTER (x.ratio >= e.ratio) AS level FROM x, e),
+t AS (SELECT src, source_size, least(stop, coalesce(level, 'inf'::DOUBLE) * w) AS target FROM x, l),
 p AS (SELECT k.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS each_row, ('0x' || substr(md5('mix|' || coalesce('s' || k.src, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u,
   row_number() OVER (PARTITION BY k.src ORDER BY lc, sub, size, h, doc_id) AS place FROM k JOIN t ON k.src IS NOT DISTINCT FROM t.src)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (least(floor(u + each_row * place) - floor(u + each_row * (place - 1)), ceil(each_row)) * size)::BIGINT AS taken,
