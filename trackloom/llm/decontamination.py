@@ -13,7 +13,7 @@ adds one candidate for each occurrence. Copies of a text are looked up as often
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, lower_ascii
+from trackloom.llm.common import cut, lower_ascii, small_or_not
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows go to the executors in blocks of this many at most; the documents are read once for each block.
@@ -60,6 +60,32 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"])
 
 
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _search(docs: DataFrame, items: DataFrame, item_id_col: str, item_text_col: str, n: int) -> DataFrame | None:
+    """(k, start, len, items) of every occurrence in the texts of docs; None if there is no window at all."""
+    windows = cut(windows_of(items, item_id_col, item_text_col, n))
+    blocks = -(-windows.count() // BLOCK_WINDOWS)
+    texts = docs.select(_key(F.col("text")).alias("k"), words_of(F.col("text")).alias("w"))
+    found = None
+    for b in range(blocks):
+        part = windows if blocks == 1 else cut(windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b))
+        part = occurrences(texts, part)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
+    """The rows of docs, with their columns, whose texts hold no window of any item."""
+    found = _search(docs.select(F.col(text_col).alias("text")), items, item_id_col, item_text_col, n)
+    if found is None:
+        return docs
+    keys = cut(found.select(F.col("k").alias("_contaminated")).distinct())
+    return docs.join(small_or_not(keys), _key(F.col(text_col)) == F.col("_contaminated"), "left_anti")
+
+
 def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs.
 
@@ -75,15 +101,8 @@ RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 def tagged(docs: DataFrame, items: DataFrame, *, item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
     """docs (with a column text) and the columns RESULTS."""
-    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    windows = cut(windows_of(items, item_id_col, item_text_col, n))
-    blocks = -(-windows.count() // BLOCK_WINDOWS)
-    texts = docs.select(key.alias("k"), words_of(F.col("text")).alias("w"))
-    found = None
-    for b in range(blocks):
-        part = windows if blocks == 1 else cut(windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b))
-        part = occurrences(texts, part)
-        found = part if found is None else found.unionByName(part)
+    key = _key(F.col("text"))
+    found = _search(docs, items, item_id_col, item_text_col, n)
     if found is None:
         per_text = docs.sparkSession.createDataFrame([], "k binary, n_hit long, item_ids array<string>")
     else:

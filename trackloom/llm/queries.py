@@ -1,5 +1,6 @@
 """The registered queries over the operators of this folder, with their DuckDB SQL where SQL can express them."""
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm import decontamination, html_text, importance, lm_scoring, media, mixing, neardup, sharding, toxicity, warc
@@ -46,7 +47,11 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_importance_resampling, op2_block_rules, op3_lexicon_automata, op4_bfd_sharding, op5_lsh_forest, op6_source_mixing, op7_lossless_webp, op8_arc_to_warc, op9_decontamination, op10_bloom_lm)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = (op1_importance_resampling, op2_block_rules, op3_lexicon_automata, op4_bfd_sharding, op5_lsh_forest, op6_source_mixing, op7_lossless_webp, op8_arc_to_warc, op9_decontamination, op10_bloom_lm, pipeline)
 
 
 def queries() -> dict:

@@ -108,7 +108,7 @@ def _pack_level(level: DataFrame, chunks: int, room: list[float], all_bytes: int
     """Groups (key, piece, bytes) -> with shard; chunk c has its part bytes(c) / all_bytes of every bin's room."""
     bins = len(room)
 
-    def chunk(key, part: pd.DataFrame) -> pd.DataFrame:
+    def chunk(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["bytes", "key", "piece"], ascending=[False, True, True])
         share = int(part.bytes.sum()) / max(all_bytes, 1)
         turn = int(key[0]) * 7919 % bins  # chunks break ties at different bins
