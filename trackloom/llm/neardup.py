@@ -7,8 +7,11 @@ depth that pairs at the threshold share with probability `threshold ** depth` in
 
 Candidates are drawn region by region, only between classes not yet in one component:
 * a region of at most SMALL classes gives all its pairs;
-* a larger one gives each class with one seeded leader, and is then divided by the next label value (adaptive
+* a larger (dense) one gives each class with one leader, and is then divided by the next label value (adaptive
   depth) and treated likewise; at the full depth all pairs between different components are taken.
+In dense regions pairs that can't be linked are left out by an exact bound: a shingle that only one class of all
+dense regions has is private to it, and what two classes share is at most either one's shingles that aren't. The
+class with the fewest private shingles, the middle of its region, leads.
 After each depth the candidates are verified on the full sets (sizes first), and components grow by the links found.
 A pair inside a component adds nothing to components, so leaving it out loses no component.
 
@@ -116,6 +119,19 @@ def _linked(num: int, den: int):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        keys = pa.array(np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(keys), pa.array(np.concatenate(sets))], ["key", "shingle"])
+
+
+def _private(sets: DataFrame) -> DataFrame:
+    """(key, u): how many shingles of a class no other class has; classes without any are left out."""
+    once = sets.select("key", "set").mapInArrow(_exploded, "key binary, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("key").alias("key")).filter("c = 1")
+    return once.groupBy("key").agg(F.count("*").alias("u"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, depth: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; documents are linked if den * common >= num * union.
 
@@ -140,19 +156,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = texts.join(small_or_not(cut(members.select("rep").distinct())), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = sets.select("text").mapInArrow(_sets(width), "key binary, set binary")
     sets = cut(sets.join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")))
+    dense = forest.groupBy("tree", at(depth)).agg(F.count("*").alias("m")).filter(F.col("m") > SMALL)
+    crowd = cut(forest.withColumn("prefix", at(depth)).join(dense.drop("m"), ["tree", "prefix"]).select("key").distinct())
+    private = cut(_private(sets.join(small_or_not(crowd), "key", "left_semi")))
     roots = None  # (node, root): classes that aren't their component's smallest
-    live = forest.withColumn("root", F.col("key"))
+    live = forest.join(private, "key", "left").withColumn("u", F.coalesce("u", F.lit(0))).withColumn("root", F.col("key"))
+
+    def fits(n1, n2):  # sizes too unlike can't be linked
+        return den * F.least(n1, n2) >= num * F.greatest(n1, n2)
+
+    def bound(x: str, y: str):  # within dense regions
+        both = F.least(F.col(f"{x}n") - F.col(f"{x}u"), F.col(f"{y}n") - F.col(f"{y}u"))
+        return den * both >= num * (F.col(f"{x}n") + F.col(f"{y}n") - both)
+
     for d in range(depth, DEPTH + 1):
         live = live.withColumn("prefix", at(d))
-        leader = F.min_by(F.struct("key", "n", "root"), F.xxhash64("key", F.lit(d), "tree")).alias("leader")
+        leader = F.min_by(F.struct("key", "n", "u", "root"), F.struct(F.col("u") / F.col("n"), F.xxhash64("key", F.lit(d), "tree"))).alias("leader")
         regions = live.groupBy("tree", "prefix").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), leader).filter("r0 <> r1")
         live = cut(live.join(regions.drop("r0", "r1"), ["tree", "prefix"]))
         small = F.col("m") <= (SMALL if d < DEPTH else 2**62)
         x, y = live.filter(small).alias("x"), live.filter(small).alias("y")
-        pairs = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.prefix") == F.col("y.prefix")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")))
-        fits = lambda p, q: den * F.least(p, q) >= num * F.greatest(p, q)  # noqa: E731  sizes too unlike can't be linked
-        pairs = pairs.filter(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        stars = live.filter(~small & (F.col("root") != F.col("leader.root")) & fits(F.col("n"), F.col("leader.n")))
+        same = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.prefix") == F.col("y.prefix")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+        same = same & fits(F.col("x.n"), F.col("y.n"))
+        pairs = x.join(y, same & bound("x.", "y.") if d > depth else same).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+        stars = live.filter(~small & (F.col("root") != F.col("leader.root")) & fits(F.col("n"), F.col("leader.n")) & bound("", "leader."))
         stars = stars.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b"))
         pairs = pairs.unionByName(stars).distinct()
         pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
@@ -161,7 +188,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         roots = components(edges if roots is None else edges.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         if d == DEPTH:
             break
-        live = live.filter(~small).select("tree", "label", "key", "n")
+        # on go dense regions, without classes whose private shingles rule out any link
+        live = live.filter(~small & (den * (F.col("n") - F.col("u")) >= num * F.col("n"))).select("tree", "label", "key", "n", "u")
         live = cut(live.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
         if live.isEmpty():
             break
