@@ -1,18 +1,18 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of all pairs and triples of tokens in the training texts are quantised on a logarithmic scale of base BASE:
-q(c) = 1 + floor(log_BASE(c)). An n-gram goes into the filter together with each of the numbers 1..q. Scoring probes
-with 1, 2, ... until a probe misses; the last hit gives the count, as the lower end of its step in numerators and
-the upper end in denominators, so that quantisation alone never makes a ratio too large. A false hit can only
-overstate a count; it takes HASHES set bits by chance.
-
-The filter's size follows the entries (BITS for each) up to MAX_BITS; every n-gram enters it at any size, and beyond
-the bound the rate of false hits rises instead ((1 - exp(-HASHES * entries / bits)) ** HASHES, logged with the
-filter). It is built in segments by many tasks, and what is broadcast is MAX_BITS / 8 bytes at most.
-
-The probability of a token interpolates triples, pairs and single tokens (weights by hold-free constants MIX):
-p(w | u v) = m3 * c(u v w) / c(u v) + m2 * c(v w) / c(v) + m1 * (c(w) + 1) / (N + 1 * (V + 1)),
-a part whose context was never seen hands its weight to the next shorter one. The single tokens' counts are exact.
+Counts of all pairs of neighbouring tokens in the training texts are quantised on a logarithmic scale of base BASE:
+q(c) = 1 + floor(log_BASE(c)). A pair goes into the filter together with each of the numbers 1..q. Scoring probes
+with 1, 2, ... until a probe misses; the last hit gives the count as the lower end of its step, so quantisation
+alone never makes a ratio too large. A false hit can only overstate a count; it takes HASHES set bits by chance.
+
+Counting and filter are dealt by the leading bits of the hashes: tasks send sorted (hash, count) blocks to buckets,
+one shuffle; a bucket merges them and sets the bits of its own slice of the filter. The filter's size follows the
+training tokens (BITS for each, which no number of entries exceeds) up to MAX_BITS; every pair enters it at any
+size, and beyond the bound the rate of false hits rises instead, as (1 - exp(-HASHES * entries / bits)) ** HASHES.
+What is broadcast is MAX_BITS / 8 bytes at most.
+
+p(w | v) = SEEN * c(v w) / c(v) + (1 - SEEN) * (c(w) + 1) / (N + 1 * (V + 1)); after a token never seen in training the
+second part has all the weight. The single tokens' counts are exact.
 """
 
 from collections.abc import Iterator
@@ -25,21 +25,19 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import cut, fold_of
 
-BASE, HASHES, BITS, MAX_BITS = 2.0, 4, 12, 1 << 30
-SEGMENT = 1 << 20
-#: Single-token counts are broadcast up to this many tokens; with more of them, they are looked up by a join.
-BROADCAST_TOKENS = 400_000
-MIX = (0.45, 0.35, 0.2)
-START, END = 0x5354415254, 0x454E44
+BASE, HASHES, BITS, MAX_BITS, LEAST_BITS, SEEN = 2.0, 4, 12, 1 << 29, 1 << 20, 0.4
+#: Single-token counts (16 bytes each) are broadcast up to this many tokens; beyond it they are looked up by a join.
+BROADCAST_TOKENS = 10_000_000
+START, END = 0x9D5354415254, 0x7B9C5354454E44F1
 
 
 class TokenHashes(dict):
-    """word -> 62-bit hash, remembered for up to a million words."""
+    """word -> 64-bit hash, remembered for up to a million words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word) >> 2
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
     def of(self, text: str) -> np.ndarray:
@@ -56,17 +54,14 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
     for p in parts:
         h = (h ^ p) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    return h
+    return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def ngrams(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of (v), (v w), (u v w) for each token w of texts laid end to end; starts marks the texts' first tokens."""
-    v, u = np.roll(tokens, 1), np.roll(tokens, 2)
-    v[starts] = START
-    second = starts + 1
-    u[starts] = START + 1
-    u[second[second < len(tokens)]] = START
-    return v, _mix(v, tokens), _mix(u, v, tokens)
+def pairs(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The hash of each token with the one before it, of texts laid end to end; starts marks their first tokens."""
+    before = np.roll(tokens, 1)
+    before[starts] = START
+    return _mix(before, tokens)
 
 
 def _lay(hashes: TokenHashes, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,101 +70,103 @@ def _lay(hashes: TokenHashes, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), starts.astype(np.int64)
 
 
-class _Tally:
-    """Counts of hashes, merged now and then so that memory follows the distinct ones; give() empties it."""
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    heads = np.nonzero(np.r_[True, k[1:] != k[:-1]])[0] if len(k) else np.zeros(0, np.int64)
+    return k[heads], (np.add.reduceat(c, heads) if len(k) else c)
 
-    def __init__(self, most: int = 1 << 20):
-        self.waiting, self.n, self.most = [], 0, most
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def add(self, h: np.ndarray) -> None:
-        self.waiting.append(h)
-        self.n += len(h)
-        if self.n >= self.most:
-            self.merge()
+def _blocks(bucket_bits: int, two: bool, most: int = 3_000_000):
+    """Training texts -> (bucket, keys, counts): sorted distinct hashes of tokens, or of pairs, and their counts."""
 
-    def merge(self) -> None:
-        if self.waiting:
-            k, c = np.unique(np.concatenate(self.waiting), return_counts=True)
-            both = np.concatenate([self.keys, k])
-            self.keys, at = np.unique(both, return_inverse=True)
-            self.counts = np.bincount(at, np.concatenate([self.counts, c]), len(self.keys)).astype(np.int64)
-            self.waiting, self.n = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, waiting, n = TokenHashes(), [], 0
+
+        def give() -> pa.RecordBatch:
+            k, c = np.unique(np.concatenate(waiting), return_counts=True)
+            bucket = (k >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            heads = np.nonzero(np.r_[True, bucket[1:] != bucket[:-1]])[0]
+            ends = [*heads[1:], len(k)]
+            columns = [pa.array(bucket[heads], pa.int32())] + [pa.array([x[i:j].tobytes() for i, j in zip(heads, ends, strict=True)], pa.binary()) for x in (k, c.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "counts"])
 
-    def give(self, kind: int) -> Iterator[pa.RecordBatch]:
-        self.merge()
-        for at in range(0, len(self.keys), 100_000):
-            k, c = self.keys[at : at + 100_000].view(np.int64), self.counts[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(c)], ["kind", "h", "c"])
-        self.__init__(self.most)
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(0)]
+            for at in range(0, len(texts), 256):
+                tokens, starts = _lay(hashes, texts[at : at + 256])
+                waiting.append(pairs(tokens, starts) if two else tokens)
+                n += len(tokens)
+                if n >= most:
+                    yield give()
+                    waiting, n = [], 0
+        if n:
+            yield give()
+
+    return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training texts -> partial counts of tokens (kind 1), pairs and triples (kind 2)."""
-    hashes, one, more = TokenHashes(), _Tally(), _Tally()
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The buckets of one task, each merged."""
+    found: dict[int, tuple[list, list]] = {}
     for batch in batches:
-        texts = [t.as_py() or "" for t in batch.column(0)]
-        for at in range(0, len(texts), 256):
-            tokens, starts = _lay(hashes, texts[at : at + 256])
-            _, two, three = ngrams(tokens, starts)
-            one.add(tokens)
-            more.add(two)
-            more.add(three)
-            if len(more.keys) > 2_000_000:
-                yield from more.give(2)
-    yield from one.give(1)
-    yield from more.give(2)
-
-
-def _places(keys: np.ndarray, level: int, mask: int) -> np.ndarray:
-    """HASHES x keys bit positions for (key, level)."""
+        for bucket, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            k, c = found.setdefault(bucket, ([], []))
+            k.append(np.frombuffer(keys.as_py(), np.uint64))
+            c.append(np.frombuffer(counts.as_py(), np.int64))
+    for bucket in list(found):
+        yield bucket, *_merged(*found.pop(bucket))
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket, k, c in _by_bucket(batches):
+        row = [[bucket], [k.tobytes()], [c.tobytes()], [len(k)], [int(c.sum())]]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["bucket", "keys", "counts", "v", "n"])
+
+
+def _places(keys: np.ndarray, level: int, slice_mask: int) -> np.ndarray:
+    """HASHES x keys bit positions of (key, level) in a slice."""
     a = _mix(keys, np.full(len(keys), level, np.uint64))
     b = (a >> np.uint64(32)) | np.uint64(1)
-    return (a + np.arange(HASHES, dtype=np.uint64)[:, None] * b * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(mask)
+    return (a + np.arange(HASHES, dtype=np.uint64)[:, None] * b) & np.uint64(slice_mask)
 
 
-def _entries(mask: int):
-    """(h, c) -> (segment, places in the segment as packed 32-bit numbers)."""
+def quantised(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            q = 1 + np.floor(np.log(c) / np.log(BASE) + 1e-9).astype(int)
-            found = [_places(h[q >= level], level, mask).ravel() for level in range(1, (q.max() if len(q) else 0) + 1)]
-            if not found:
-                continue
-            at = np.unique(np.concatenate(found))
-            segment = (at // np.uint64(SEGMENT)).astype(np.int64)
-            heads = np.concatenate([[0], np.nonzero(np.diff(segment))[0] + 1, [len(at)]])
-            bits = [(at[i:j] % np.uint64(SEGMENT)).astype(np.uint32).tobytes() for i, j in zip(heads[:-1], heads[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(segment[heads[:-1]]), pa.array(bits, pa.binary())], ["segment", "bits"])
 
-    return run
+def _slices(slice_bits: int):
+    """(bucket, keys, counts) blocks -> (bucket, bits): the filter's slice of each bucket."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, k, c in _by_bucket(batches):
+            q, bits = quantised(c), np.zeros(slice_bits, bool)
+            for level in range(1, int(q.max()) + 1):
+                bits[_places(k[q >= level], level, slice_bits - 1).ravel()] = True
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
 
-def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one task's segments -> one bitmap for each segment."""
-    maps: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for segment, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = maps.setdefault(segment, np.zeros(SEGMENT, bool))
-            found[np.frombuffer(bits.as_buffer(), np.uint32)] = True
-    for segment, found in maps.items():
-        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
+    return run
 
 
 class Filter:
     """The log-frequency Bloom filter, read-only."""
 
-    def __init__(self, bits: bytes):
-        self.bytes, self.mask = np.frombuffer(bits, np.uint8), len(bits) * 8 - 1
+    def __init__(self, bits: bytes, bucket_bits: int):
+        self.bytes, self.shift = np.frombuffer(bits, np.uint8), np.uint64(64 - bucket_bits)
+        self.slice_bits = len(bits) * 8 >> bucket_bits
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """q of each key: 0 if unseen."""
         q, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         while len(alive):
+            k = keys[alive]
+            offset = (k >> self.shift) * np.uint64(self.slice_bits)
             hit = np.ones(len(alive), bool)
-            for at in _places(keys[alive], level, self.mask):
+            for at in _places(k, level, self.slice_bits - 1):
+                at = at + offset
                 hit &= (self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             alive = alive[hit]
             q[alive] = level
@@ -177,27 +174,17 @@ class Filter:
         return q
 
 
-def log_probabilities(filter_: Filter, tokens: np.ndarray, starts: np.ndarray, c: np.ndarray, c_before: np.ndarray, n: int, v: int, texts: int) -> np.ndarray:
+def log_probabilities(filter_: Filter, tokens: np.ndarray, starts: np.ndarray, c: np.ndarray, c_before: np.ndarray, n: int, v: int) -> np.ndarray:
     """log10 p of each token. c, c_before: exact counts of the tokens and of those before them."""
-    _, two, three = ngrams(tokens, starts)
-    unique, at = np.unique(np.concatenate([two, three]), return_inverse=True)
+    unique, at = np.unique(pairs(tokens, starts), return_inverse=True)
     q = filter_.levels(unique)[at]
-    q2, q3 = q[: len(two)], q[len(two) :]
-    low = lambda q: np.where(q > 0, BASE ** (q - 1.0), 0.0)
-    # the pair before a token is the pair that ends there; before a text's first token stands the start of all texts
-    q_before = np.roll(q2, 1)
-    high = np.where(q_before > 0, BASE**q_before.astype(float), 0.0)
-    high[starts] = texts
-    seen3, seen2 = high > 0, c_before > 0
-    p3 = np.minimum(1.0, low(q3) / np.where(seen3, high, 1.0))
-    p2 = np.minimum(1.0, low(q2) / np.where(seen2, c_before, 1.0))
-    m3 = np.where(seen3, MIX[0], 0.0)
-    m2 = np.where(seen2, MIX[1] + MIX[0] - m3, 0.0)
-    m1 = 1.0 - m3 - m2
-    return np.log10(m3 * p3 + m2 * p2 + m1 * (c + 1) / (n + 1 * (v + 1)))
-
-
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2) -> DataFrame:
+    seen = c_before > 0
+    p2 = np.where(q > 0, np.minimum(1.0, BASE ** (q - 1.0) / np.where(seen, c_before, 1)), 0.0)
+    weight = np.where(seen, SEEN, 0.0)
+    return np.log10(weight * p2 + (1 - weight) * (c + 1) / (n + 1 * (v + 1)))
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     A null or wordless text has one token, its end; null ids fall into the fold of the empty text; rows with equal
@@ -207,37 +194,46 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     sc = spark.sparkContext
     texts = docs.select(F.col(id_col).alias("doc_id"), (fold_of(id_col, modulus) == held_out).alias("held_out"), F.col(text_col).alias("text"))
     train = texts.filter("NOT held_out").select("text")
-    counts = cut(train.mapInArrow(_count, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c")))
-    steps = 1 + F.floor(F.log(BASE, F.col("c").cast("double")) + 1e-9)
-    facts = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(steps).alias("entries")).collect()}
-    n, v = (facts[1]["n"], facts[1]["v"]) if 1 in facts else (0, 0)
-    entries = facts[2]["entries"] if 2 in facts else 0
-    size = SEGMENT
-    while size < min(entries * BITS, MAX_BITS):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block = "bucket int, keys binary, counts binary"
+    # buckets enough that one of them, merged, stays small in a task
+    bucket_bits = max(8, (16 * train.rdd.getNumPartitions()).bit_length())
+    single = train.mapInArrow(_blocks(bucket_bits, False), block).repartition(tasks, "bucket").mapInArrow(_tables, block + ", v long, n long")
+    single = cut(single)
+    v, n = single.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size = LEAST_BITS
+    while size < min(n * BITS, MAX_BITS):
         size *= 2
-    rows = counts.filter("kind = 2").select("h", "c").mapInArrow(_entries(size - 1), "segment long, bits binary")
-    segments = size // SEGMENT
-    rows = rows.repartition(min(segments, 64), "segment").mapInArrow(_segment, "segment long, bits binary")
-    bitmap = bytearray(size // 8)
-    for segment, bits in rows.toLocalIterator():
-        bitmap[segment * SEGMENT // 8 : (segment + 1) * SEGMENT // 8] = bits
-    bloom = sc.broadcast(bytes(bitmap))
+    pair_bits = max(8, min((n >> 22).bit_length() + 6, size.bit_length() - 11))
+    slices = train.mapInArrow(_blocks(pair_bits, True), block).repartition(tasks, "bucket").mapInArrow(_slices(size >> pair_bits), "bucket int, bits binary")
+    bitmap, each = bytearray(size // 8), size >> pair_bits >> 3
+    for bucket, bits in slices.toLocalIterator():
+        bitmap[bucket * each : (bucket + 1) * each] = bits
+    bloom = sc.broadcast((bytes(bitmap), pair_bits))
     del bitmap
-    end_count = counts.filter((F.col("kind") == 1) & (F.col("h") == END)).select("c").first()
-    n_texts = end_count[0] if end_count else 0
-    single = counts.filter("kind = 1").select("h", "c")
-    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if v <= BROADCAST_TOKENS:
-        table = single.toPandas().sort_values("h")
-        known = sc.broadcast((table["h"].to_numpy(np.int64).tobytes(), table["c"].to_numpy(np.int64).tobytes()))
+    ends = single.filter(F.col("bucket") == END >> (64 - bucket_bits)).select("keys", "counts").first()
+    n_texts = int(_lookup(np.frombuffer(ends[0], np.uint64), np.frombuffer(ends[1], np.int64), np.array([END], np.uint64))[0]) if ends else 0
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if v <= broadcast_tokens:
+        # buckets are the leading bits, so their tables in order are one sorted table
+        tables = sorted(single.select("bucket", "keys", "counts").toLocalIterator())
+        known = sc.broadcast((b"".join(t[1] for t in tables), b"".join(t[2] for t in tables)))
+        del tables
         return texts.mapInArrow(_score_all(bloom, known, n, v, n_texts), schema)
     # too many tokens to broadcast: each text's distinct tokens fetch their counts, which come back beside the text
     rows = cut(texts.withColumn("_u", F.monotonically_increasing_id()))
     wanted = rows.select("_u", "text").mapInArrow(_distinct, "_u long, h long")
-    fetched = wanted.join(single, "h").groupBy("_u").agg(F.collect_list(F.struct("h", "c")).alias("counts"))
+    fetched = wanted.join(single.select("keys", "counts").mapInArrow(_pieces, "h long, c long"), "h").groupBy("_u").agg(F.collect_list(F.struct("h", "c")).alias("counts"))
     return rows.join(fetched, "_u", "left").select("doc_id", "held_out", "text", "counts").mapInArrow(_score_all(bloom, None, n, v, n_texts), schema)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.int64))], ["h", "c"])
+
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = TokenHashes()
     for batch in batches:
@@ -255,27 +251,28 @@ def _lookup(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndar
 
 def _score_all(bloom, known, n: int, v: int, n_texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, filter_ = TokenHashes(), Filter(bloom.value)
+        hashes, filter_ = TokenHashes(), Filter(*bloom.value)
         if known is not None:
-            keys, counts = (np.frombuffer(x, np.int64) for x in known.value)
+            keys, counts = np.frombuffer(known.value[0], np.uint64), np.frombuffer(known.value[1], np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 tokens, starts = _lay(hashes, [t.as_py() or "" for t in part.column(2)])
                 if known is not None:
                     unique, back = np.unique(tokens, return_inverse=True)
-                    c = _lookup(keys, counts, unique.view(np.int64))[back]
+                    c = _lookup(keys, counts, unique)[back]
                 else:
                     ends = [*starts[1:], len(tokens)]
                     c = np.zeros(len(tokens), np.int64)
                     for i, j, got in zip(starts, ends, part.column(3), strict=True):
-                        got = sorted((x["h"], x["c"]) for x in got.as_py() or [])
+                        got = [(x["h"], x["c"]) for x in got.as_py() or []]
                         k, m = (np.array(x, np.int64) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 2
-                        c[i:j] = _lookup(k, m, tokens[i:j].view(np.int64))
+                        order = np.argsort(k.view(np.uint64))
+                        c[i:j] = _lookup(k.view(np.uint64)[order], m[order], tokens[i:j])
                 before = np.roll(c, 1)
                 before[starts] = n_texts
                 base = np.log10((c + 1) / (n + 1 * (v + 1)))
-                each = log_probabilities(filter_, tokens, starts, c, before, n, v, n_texts)
+                each = log_probabilities(filter_, tokens, starts, c, before, n, v)
                 add = lambda x: np.add.reduceat(x, starts)
                 sizes = np.diff([*starts, len(tokens)])
                 columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(starts), n), pa.int64()), pa.array(add(base)), pa.array(add(each))]
