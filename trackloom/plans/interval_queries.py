@@ -185,7 +185,7 @@ SELECT event_id, round(CASE WHEN found THEN m ELSE t END, 3) AS mark, found FROM
 b AS (SELECT track, run_id, rs + 900 AS b FROM rs), x AS (SELECT b.track, run_id, b, arg_min(m, (abs(m - b), m)) AS m FROM b LEFT JOIN g ON g.track = b.track GROUP BY ALL)
 SELECT track, run_id, round(CASE WHEN abs(m - b) <= 7200 THEN m ELSE b END, 3) AS snapped, coalesce(abs(m - b) <= 7200, false) AS found FROM x"""),
     "interval_coverage": (interval_coverage, f"""WITH {RUNSEC}, b AS (SELECT track, bin, bin * 21600.0::DOUBLE AS s, (bin + 1) * 21600.0::DOUBLE AS e FROM (SELECT DISTINCT track FROM rs), range(120) r(bin))
-SELECT b.track, bin::INT AS bin, round(least(coalesce(sum(greatest(0, least(e, re) - greatest(s, rs))), 0) / 21600, 1), 4) AS coverage FROM b LEFT JOIN rs ON rs.track = b.track AND s < re AND rs.rs < e GROUP BY b.track, bin"""),
+SELECT b.track, bin::INT AS bin, round(least(coalesce(sum(CASE WHEN re IS NULL THEN 0 ELSE greatest(0, least(e, re) - greatest(s, rs)) END), 0) / 21600, 1), 4) AS coverage FROM b LEFT JOIN rs ON rs.track = b.track AND s < re AND rs.rs < e GROUP BY b.track, bin"""),
     "point_in_interval": (point_in_interval, f"""WITH {RUNSEC} SELECT rs.track, run_id, count(*)::BIGINT AS n_closed, count(*) FILTER (value > 50)::BIGINT AS n_strong, count(*) FILTER (t < re)::BIGINT AS n_half_open
 FROM rs JOIN ev ON ev.track = rs.track AND t >= rs.rs AND t <= re GROUP BY rs.track, run_id HAVING count(*) FILTER (t < re) > 0"""),
     "stabbing_first": (stabbing_first, f"WITH {SESS} SELECT event_id, min(sid)::INT AS sid FROM ev JOIN ses ON ses.track = user_id AND t + 3600 >= s AND t + 3600 < e + 7200 GROUP BY event_id"),
