@@ -97,7 +97,7 @@ def char_lookup(spark, sf):
     order = Window.partitionBy("item_id").orderBy("wi").rowsBetween(Window.unboundedPreceding, -1)
     w = w.withColumn("c0", F.coalesce(F.sum(F.length("w")).over(order), F.lit(0)))
     chars = w.filter(F.length("w") > 0).select("item_id", "wi", "c0", F.posexplode(F.split("w", "")).alias("ci", "ch")).filter("ch <> ''")
-    return chars.filter((F.col("c0") + F.col("ci")) % 50 == 0).select("item_id", (F.col("c0") + F.col("ci")).cast("int").alias("pos"), "wi", "ci", "ch")
+    return chars.select("item_id", (F.col("c0") + F.col("ci")).cast("int").alias("pos"), "wi", "ci", "ch")
 
 
 def label_fallback(spark, sf):
@@ -196,7 +196,7 @@ FROM rs JOIN ev ON ev.track = rs.track AND t >= rs.rs AND t <= re GROUP BY rs.tr
 u AS (SELECT conv_id, turn, x[k] AS p, y[k] AS q FROM (SELECT *, unnest(range(1, least(len(x), len(y)) + 1)) AS k FROM z)) SELECT conv_id, turn, count(*)::BIGINT AS n, count(*) FILTER (p = q)::BIGINT AS n_equal FROM u GROUP BY conv_id, turn"""),
     "char_lookup": (char_lookup, """WITH w AS (SELECT item_id, unnest(range(len(ws)))::INT AS wi, unnest(ws) AS w FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark)),
 o AS (SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY item_id ORDER BY wi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS c0 FROM w),
-c AS (SELECT item_id, wi, c0, unnest(range(length(w)))::INT AS ci, w FROM o) SELECT item_id, c0 + ci AS pos, wi, ci, substr(w, ci + 1, 1) AS ch FROM c WHERE (c0 + ci) % 50 = 0"""),
+c AS (SELECT item_id, wi, c0, unnest(range(length(w)))::INT AS ci, w FROM o) SELECT item_id, c0 + ci AS pos, wi, ci, substr(w, ci + 1, 1) AS ch FROM c"""),
     "label_fallback": (label_fallback, "SELECT d.doc_id, coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, 'q' || quality::VARCHAR, CASE WHEN source <> 'src0' THEN source END, lang) AS label FROM documents d LEFT JOIN labels l USING (doc_id)"),
     "min_gap_repair": (min_gap_repair, f'WITH RECURSIVE {RUNS}, m(track, run_id, b) AS (SELECT track, run_id, "start" FROM runs WHERE run_id = 0 UNION ALL SELECT runs.track, runs.run_id, greatest(runs."start", m.b + 5) FROM m JOIN runs ON runs.track = m.track AND runs.run_id = m.run_id + 1) SELECT track, run_id, round(b, 3) AS b FROM m'),
     "running_max": (running_max, f"WITH {NR} SELECT track, f, max(y) OVER (PARTITION BY track ORDER BY f) AS m FROM nr"),
