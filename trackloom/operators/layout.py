@@ -43,7 +43,7 @@ def fill_in_line(words: DataFrame, keys: list[str], order: str, length: Column)
     st = lo + span * k / bucket
     en = F.least(lo + span * (k + 1) / bucket, st + 1.0 + 0.45 * F.greatest(length, F.lit(1)))
     both = F.col("_b").isNotNull() & F.col("_a").isNotNull()
-    start = F.when(both, st).when(F.col("_b").isNotNull(), lo).otherwise(F.greatest(hi - 0.45, F.lit(0.0)))
+    start = F.when(both, st).when(F.col("_b").isNotNull(), lo).when(F.col("_a").isNotNull(), F.greatest(hi - 0.45, F.lit(0.0)))
     end = F.when(both, en).when(F.col("_b").isNotNull(), lo + 0.45).otherwise(hi)
     missing = F.col("start").isNull()
     return x.withColumn("_s", F.when(missing, r3(start)).otherwise(F.col("start"))).withColumn("_e", F.when(missing, r3(end)).otherwise(F.col("end"))).withColumn("filled", missing).drop("start", "end", "_k", "_b", "_a").withColumnRenamed("_s", "start").withColumnRenamed("_e", "end")

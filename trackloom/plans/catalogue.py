@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("signal_queries", "interval_queries", "text_queries")
+MODULES: tuple[str, ...] = ("signal_queries", "interval_queries", "text_queries", "layout_queries")
 
 
 def _all() -> dict:
