@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # fixed values: character classes of the orthographies
 VOWELS = "aeiouy"
@@ -53,7 +54,7 @@ def runs_of(token: Column) -> Column:
     return F.regexp_extract_all(token, F.lit(f"([぀-ヿ]+|[{CJK}]+|[A-Za-zÀ-ɏ'’]+|[^぀-ヿ{CJK}A-Za-zÀ-ɏ'’]+)"), F.lit(1))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 

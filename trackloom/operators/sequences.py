@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
-@udtf(returnType="a int, b int, size int")
+@udtf(returnType=StructType([StructField(n, IntegerType()) for n in ("a", "b", "size")]))
 class MatchingBlocks:
     """Longest common blocks of two texts, recursively left and right of each; ends with (len a, len b, 0)."""
 
@@ -25,7 +26,8 @@ def peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
     heads = np.r_[0, np.nonzero(np.diff(x))[0] + 1]
     tails = np.r_[heads[1:] - 1, len(x) - 1]
     v = x[heads]
-    top = np.r_[False, (v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]), False] & (v >= height)
+    top = np.zeros(len(v), bool)
+    top[1:-1] = (v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]) & (v[1:-1] >= height)
     found = (heads[top] + tails[top]) // 2
     keep = np.ones(len(found), bool)
     for k in np.argsort(x[found], kind="stable")[::-1]:
