@@ -8,7 +8,11 @@ depth that pairs at the threshold share with probability `threshold ** depth` in
 Candidates are drawn region by region, only between classes not yet in one component:
 * a region of at most SMALL classes gives all its pairs;
 * a larger (dense) one gives each class with one leader, and is then divided by the next label value (adaptive
-  depth) and treated likewise; at the full depth all pairs between different components are taken.
+  depth) and treated likewise, down to the full depth;
+* what is then still apart in a dense region is compared by differences: B holds the shingles that most of the
+  region's classes have, D(x) is what x has beyond B or lacks of it. Since |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|,
+  a join on the elements of D, summed by pair, gives exact links; classes whose D have nothing in common are linked
+  only if both are near B, and then also with the class nearest to it, which all are compared with.
 In dense regions pairs that can't be linked are left out by an exact bound: a shingle that only one class of all
 dense regions has is private to it, and what two classes share is at most either one's shingles that aren't. The
 class with the fewest private shingles, the middle of its region, leads.
@@ -132,6 +136,38 @@ def _private(sets: DataFrame) -> DataFrame:
     return once.groupBy("key").agg(F.count("*").alias("u"))
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, key, n, u, root, set, common) -> the elements of set ^ common, each with their number."""
+    for batch in batches:
+        diffs = [np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.array(y.as_py(), np.int64)) for x, y in zip(batch.column(5), batch.column(6), strict=True)]
+        at = pa.array(np.repeat(np.arange(len(diffs), dtype=np.int32), [max(1, len(d)) for d in diffs]))
+        nd = pa.array([len(d) for d in diffs], pa.int64()).take(at)
+        # a class without any difference still counts: it gets one row of a null element
+        elements = pa.concat_arrays([pa.array(d) if len(d) else pa.nulls(1, pa.int64()) for d in diffs]) if diffs else pa.nulls(0, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(5)), nd, elements], ["c", "key", "n", "u", "root", "nd", "shingle"])
+
+
+def _links_by_difference(groups: DataFrame, sets: DataFrame, num: int, den: int, bound) -> tuple[DataFrame, DataFrame]:
+    """groups (c, key, n, u, root) -> ((a, b) pairs with the class nearest to the common set, exact links (u, v))."""
+    apart = groups.groupBy("c").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 <> r1")
+    groups = cut(groups.join(apart.select("c", "m"), "c"))
+    held = groups.join(sets, "key").select("c", "set").mapInArrow(_exploded, "key binary, shingle long")
+    common = held.groupBy(F.col("key").alias("c"), "shingle").count().join(apart.select("c", "m"), "c").filter(2 * F.col("count") > F.col("m"))
+    common = common.groupBy("c").agg(F.collect_list("shingle").alias("common"))
+    rows = groups.join(sets, "key").join(common, "c").select("c", "key", "n", "u", "root", "set", "common")
+    diffs = cut(rows.mapInArrow(_differences, "c binary, key binary, n long, u long, root binary, nd long, shingle long"))
+    nearest = diffs.groupBy("c").agg(F.min_by(F.struct("key", "root"), F.struct("nd", "key")).alias("y0"))
+    major = groups.groupBy("c", "root").count().groupBy("c").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
+    pairs = groups.join(nearest, "c").filter(F.col("root") != F.col("y0.root")).select(F.least("key", "y0.key").alias("a"), F.greatest("key", "y0.key").alias("b")).distinct()
+    x = diffs.join(major, "c").filter("root <> major").alias("x")
+    y = diffs.join(major, "c").alias("y")
+    on = (F.col("x.c") == F.col("y.c")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & bound("x.", "y.")
+    on = on & ((F.col("y.root") == F.col("y.major")) | (F.col("x.key") < F.col("y.key")))
+    met = x.join(y, on).groupBy("x.c", F.col("x.key").alias("u"), F.col("y.key").alias("v"), (F.col("x.n") + F.col("y.n")).alias("size"), (F.col("x.nd") + F.col("y.nd")).alias("nd")).agg(F.count("*").alias("o"))
+    apart_by = F.col("nd") - 2 * F.col("o")
+    return pairs, met.filter(den * (F.col("size") - apart_by) >= num * (F.col("size") + apart_by)).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, depth: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; documents are linked if den * common >= num * union.
 
@@ -169,30 +205,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         both = F.least(F.col(f"{x}n") - F.col(f"{x}u"), F.col(f"{y}n") - F.col(f"{y}u"))
         return den * both >= num * (F.col(f"{x}n") + F.col(f"{y}n") - both)
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
+        links = cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_linked(num, den), "a binary, b binary"))
+        return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def joined(edges: DataFrame) -> DataFrame:
+        return components(edges if roots is None else edges.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return cut(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+
+    groups = None
     for d in range(depth, DEPTH + 1):
         live = live.withColumn("prefix", at(d))
-        leader = F.min_by(F.struct("key", "n", "u", "root"), F.struct(F.col("u") / F.col("n"), F.xxhash64("key", F.lit(d), "tree"))).alias("leader")
+        leader = F.min_by(F.struct("key", "n", "u", "root"), F.struct(F.col("u") / F.col("n"), F.xxhash64("key"))).alias("leader")
         regions = live.groupBy("tree", "prefix").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), leader).filter("r0 <> r1")
         live = cut(live.join(regions.drop("r0", "r1"), ["tree", "prefix"]))
-        small = F.col("m") <= (SMALL if d < DEPTH else 2**62)
+        small = F.col("m") <= SMALL
         x, y = live.filter(small).alias("x"), live.filter(small).alias("y")
         same = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.prefix") == F.col("y.prefix")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
         same = same & fits(F.col("x.n"), F.col("y.n"))
         pairs = x.join(y, same & bound("x.", "y.") if d > depth else same).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         stars = live.filter(~small & (F.col("root") != F.col("leader.root")) & fits(F.col("n"), F.col("leader.n")) & bound("", "leader."))
         stars = stars.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b"))
-        pairs = pairs.unionByName(stars).distinct()
-        pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
-        links = cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_linked(num, den), "a binary, b binary"))
-        edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        roots = components(edges if roots is None else edges.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        roots = joined(verified(pairs.unionByName(stars).distinct()))
+        # on go dense regions, without classes whose private shingles rule out any link
+        dense_rows = live.filter(~small & (den * (F.col("n") - F.col("u")) >= num * F.col("n")))
+        if d == depth:
+            groups = cut(dense_rows.select(F.col("leader.key").alias("c"), "key", "n", "u").distinct())
         if d == DEPTH:
             break
-        # on go dense regions, without classes whose private shingles rule out any link
-        live = live.filter(~small & (den * (F.col("n") - F.col("u")) >= num * F.col("n"))).select("tree", "label", "key", "n", "u")
-        live = cut(live.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+        live = rooted(dense_rows.select("tree", "label", "key", "n", "u"))
         if live.isEmpty():
             break
+    if not groups.isEmpty():
+        pairs, links = _links_by_difference(rooted(groups), sets, num, den, bound)
+        roots = joined(verified(pairs).unionByName(links))
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("key", "component_id")

@@ -120,7 +120,9 @@ def _pack_level(level: DataFrame, chunks: int, room: list[float], all_bytes: int
 
 
 def pack_groups(groups: DataFrame, n_shards: int, chunk_groups: int = 100_000) -> DataFrame:
-    """(key, piece, bytes) -> (key, piece, shard): the levels described above."""
+    """(key, piece, bytes) -> (key, piece, shard): the levels described above. Chunks hold 64 groups a bin at least, so
+    fewer than an eighth of a level's groups can go up."""
+    chunk_groups = max(chunk_groups, 64 * n_shards)
     groups = cut(groups)
     n, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     levels, now, now_bytes, room = [], groups, total, [total / n_shards] * n_shards
@@ -129,8 +131,6 @@ def pack_groups(groups: DataFrame, n_shards: int, chunk_groups: int = 100_000) -
         bound = max(1, now_bytes // (n_shards * chunks * 8))
         light, heavy = now.filter(F.col("bytes") < bound), now.filter(F.col("bytes") >= bound)
         up, up_bytes = heavy.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-        if up == n:  # all of one size: dealing them out is as good
-            light, up, up_bytes = now, 0, 0
         levels.append((light, chunks, now_bytes - up_bytes))
         n, now, now_bytes = up, heavy, up_bytes
     if n or not levels:
