@@ -91,7 +91,7 @@ def test_decontamination_counts(docs, items):
     assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (11, 1, True)
     assert (got[7].n_words, got[7].n_hit, got[7].n_items) == (1, 1, 1)
     assert (got[2].n_words, got[2].contaminated) == (0, False)
-    assert got[8].n_words == 5
+    assert got[8].n_words == 6
 
 
 def test_warc_of_equal_pages(docs):
