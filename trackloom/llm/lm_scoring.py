@@ -26,16 +26,16 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import cut, fold_of
 
 BASE, HASHES, BITS, MAX_BITS, LEAST_BITS, SEEN = 2.0, 4, 12, 1 << 29, 1 << 20, 0.4
-#: Single-token counts (16 bytes each) are broadcast up to this many tokens; beyond it they are looked up by a join.
+#: Single-token counts (12 bytes each, 16 from 2 ** 32 training tokens) are broadcast up to this many tokens; beyond it they are looked up by a join.
 BROADCAST_TOKENS = 10_000_000
 START, END = 0x9D5354415254, 0x7B9C5354454E44F1
 
 
 class TokenHashes(dict):
-    """word -> 64-bit hash, remembered for up to a million words."""
+    """word -> 64-bit hash, remembered for up to 300,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -218,7 +218,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     if v <= broadcast_tokens:
         # buckets are the leading bits, so their tables in order are one sorted table
         tables = sorted(single.select("bucket", "keys", "counts").toLocalIterator())
-        known = sc.broadcast((b"".join(t[1] for t in tables), b"".join(t[2] for t in tables)))
+        narrow = np.uint32 if n < 1 << 32 else np.int64  # no count exceeds N
+        known = sc.broadcast((b"".join(t[1] for t in tables), b"".join(np.frombuffer(t[2], np.int64).astype(narrow).tobytes() for t in tables), narrow))
         del tables
         return texts.mapInArrow(_score_all(bloom, known, n, v, n_texts), schema)
     # too many tokens to broadcast: each text's distinct tokens fetch their counts, which come back beside the text
@@ -246,14 +247,14 @@ def _lookup(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndar
     if not len(keys):
         return np.zeros(len(wanted), np.int64)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, counts[at], 0)
+    return np.where(keys[at] == wanted, counts[at], 0).astype(np.int64)
 
 
 def _score_all(bloom, known, n: int, v: int, n_texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, filter_ = TokenHashes(), Filter(*bloom.value)
         if known is not None:
-            keys, counts = np.frombuffer(known.value[0], np.uint64), np.frombuffer(known.value[1], np.int64)
+            keys, counts = np.frombuffer(known.value[0], np.uint64), np.frombuffer(known.value[1], known.value[2])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
