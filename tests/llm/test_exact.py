@@ -241,6 +241,7 @@ def test_quotation_counts_less():
     m = toxicity.Matcher({"scoundrel": 3.0})
     plain, quoted, reported, misspelled = (m.evidence(t)[0] for t in ("You scoundrel there", "The “scoundrel” there", "She said scoundrel", "You scoundrol there"))
     assert plain > misspelled > quoted == reported > 0
+    assert m.evidence("sc*undrel")[0] == m.evidence("$coundrel")[0] == misspelled and m.evidence("scoundrel***")[0] == plain
 
 
 PAGE = """<html><head><title>T</title><script>var a="</p><p>no";</script><style>p{}</style></head><body><header><h2>Site</h2></header><nav><a href=/>Home</a></nav>

@@ -24,7 +24,8 @@ from trackloom.llm.common import cut, fold_of
 SAMPLE = 30_000
 #: Candidate words at most, those with the most contexts.
 CANDIDATES = 50_000
-WORD = re.compile(r"[^\W_]+")
+#: Letters and digits; a single mark that stands in for a letter inside a word belongs to it.
+WORD = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*")
 EDITS, FUZZY, QUOTED, WINDOW, LEAST_G = 1, 0.6, 0.25, 6, 18.0
 # fixed values: words of reporting and quotation, in English, German, French and Spanish
 REPORTING = frozenset("said says wrote writes quoted quotes quote called calls cited cites reported reads titled term word sagte schrieb zitierte zitat nannte wort dit écrit cite citation mot dijo escribió citó cita palabra".split())
