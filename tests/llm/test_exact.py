@@ -54,7 +54,8 @@ def test_components(spark, width, num, depth):
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_connected_components(spark, small):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
     root = {v: v for e in edges for v in e}
@@ -66,7 +67,7 @@ def test_connected_components(spark):
 
     for a, b in edges:
         root[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "u int, v int")).collect()}
+    got = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "u int, v int"), small).collect()}
     assert got == {v: find(v) for v in root if find(v) != v}
 
 
