@@ -11,8 +11,8 @@ Candidates are drawn region by region, only between classes not yet in one compo
   depth) and treated likewise;
 * what is then still apart in a dense region is compared by differences: B holds the shingles that most of the
   region's classes have, D(x) is what x has beyond B or lacks of it. Since |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|,
-  a join on the elements of D, summed by pair, gives exact links; classes whose D have nothing in common are linked
-  only if both are near B, and then also with the class nearest to it, which all are compared with.
+  a pair far from B is linked only if its D share enough elements: a join on them, with bounds on how many can still
+  follow (rarest first), gives the candidates; classes near B are compared with the nearest one.
 In dense regions pairs that can't be linked are left out by an exact bound: a shingle that only one class of all
 dense regions has is private to it, and what two classes share is at most either one's shingles that aren't. The
 class with the fewest private shingles, the middle of its region, leads.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import cut, small_or_not
@@ -147,8 +147,8 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(5)), nd, elements], ["c", "key", "n", "u", "root", "nd", "shingle"])
 
 
-def _links_by_difference(groups: DataFrame, sets: DataFrame, num: int, den: int, bound) -> tuple[DataFrame, DataFrame]:
-    """groups (c, key, n, u, root) -> ((a, b) pairs with the class nearest to the common set, exact links (u, v))."""
+def _pairs_by_difference(groups: DataFrame, sets: DataFrame, num: int, den: int, bound) -> DataFrame:
+    """groups (c, key, n, u, root) -> (a, b) pairs between components that may be linked, none of those left out."""
     apart = groups.groupBy("c").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 <> r1")
     groups = cut(groups.join(apart.select("c", "m"), "c"))
     held = groups.join(sets, "key").select("c", "set").mapInArrow(_exploded, "key binary, shingle long")
@@ -159,13 +159,20 @@ def _links_by_difference(groups: DataFrame, sets: DataFrame, num: int, den: int,
     nearest = diffs.groupBy("c").agg(F.min_by(F.struct("key", "root"), F.struct("nd", "key")).alias("y0"))
     major = groups.groupBy("c", "root").count().groupBy("c").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
     pairs = groups.join(nearest, "c").filter(F.col("root") != F.col("y0.root")).select(F.least("key", "y0.key").alias("a"), F.greatest("key", "y0.key").alias("b")).distinct()
-    x = diffs.join(major, "c").filter("root <> major").alias("x")
-    y = diffs.join(major, "c").alias("y")
-    on = (F.col("x.c") == F.col("y.c")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & bound("x.", "y.")
+    # elements that two classes at least have, rarest first; from the first one that a pair shares on, it can share
+    # no more than either has left
+    shared = diffs.groupBy("c", "shingle").count().filter("count > 1")
+    listed = diffs.join(shared, ["c", "shingle"])
+    own = Window.partitionBy("c", "key")
+    listed = listed.withColumn("left", F.count("*").over(own) - F.row_number().over(own.orderBy("count", "shingle")) + 1).drop("count")
+    listed = cut(listed.join(major, "c"))
+    x, y = listed.filter("root <> major").alias("x"), listed.alias("y")
+    most = F.least(F.col("x.left"), F.col("y.left"))
+    enough = 2 * (den + num) * most >= (den + num) * (F.col("x.nd") + F.col("y.nd")) - (den - num) * (F.col("x.n") + F.col("y.n"))
+    on = (F.col("x.c") == F.col("y.c")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & enough & bound("x.", "y.")
     on = on & ((F.col("y.root") == F.col("y.major")) | (F.col("x.key") < F.col("y.key")))
-    met = x.join(y, on).groupBy("x.c", F.col("x.key").alias("u"), F.col("y.key").alias("v"), (F.col("x.n") + F.col("y.n")).alias("size"), (F.col("x.nd") + F.col("y.nd")).alias("nd")).agg(F.count("*").alias("o"))
-    apart_by = F.col("nd") - 2 * F.col("o")
-    return pairs, met.filter(den * (F.col("size") - apart_by) >= num * (F.col("size") + apart_by)).select("u", "v")
+    met = x.join(y, on).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+    return pairs.unionByName(met).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, depth: int = 3) -> DataFrame:
@@ -242,8 +249,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if live.isEmpty():
             break
     if not groups.isEmpty():
-        pairs, links = _links_by_difference(rooted(groups), sets, num, den, bound)
-        roots = joined(verified(pairs).unionByName(links))
+        roots = joined(verified(_pairs_by_difference(rooted(groups), sets, num, den, bound)))
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("key", "component_id")
