@@ -159,6 +159,29 @@ def test_language_model(spark, most):
     assert sum(r.score for r in out) > 1.1 * sum(r.base_score for r in out)
 
 
+@pytest.mark.parametrize(("tokens", "bits"), [(10**7, 0), (0, 10**12), (0, 0)])
+def test_language_model_beyond_broadcasts(spark, monkeypatch, tokens, bits):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 500)
+    docs = spark.createDataFrame([*lm_rows(), (None, None), (7, "t1 t2")], "doc_id long, text string").repartition(3)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    want = sorted(lm_scoring.score(docs).collect(), key=key)
+    got = sorted(lm_scoring.score(docs, broadcast_tokens=tokens, broadcast_bits=bits).collect(), key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert all(a.score == pytest.approx(b.score) and a.base_score == pytest.approx(b.base_score) for a, b in zip(got, want, strict=True))
+
+
+def test_filter_of_a_large_bucket_keeps_its_rate(spark):
+    """One filter for each side of the former bound: the same rate of false hits; levels end at the largest number stored."""
+    rng = np.random.default_rng(5)
+    for n in (1 << 14, 1 << 17):
+        keys = rng.integers(0, 2**63, n).astype(np.uint64)
+        bits, most = lm_scoring._slice(keys, np.ones(n, np.int64), n * 16)
+        found = lm_scoring.Filter(bits, 0, most)
+        other = keys | np.uint64(1 << 63)
+        assert most == 1 and (found.levels(keys) == 1).all() and (found.levels(other) > 0).mean() < 0.01
+    assert (lm_scoring.Filter(b"\xff" * 1024, 0, 3).levels(keys) == 3).all()
+
+
 def test_bloom_filter_never_understates():
     keys = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
     counts = np.random.default_rng(2).integers(1, 500, 3000)

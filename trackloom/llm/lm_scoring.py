@@ -7,9 +7,10 @@ alone never makes a ratio too large. A false hit can only overstate a count; it
 
 Counting and filter are dealt by the leading bits of the hashes: tasks send sorted (hash, count) blocks to buckets,
 one shuffle; a bucket merges them and sets the bits of its own slice of the filter. The filter's size follows the
-training tokens (BITS for each, which no number of entries exceeds) up to MAX_BITS; every pair enters it at any
-size, and beyond the bound the rate of false hits rises instead, as (1 - exp(-HASHES * entries / bits)) ** HASHES.
-What is broadcast is MAX_BITS / 8 bytes at most.
+training tokens (BITS for each, which no number of entries exceeds) without a bound, so the rate of false hits,
+(1 - exp(-HASHES * entries / bits)) ** HASHES, doesn't grow with the input. Up to BROADCAST_BITS the filter is
+broadcast. A larger one is never put together: blocks of texts send their hashes to the slices, in the shuffle that
+counts them, and get back one byte for each, in the order of the hashes.
 
 p(w | v) = SEEN * c(v w) / c(v) + (1 - SEEN) * (c(w) + 1) / (N + 1 * (V + 1)); after a token never seen in training the
 second part has all the weight. The single tokens' counts are exact.
@@ -23,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, fold_of
+from trackloom.llm.common import cut, fold_of, fresh_path
 
-BASE, HASHES, BITS, MAX_BITS, LEAST_BITS, SEEN = 2.0, 4, 12, 1 << 29, 1 << 20, 0.4
-#: Single-token counts (12 bytes each, 16 from 2 ** 32 training tokens) are broadcast up to this many tokens; beyond it they are looked up by a join.
+BASE, HASHES, BITS, BROADCAST_BITS, LEAST_BITS, SEEN = 2.0, 4, 12, 1 << 26, 1 << 20, 0.4
+#: Single-token counts (12 bytes each, 16 from 2 ** 32 training tokens) are broadcast up to this many tokens; beyond it blocks of texts fetch them like filter values.
 BROADCAST_TOKENS = 10_000_000
+#: Characters of a block of texts, about.
+BLOCK = 8_000_000
 START, END = 0x9D5354415254, 0x7B9C5354454E44F1
 
 
@@ -138,32 +141,39 @@ def quantised(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
+def _slice(k: np.ndarray, c: np.ndarray, slice_bits: int) -> tuple[bytes, int]:
+    """The filter's slice of one bucket, and the largest number in it."""
+    q, bits = quantised(c), np.zeros(slice_bits, bool)
+    most = int(q.max(initial=0))
+    for level in range(1, most + 1):
+        bits[_places(k[q >= level], level, slice_bits - 1).ravel()] = True
+    return np.packbits(bits, bitorder="little").tobytes(), most
+
+
 def _slices(slice_bits: int):
-    """(bucket, keys, counts) blocks -> (bucket, bits): the filter's slice of each bucket."""
+    """(bucket, keys, counts) blocks -> (bucket, bits, most): the filter's slice of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, k, c in _by_bucket(batches):
-            q, bits = quantised(c), np.zeros(slice_bits, bool)
-            for level in range(1, int(q.max()) + 1):
-                bits[_places(k[q >= level], level, slice_bits - 1).ravel()] = True
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+            bits, most = _slice(k, c, slice_bits)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([bits], pa.binary()), pa.array([most], pa.int32())], ["bucket", "bits", "most"])
 
     return run
 
 
 class Filter:
-    """The log-frequency Bloom filter, read-only."""
+    """The log-frequency Bloom filter, or with bucket_bits = 0 one slice of it, read-only; most: the largest number in it."""
 
-    def __init__(self, bits: bytes, bucket_bits: int):
-        self.bytes, self.shift = np.frombuffer(bits, np.uint8), np.uint64(64 - bucket_bits)
+    def __init__(self, bits: bytes, bucket_bits: int, most: int = 64):
+        self.bytes, self.bucket_bits, self.most = np.frombuffer(bits, np.uint8), bucket_bits, most
         self.slice_bits = len(bits) * 8 >> bucket_bits
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """q of each key: 0 if unseen."""
         q, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(alive):
+        while len(alive) and level <= self.most:
             k = keys[alive]
-            offset = (k >> self.shift) * np.uint64(self.slice_bits)
+            offset = (k >> np.uint64(64 - self.bucket_bits)) * np.uint64(self.slice_bits) if self.bucket_bits else np.uint64(0)
             hit = np.ones(len(alive), bool)
             for at in _places(k, level, self.slice_bits - 1):
                 at = at + offset
@@ -174,17 +184,15 @@ class Filter:
         return q
 
 
-def log_probabilities(filter_: Filter, tokens: np.ndarray, starts: np.ndarray, c: np.ndarray, c_before: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 p of each token. c, c_before: exact counts of the tokens and of those before them."""
-    unique, at = np.unique(pairs(tokens, starts), return_inverse=True)
-    q = filter_.levels(unique)[at]
+def log_probabilities(q: np.ndarray, c: np.ndarray, c_before: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 p of each token. q: the filter's numbers of the pairs; c, c_before: exact counts of the tokens and of those before them."""
     seen = c_before > 0
     p2 = np.where(q > 0, np.minimum(1.0, BASE ** (q - 1.0) / np.where(seen, c_before, 1)), 0.0)
     weight = np.where(seen, SEEN, 0.0)
     return np.log10(weight * p2 + (1 - weight) * (c + 1) / (n + 1 * (v + 1)))
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, broadcast_tokens: int = BROADCAST_TOKENS, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     A null or wordless text has one token, its end; null ids fall into the fold of the empty text; rows with equal
@@ -202,45 +210,142 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     single = cut(single)
     v, n = single.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     size = LEAST_BITS
-    while size < min(n * BITS, MAX_BITS):
+    while size < n * BITS:
         size *= 2
-    pair_bits = max(8, min((n >> 22).bit_length() + 6, size.bit_length() - 11))
-    slices = train.mapInArrow(_blocks(pair_bits, True), block).repartition(tasks, "bucket").mapInArrow(_slices(size >> pair_bits), "bucket int, bits binary")
-    bitmap, each = bytearray(size // 8), size >> pair_bits >> 3
-    for bucket, bits in slices.toLocalIterator():
-        bitmap[bucket * each : (bucket + 1) * each] = bits
-    bloom = sc.broadcast((bytes(bitmap), pair_bits))
-    del bitmap
     ends = single.filter(F.col("bucket") == END >> (64 - bucket_bits)).select("keys", "counts").first()
     n_texts = int(_lookup(np.frombuffer(ends[0], np.uint64), np.frombuffer(ends[1], np.int64), np.array([END], np.uint64))[0]) if ends else 0
+    pair_bits = max(8, min((n >> 22).bit_length() + 6, size.bit_length() - 11))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    known = None
     if v <= broadcast_tokens:
         # buckets are the leading bits, so their tables in order are one sorted table
         tables = sorted(single.select("bucket", "keys", "counts").toLocalIterator())
         narrow = np.uint32 if n < 1 << 32 else np.int64  # no count exceeds N
         known = sc.broadcast((b"".join(t[1] for t in tables), b"".join(np.frombuffer(t[2], np.int64).astype(narrow).tobytes() for t in tables), narrow))
         del tables
+    if known is not None and size <= broadcast_bits:
+        slices = train.mapInArrow(_blocks(pair_bits, True), block).repartition(tasks, "bucket").mapInArrow(_slices(size >> pair_bits), "bucket int, bits binary, most int")
+        bitmap, each, most = bytearray(size // 8), size >> pair_bits >> 3, 0
+        for bucket, bits, largest in slices.toLocalIterator():
+            bitmap[bucket * each : (bucket + 1) * each] = bits
+            most = max(most, largest)
+        bloom = sc.broadcast((bytes(bitmap), pair_bits, most))
+        del bitmap
         return texts.mapInArrow(_score_all(bloom, known, n, v, n_texts), schema)
-    # too many tokens to broadcast: each text's distinct tokens fetch their counts, which come back beside the text
-    rows = cut(texts.withColumn("_u", F.monotonically_increasing_id()))
-    wanted = rows.select("_u", "text").mapInArrow(_distinct, "_u long, h long")
-    fetched = wanted.join(single.select("keys", "counts").mapInArrow(_pieces, "h long, c long"), "h").groupBy("_u").agg(F.collect_list(F.struct("h", "c")).alias("counts"))
-    return rows.join(fetched, "_u", "left").select("doc_id", "held_out", "text", "counts").mapInArrow(_score_all(bloom, None, n, v, n_texts), schema)
+    # too much to broadcast: blocks of texts fetch the filter's numbers, and the tokens' counts if they are too many
+    deal_bits = max(8, min((4 * tasks).bit_length(), size.bit_length() - 11))  # a few buckets for each task
+    path = fresh_path(spark, "lm-blocks")
+    texts.mapInArrow(_packed(BLOCK), "rows binary").withColumn("block", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    wanted = rows.select("block", "rows").mapInArrow(_wanted(deal_bits, known is None), "block long, kind int, bucket int, keys binary, counts binary")
+    found = wanted.repartition(tasks, "bucket").mapInArrow(_answers(size >> deal_bits, deal_bits), "block long, kind int, bucket int, found binary")
+    found = found.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "found")).alias("found"))
+    return rows.join(found, "block").select("rows", "found").mapInArrow(_score_blocks(deal_bits, known, n, v, n_texts), schema)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.int64))], ["h", "c"])
+def _packed(most: int):
+    """doc_id, held_out, text -> blocks of rows, each a compressed Arrow stream."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = TokenHashes()
-    for batch in batches:
-        for u, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            h = np.unique(hashes.of(text.as_py() or "")).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), u, np.int64)), pa.array(h)], ["_u", "h"])
+        def give() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, waiting[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(pa.concat_batches(waiting))
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                waiting.append(part)
+                size += part.column(2).nbytes
+                if size >= most:
+                    yield give()
+                    waiting, size = [], 0
+        if waiting:
+            yield give()
+
+    return run
+
+
+def _unpacked(hashes: TokenHashes, rows: pa.Scalar) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """A block's rows, their tokens and starts."""
+    part = pa.ipc.open_stream(rows.as_buffer()).read_next_batch()
+    return part, *_lay(hashes, [t.as_py() or "" for t in part.column(2)])
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number, all first bytes first: planes of like bytes compress well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view("<u8")
+
+
+#: Bytes of a hash that are dealt, beside the bits of its bucket, which grow with the input.
+DEALT = 5
+
+
+def _dealt(keys: np.ndarray, bucket_bits: int) -> np.ndarray:
+    """Hashes without the bits that aren't dealt."""
+    return keys & ~np.uint64((1 << (64 - bucket_bits - 8 * DEALT)) - 1)
+
+
+def _wanted(bucket_bits: int, tokens_too: bool):
+    """Blocks of texts -> (block, kind, bucket, keys, counts): sorted distinct hashes of pairs (kind 1), or of tokens
+    (kind 0), as planes of their differences, and their counts in the block's training texts, which may be 0."""
+    drop = np.uint64(64 - bucket_bits - 8 * DEALT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes()
+        for batch in batches:
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part, tokens, starts = _unpacked(hashes, rows)
+                train = ~np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff([*starts, len(tokens)]))
+                for kind in (0, 1) if tokens_too else (1,):
+                    all_keys = _dealt(pairs(tokens, starts) if kind else tokens, bucket_bits)
+                    k, at = np.unique(all_keys, return_inverse=True)
+                    c = np.bincount(at[np.tile(train, len(all_keys) // len(train))], minlength=len(k))
+                    bucket = (k >> np.uint64(64 - bucket_bits)).astype(np.int64)
+                    heads = np.nonzero(np.r_[True, bucket[1:] != bucket[:-1]])[0]
+                    rest = (k << np.uint64(bucket_bits) >> np.uint64(bucket_bits)) >> drop
+                    cuts = list(zip(heads, [*heads[1:], len(k)], strict=True))
+                    columns = [pa.array(np.full(len(heads), block), pa.int64()), pa.array(np.full(len(heads), kind), pa.int32()), pa.array(bucket[heads], pa.int32())]
+                    columns += [pa.array([_planes(np.diff(rest[i:j], prepend=np.uint64(0)), DEALT) for i, j in cuts], pa.binary()), pa.array([_planes(c[i:j], 8) for i, j in cuts], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "kind", "bucket", "keys", "counts"])
+
+    return run
+
+
+def _answers(slice_bits: int, bucket_bits: int):
+    """What _wanted() gives -> (block, kind, bucket, found): a filter number (1 byte) or a count (8 bytes) for each key."""
+    drop = np.uint64(64 - bucket_bits - 8 * DEALT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for block, kind, bucket, keys, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), strict=True):
+                k = np.cumsum(_from_planes(keys.as_py(), DEALT), dtype=np.uint64) << drop
+                asked.setdefault((kind, bucket), []).append((block, k | np.uint64(bucket << 64 - bucket_bits), _from_planes(counts.as_py(), 8).view(np.int64)))
+        for kind, bucket in list(asked):
+            rows = asked.pop((kind, bucket))
+            k, c = _merged([x[1] for x in rows], [x[2] for x in rows])
+            k, c = k[c > 0], c[c > 0]
+            if kind:
+                bits, most = _slice(k, c, slice_bits)
+                filter_ = Filter(bits, 0, most)
+                found = [filter_.levels(x[1]).astype(np.uint8).tobytes() for x in rows]
+            else:
+                found = [_lookup(k, c, x[1]).tobytes() for x in rows]
+            columns = [pa.array([x[0] for x in rows], pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "kind", "bucket", "found"])
+
+    return run
 
 
 def _lookup(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -250,33 +355,48 @@ def _lookup(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, counts[at], 0).astype(np.int64)
 
 
+def _scored(ids: pa.Array, held_outs: pa.Array, starts: np.ndarray, q: np.ndarray, c: np.ndarray, n: int, v: int, n_texts: int) -> pa.RecordBatch:
+    before = np.roll(c, 1)
+    before[starts] = n_texts
+    base = np.log10((c + 1) / (n + 1 * (v + 1)))
+    each = log_probabilities(q, c, before, n, v)
+    add = lambda x: np.add.reduceat(x, starts)
+    sizes = np.diff([*starts, len(c)])
+    columns = [ids, held_outs, pa.array(sizes, pa.int64()), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(starts), n), pa.int64()), pa.array(add(base)), pa.array(add(each))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def _counts_of(known, tokens: np.ndarray) -> np.ndarray:
+    unique, back = np.unique(tokens, return_inverse=True)
+    return _lookup(np.frombuffer(known.value[0], np.uint64), np.frombuffer(known.value[1], known.value[2]), unique)[back]
+
+
 def _score_all(bloom, known, n: int, v: int, n_texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, filter_ = TokenHashes(), Filter(*bloom.value)
-        if known is not None:
-            keys, counts = np.frombuffer(known.value[0], np.uint64), np.frombuffer(known.value[1], known.value[2])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 tokens, starts = _lay(hashes, [t.as_py() or "" for t in part.column(2)])
-                if known is not None:
-                    unique, back = np.unique(tokens, return_inverse=True)
-                    c = _lookup(keys, counts, unique)[back]
-                else:
-                    ends = [*starts[1:], len(tokens)]
-                    c = np.zeros(len(tokens), np.int64)
-                    for i, j, got in zip(starts, ends, part.column(3), strict=True):
-                        got = [(x["h"], x["c"]) for x in got.as_py() or []]
-                        k, m = (np.array(x, np.int64) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 2
-                        order = np.argsort(k.view(np.uint64))
-                        c[i:j] = _lookup(k.view(np.uint64)[order], m[order], tokens[i:j])
-                before = np.roll(c, 1)
-                before[starts] = n_texts
-                base = np.log10((c + 1) / (n + 1 * (v + 1)))
-                each = log_probabilities(filter_, tokens, starts, c, before, n, v)
-                add = lambda x: np.add.reduceat(x, starts)
-                sizes = np.diff([*starts, len(tokens)])
-                columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(starts), n), pa.int64()), pa.array(add(base)), pa.array(add(each))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                unique, back = np.unique(pairs(tokens, starts), return_inverse=True)
+                yield _scored(part.column(0), part.column(1), starts, filter_.levels(unique)[back], _counts_of(known, tokens), n, v, n_texts)
+
+    return run
+
+
+def _score_blocks(bucket_bits: int, known, n: int, v: int, n_texts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes()
+        for batch in batches:
+            for rows, got in zip(batch.column(0), batch.column(1), strict=True):
+                part, tokens, starts = _unpacked(hashes, rows)
+                # buckets are the leading bits, so what they gave, in their order, is in the order of the sorted hashes
+                found = sorted((x["kind"], x["bucket"], x["found"]) for x in got.as_py())
+
+                def given(kind: int, keys: np.ndarray, dtype, found=found) -> np.ndarray:
+                    return np.frombuffer(b"".join(x[2] for x in found if x[0] == kind), dtype).astype(np.int64)[np.unique(_dealt(keys, bucket_bits), return_inverse=True)[1]]
+
+                c = given(0, tokens, np.int64) if known is None else _counts_of(known, tokens)
+                yield _scored(part.column(0), part.column(1), starts, given(1, pairs(tokens, starts), np.uint8), c, n, v, n_texts)
 
     return run
