@@ -159,6 +159,30 @@ def test_language_model(spark, most):
     assert sum(r.score for r in out) > 1.1 * sum(r.base_score for r in out)
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 0])
+def test_language_model_counts_triples(spark, bits):
+    """Scores against dictionaries of exact counts, quantised as the filter does."""
+    rows = lm_rows()
+    padded = {k: ["<<", "<", *t.split(), None] for k, t in rows}
+    train = [t for k, t in padded.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+    grams = [Counter(tuple(t[i - m : i + 1]) for t in train for i in range(2, len(t))) for m in range(3)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    q = lambda g, m: grams[m][g].bit_length()
+
+    def log_p(t, i):
+        u, b, w = t[i - 2 : i + 1]
+        ahead = len(train) if i == 2 else grams[0][(b,)]
+        high = len(train) if i == 2 else 2 ** q((u, b), 1) if q((u, b), 1) else 0
+        low = lambda x: 2 ** (x - 1) if x else 0
+        m3, m2 = 0.6 * high / (high + 4), 0.4 if ahead else 0.0
+        p3, p2 = min(1, low(q((u, b, w), 2)) / (high or 1)), min(1, low(q((b, w), 1)) / (ahead or 1))
+        return math.log10(m3 * p3 + (1 - m3) * (m2 * p2 + (1 - m2) * (grams[0][(w,)] + 1) / (n + v + 1)))
+
+    for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_bits=bits).collect():
+        t = padded[r.doc_id]
+        assert r.score == pytest.approx(sum(log_p(t, i) for i in range(2, len(t)))), r.doc_id
+
+
 @pytest.mark.parametrize(("tokens", "bits"), [(10**7, 0), (0, 10**12), (0, 0)])
 def test_language_model_beyond_broadcasts(spark, monkeypatch, tokens, bits):
     monkeypatch.setattr(lm_scoring, "BLOCK", 500)

@@ -1,17 +1,20 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of all pairs of neighbouring tokens in the training texts are quantised on a logarithmic scale of base BASE:
-q(c) = 1 + floor(log_BASE(c)). A pair goes into the filter together with each of the numbers 1..q. Scoring probes
-with 1, 2, ... until a probe misses; the last hit gives the count as the lower end of its step, so quantisation
-alone never makes a ratio too large. A false hit can only overstate a count; it takes HASHES set bits by chance.
+Counts of all pairs and triples of neighbouring tokens in the training texts are quantised on a logarithmic scale of
+base BASE: q(c) = 1 + floor(log_BASE(c)). An n-gram goes into the filter together with each of the numbers 1..q.
+Scoring probes with 1, 2, ... until a probe misses; the last hit gives the count, as the lower end of its step in
+numerators and the upper end in denominators, so quantisation alone never makes a ratio too large. A false hit can
+only overstate a count; it takes HASHES set bits by chance.
 
 Counting and filter are dealt by the leading bits of the hashes: tasks send sorted (hash, count) blocks to buckets,
 one shuffle; a bucket merges them and sets the bits of its own slice of the filter. The filter's size follows the
-training tokens (BITS for each, which no number of entries exceeds) without a bound, so the rate of false hits,
+n-grams counted (BITS for each, which no number of entries exceeds) without a bound, so the rate of false hits,
 (1 - exp(-HASHES * entries / bits)) ** HASHES, doesn't grow with the input. Up to BROADCAST_BITS the filter is
 broadcast. A larger one is never put together: blocks of texts send their hashes to the slices, in the shuffle that
 counts them, and get back one byte for each, in the order of the hashes.
 
+The probability of a token interpolates triples, pairs and single tokens:
+p(w | u v) = m3 * c(u v w) / c(u v) + (1 - m3) * p(w | v), m3 = SEEN3 * c(u v) / (c(u v) + DAMP),
 p(w | v) = SEEN * c(v w) / c(v) + (1 - SEEN) * (c(w) + 1) / (N + 1 * (V + 1)); after a token never seen in training the
 second part has all the weight. The single tokens' counts are exact.
 """
@@ -26,19 +29,20 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import cut, fold_of, fresh_path
 
-BASE, HASHES, BITS, BROADCAST_BITS, LEAST_BITS, SEEN = 2.0, 4, 12, 1 << 26, 1 << 20, 0.4
+BASE, HASHES, BITS, BROADCAST_BITS, LEAST_BITS = 2.0, 4, 12, 1 << 26, 1 << 20
+SEEN3, DAMP, SEEN = 0.6, 4.0, 0.4
 #: Single-token counts (12 bytes each, 16 from 2 ** 32 training tokens) are broadcast up to this many tokens; beyond it blocks of texts fetch them like filter values.
 BROADCAST_TOKENS = 10_000_000
 #: Characters of a block of texts, about.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 START, END = 0x9D5354415254, 0x7B9C5354454E44F1
 
 
 class TokenHashes(dict):
-    """word -> 64-bit hash, remembered for up to 300,000 words."""
+    """word -> 64-bit hash, remembered for up to 150,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -60,11 +64,15 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def pairs(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The hash of each token with the one before it, of texts laid end to end; starts marks their first tokens."""
-    before = np.roll(tokens, 1)
-    before[starts] = START
-    return _mix(before, tokens)
+def ngrams(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of texts laid end to end, the hash of each token with the one before it, then that of each with the two before
+    it; starts marks the texts' first tokens."""
+    v, u = np.roll(tokens, 1), np.roll(tokens, 2)
+    v[starts] = START
+    second = starts + 1
+    u[second[second < len(tokens)]] = START
+    u[starts] = START + 1
+    return np.concatenate([_mix(v, tokens), _mix(u, v, tokens)])
 
 
 def _lay(hashes: TokenHashes, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +90,8 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[heads], (np.add.reduceat(c, heads) if len(k) else c)
 
 
-def _blocks(bucket_bits: int, two: bool, most: int = 3_000_000):
-    """Training texts -> (bucket, keys, counts): sorted distinct hashes of tokens, or of pairs, and their counts."""
+def _blocks(bucket_bits: int, two: bool, most: int = 1_500_000):
+    """Training texts -> (bucket, keys, counts): sorted distinct hashes of tokens, or of pairs and triples, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, waiting, n = TokenHashes(), [], 0
@@ -100,7 +108,7 @@ def _blocks(bucket_bits: int, two: bool, most: int = 3_000_000):
             texts = [t.as_py() or "" for t in batch.column(0)]
             for at in range(0, len(texts), 256):
                 tokens, starts = _lay(hashes, texts[at : at + 256])
-                waiting.append(pairs(tokens, starts) if two else tokens)
+                waiting.append(ngrams(tokens, starts) if two else tokens)
                 n += len(tokens)
                 if n >= most:
                     yield give()
@@ -184,12 +192,20 @@ class Filter:
         return q
 
 
-def log_probabilities(q: np.ndarray, c: np.ndarray, c_before: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 p of each token. q: the filter's numbers of the pairs; c, c_before: exact counts of the tokens and of those before them."""
-    seen = c_before > 0
-    p2 = np.where(q > 0, np.minimum(1.0, BASE ** (q - 1.0) / np.where(seen, c_before, 1)), 0.0)
-    weight = np.where(seen, SEEN, 0.0)
-    return np.log10(weight * p2 + (1 - weight) * (c + 1) / (n + 1 * (v + 1)))
+def log_probabilities(q: np.ndarray, starts: np.ndarray, c: np.ndarray, c_before: np.ndarray, n: int, v: int, texts: int) -> np.ndarray:
+    """log10 p of each token. q: the filter's numbers of the pairs, then of the triples; c, c_before: exact counts of
+    the tokens and of those before them; texts: the number of training texts."""
+    q2, q3 = q[: len(c)], q[len(c) :]
+    low = lambda q: np.where(q > 0, BASE ** (q - 1.0), 0.0)
+    # the pair before a token is the pair that ends there; before a text's first token stands the start of all texts
+    q_before = np.roll(q2, 1)
+    high = np.where(q_before > 0, BASE**q_before.astype(float), 0.0)
+    high[starts] = texts
+    p3 = np.minimum(1.0, low(q3) / np.maximum(high, 1.0))
+    p2 = np.minimum(1.0, low(q2) / np.maximum(c_before, 1))
+    m3 = SEEN3 * high / (high + DAMP)
+    m2 = np.where(c_before > 0, SEEN, 0.0)
+    return np.log10(m3 * p3 + (1 - m3) * (m2 * p2 + (1 - m2) * (c + 1) / (n + 1 * (v + 1))))
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, broadcast_tokens: int = BROADCAST_TOKENS, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
@@ -210,11 +226,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     single = cut(single)
     v, n = single.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     size = LEAST_BITS
-    while size < n * BITS:
+    while size < 2 * n * BITS:  # pairs and triples
         size *= 2
     ends = single.filter(F.col("bucket") == END >> (64 - bucket_bits)).select("keys", "counts").first()
     n_texts = int(_lookup(np.frombuffer(ends[0], np.uint64), np.frombuffer(ends[1], np.int64), np.array([END], np.uint64))[0]) if ends else 0
-    pair_bits = max(8, min((n >> 22).bit_length() + 6, size.bit_length() - 11))
+    gram_bits = max(8, min((n >> 22).bit_length() + 6, size.bit_length() - 11))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     known = None
@@ -225,12 +241,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
         known = sc.broadcast((b"".join(t[1] for t in tables), b"".join(np.frombuffer(t[2], np.int64).astype(narrow).tobytes() for t in tables), narrow))
         del tables
     if known is not None and size <= broadcast_bits:
-        slices = train.mapInArrow(_blocks(pair_bits, True), block).repartition(tasks, "bucket").mapInArrow(_slices(size >> pair_bits), "bucket int, bits binary, most int")
-        bitmap, each, most = bytearray(size // 8), size >> pair_bits >> 3, 0
+        slices = train.mapInArrow(_blocks(gram_bits, True), block).repartition(tasks, "bucket").mapInArrow(_slices(size >> gram_bits), "bucket int, bits binary, most int")
+        bitmap, each, most = bytearray(size // 8), size >> gram_bits >> 3, 0
         for bucket, bits, largest in slices.toLocalIterator():
             bitmap[bucket * each : (bucket + 1) * each] = bits
             most = max(most, largest)
-        bloom = sc.broadcast((bytes(bitmap), pair_bits, most))
+        bloom = sc.broadcast((bytes(bitmap), gram_bits, most))
         del bitmap
         return texts.mapInArrow(_score_all(bloom, known, n, v, n_texts), schema)
     # too much to broadcast: blocks of texts fetch the filter's numbers, and the tokens' counts if they are too many
@@ -297,7 +313,7 @@ def _dealt(keys: np.ndarray, bucket_bits: int) -> np.ndarray:
 
 
 def _wanted(bucket_bits: int, tokens_too: bool):
-    """Blocks of texts -> (block, kind, bucket, keys, counts): sorted distinct hashes of pairs (kind 1), or of tokens
+    """Blocks of texts -> (block, kind, bucket, keys, counts): sorted distinct hashes of pairs and triples (kind 1), or of tokens
     (kind 0), as planes of their differences, and their counts in the block's training texts, which may be 0."""
     drop = np.uint64(64 - bucket_bits - 8 * DEALT)
 
@@ -308,7 +324,7 @@ def _wanted(bucket_bits: int, tokens_too: bool):
                 part, tokens, starts = _unpacked(hashes, rows)
                 train = ~np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff([*starts, len(tokens)]))
                 for kind in (0, 1) if tokens_too else (1,):
-                    all_keys = _dealt(pairs(tokens, starts) if kind else tokens, bucket_bits)
+                    all_keys = _dealt(ngrams(tokens, starts) if kind else tokens, bucket_bits)
                     k, at = np.unique(all_keys, return_inverse=True)
                     c = np.bincount(at[np.tile(train, len(all_keys) // len(train))], minlength=len(k))
                     bucket = (k >> np.uint64(64 - bucket_bits)).astype(np.int64)
@@ -316,7 +332,7 @@ def _wanted(bucket_bits: int, tokens_too: bool):
                     rest = (k << np.uint64(bucket_bits) >> np.uint64(bucket_bits)) >> drop
                     cuts = list(zip(heads, [*heads[1:], len(k)], strict=True))
                     columns = [pa.array(np.full(len(heads), block), pa.int64()), pa.array(np.full(len(heads), kind), pa.int32()), pa.array(bucket[heads], pa.int32())]
-                    columns += [pa.array([_planes(np.diff(rest[i:j], prepend=np.uint64(0)), DEALT) for i, j in cuts], pa.binary()), pa.array([_planes(c[i:j], 8) for i, j in cuts], pa.binary())]
+                    columns += [pa.array([_planes(np.diff(rest[i:j], prepend=np.uint64(0)), DEALT) for i, j in cuts], pa.binary()), pa.array([_planes(c[i:j], max(1, (int(c[i:j].max()).bit_length() + 7) // 8)) for i, j in cuts], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["block", "kind", "bucket", "keys", "counts"])
 
     return run
@@ -330,10 +346,12 @@ def _answers(slice_bits: int, bucket_bits: int):
         asked: dict[tuple[int, int], list] = {}
         for batch in batches:
             for block, kind, bucket, keys, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), strict=True):
-                k = np.cumsum(_from_planes(keys.as_py(), DEALT), dtype=np.uint64) << drop
-                asked.setdefault((kind, bucket), []).append((block, k | np.uint64(bucket << 64 - bucket_bits), _from_planes(counts.as_py(), 8).view(np.int64)))
+                asked.setdefault((kind, bucket), []).append((block, keys.as_py(), counts.as_py()))
         for kind, bucket in list(asked):
-            rows = asked.pop((kind, bucket))
+            rows = []
+            for block, keys, counts in asked.pop((kind, bucket)):
+                k = np.cumsum(_from_planes(keys, DEALT), dtype=np.uint64) << drop
+                rows.append((block, k | np.uint64(bucket << 64 - bucket_bits), _from_planes(counts, len(counts) // len(k)).view(np.int64)))
             k, c = _merged([x[1] for x in rows], [x[2] for x in rows])
             k, c = k[c > 0], c[c > 0]
             if kind:
@@ -359,7 +377,7 @@ def _scored(ids: pa.Array, held_outs: pa.Array, starts: np.ndarray, q: np.ndarra
     before = np.roll(c, 1)
     before[starts] = n_texts
     base = np.log10((c + 1) / (n + 1 * (v + 1)))
-    each = log_probabilities(q, c, before, n, v)
+    each = log_probabilities(q, starts, c, before, n, v, n_texts)
     add = lambda x: np.add.reduceat(x, starts)
     sizes = np.diff([*starts, len(c)])
     columns = [ids, held_outs, pa.array(sizes, pa.int64()), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(starts), n), pa.int64()), pa.array(add(base)), pa.array(add(each))]
@@ -378,7 +396,7 @@ def _score_all(bloom, known, n: int, v: int, n_texts: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 tokens, starts = _lay(hashes, [t.as_py() or "" for t in part.column(2)])
-                unique, back = np.unique(pairs(tokens, starts), return_inverse=True)
+                unique, back = np.unique(ngrams(tokens, starts), return_inverse=True)
                 yield _scored(part.column(0), part.column(1), starts, filter_.levels(unique)[back], _counts_of(known, tokens), n, v, n_texts)
 
     return run
@@ -397,6 +415,6 @@ def _score_blocks(bucket_bits: int, known, n: int, v: int, n_texts: int):
                     return np.frombuffer(b"".join(x[2] for x in found if x[0] == kind), dtype).astype(np.int64)[np.unique(_dealt(keys, bucket_bits), return_inverse=True)[1]]
 
                 c = given(0, tokens, np.int64) if known is None else _counts_of(known, tokens)
-                yield _scored(part.column(0), part.column(1), starts, given(1, pairs(tokens, starts), np.uint8), c, n, v, n_texts)
+                yield _scored(part.column(0), part.column(1), starts, given(1, ngrams(tokens, starts), np.uint8), c, n, v, n_texts)
 
     return run
