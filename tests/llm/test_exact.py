@@ -54,6 +54,41 @@ def test_components(spark, width, num, depth):
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_a_crowd_with_several_leaders(spark, monkeypatch, seed):
+    """Pairs at the threshold inside one crowd, most classes far from most others; the difference lists must find them."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(120)]
+    rows, serial = [], itertools.count()
+    for _ in range(150):
+        text = list(base)
+        for k in rng.sample(range(4, 116), rng.randint(2, 6)):
+            text[k] = f"x{rng.randrange(12)}"
+        rows.append(text)
+        if rng.random() < 0.5:
+            near = list(text)
+            near[rng.randrange(120)] = f"y{next(serial)}"
+            rows.append(near)
+    rows = [(k, " ".join(t)) for k, t in enumerate(rows)]
+    groups_of = []
+    inner = neardup._pairs_by_difference
+    monkeypatch.setattr(neardup, "_pairs_by_difference", lambda groups, *a: (groups_of.extend(groups.select("c", "key").collect()), inner(groups, *a))[1])
+    sets = {k: shingles(t, 3) for k, t in rows}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=85, den=100, depth=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: find(k) for k in sets}
+    assert len({g.c for g in groups_of}) > 1 and max(Counter(g.key for g in groups_of).values()) > 1
+
+
 @pytest.mark.parametrize("small", [0, 10**6])
 def test_connected_components(spark, small):
     rng = random.Random(2)

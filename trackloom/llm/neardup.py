@@ -7,8 +7,8 @@ depth that pairs at the threshold share with probability `threshold ** depth` in
 
 Candidates are drawn region by region, only between classes not yet in one component:
 * a region of at most SMALL classes gives all its pairs;
-* a larger (dense) one gives each class with one leader, and is then divided by its further label values (adaptive
-  depth) and treated likewise;
+* a larger (dense) one gives each class with one leader, and is then divided by the next label value (adaptive
+  depth) and treated likewise, down to the full depth;
 * what is then still apart in a dense region is compared by differences: B holds the shingles that most of the
   region's classes have, D(x) is what x has beyond B or lacks of it. Since |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|,
   a pair far from B is linked only if its D share enough elements: a join on them, with bounds on how many can still
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return cut(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
 
     groups = None
-    for d in (depth, DEPTH):
+    for d in range(depth, DEPTH + 1):
         live = live.withColumn("prefix", at(d))
         leader = F.min_by(F.struct("key", "n", "u", "root"), F.struct(F.col("u") / F.col("n"), F.xxhash64("key"))).alias("leader")
         regions = live.groupBy("tree", "prefix").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), leader).filter("r0 <> r1")
@@ -240,9 +240,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         # on go dense regions, without classes whose private shingles rule out any link
         dense_rows = live.filter(~small & (den * (F.col("n") - F.col("u")) >= num * F.col("n")))
         if d == depth:
-            # one group for each class: that of the most central leader among its regions, whom all near it share
-            central = F.min(F.struct((F.col("leader.u") / F.col("leader.n")).alias("off"), F.col("leader.key").alias("c"))).alias("best")
-            groups = cut(dense_rows.groupBy("key", "n", "u").agg(central).select("best.c", "key", "n", "u"))
+            # a class is in the group of each dense region it is in, so two of one region always meet
+            groups = cut(dense_rows.select(F.col("leader.key").alias("c"), "key", "n", "u").distinct())
         if d == DEPTH:
             break
         live = rooted(dense_rows.select("tree", "label", "key", "n", "u"))
