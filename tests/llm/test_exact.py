@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from trackloom.llm import graphs, html_text, importance, lm_scoring, mixing, neardup, sharding, toxicity, warc, webp
 
@@ -89,6 +90,29 @@ def test_components_of_a_crowd_with_several_leaders(spark, monkeypatch, seed):
     assert len({g.c for g in groups_of}) > 1 and max(Counter(g.key for g in groups_of).values()) > 1
 
 
+@pytest.mark.parametrize(("num", "lacks", "own"), [(85, 84, 85), (80, 123, 124)])
+def test_linked_pairs_whose_differences_share_nothing(spark, num, lacks, own):
+    """The class with the fewest differences from the common set is too small to link two larger ones with each other."""
+    common = set(range(1000))
+    members = {b"y0": common - set(range(lacks)), b"x": common | set(range(2000, 2000 + own)), b"y": common | set(range(4000, 4000 + own))}
+    rng = random.Random(1)
+    members |= {b"z%02d" % k: common - set(rng.sample(range(1000), 300)) for k in range(40)}
+    groups = spark.createDataFrame([(b"c", k, len(m), 0, k) for k, m in members.items()], "c binary, key binary, n long, u long, root binary")
+    sets = spark.createDataFrame([(k, np.array(sorted(m), np.int64).tobytes()) for k, m in members.items()], "key binary, set binary")
+    met = neardup._pairs_by_difference(groups, sets, num, 100, lambda x, y: F.lit(True)).collect()
+    root = {k: k for k in members}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in ((bytes(r.a), bytes(r.b)) for r in met):
+        if 100 * len(members[a] & members[b]) >= num * len(members[a] | members[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    assert 100 * len(common) >= num * len(members[b"x"] | members[b"y"]) and find(b"x") == find(b"y")
+
+
 @pytest.mark.parametrize("small", [0, 10**6])
 def test_connected_components(spark, small):
     rng = random.Random(2)

@@ -12,7 +12,8 @@ Candidates are drawn region by region, only between classes not yet in one compo
 * what is then still apart in a dense region is compared by differences: B holds the shingles that most of the
   region's classes have, D(x) is what x has beyond B or lacks of it. Since |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|,
   a pair far from B is linked only if its D share enough elements: a join on them, with bounds on how many can still
-  follow (rarest first), gives the candidates; classes near B are compared with the nearest one.
+  follow (rarest first), gives the candidates; each class is compared with the one nearest to B for its size, which
+  is linked with both classes of any linked pair whose D share nothing.
 In dense regions pairs that can't be linked are left out by an exact bound: a shingle that only one class of all
 dense regions has is private to it, and what two classes share is at most either one's shingles that aren't. The
 class with the fewest private shingles, the middle of its region, leads.
@@ -156,7 +157,10 @@ def _pairs_by_difference(groups: DataFrame, sets: DataFrame, num: int, den: int,
     common = common.groupBy("c").agg(F.collect_list("shingle").alias("common"))
     rows = groups.join(sets, "key").join(common, "c").select("c", "key", "n", "u", "root", "set", "common")
     diffs = cut(rows.mapInArrow(_differences, "c binary, key binary, n long, u long, root binary, nd long, shingle long"))
-    nearest = diffs.groupBy("c").agg(F.min_by(F.struct("key", "root"), F.struct("nd", "key")).alias("y0"))
+    # x and y whose D share nothing are linked only if off(x) + off(y) <= 0. The class with the least off has no more
+    # than either, so then it is linked with both, and one hub is enough
+    off = (den + num) * F.col("nd") - (den - num) * F.col("n")
+    nearest = diffs.groupBy("c").agg(F.min_by(F.struct("key", "root"), F.struct(off, "key")).alias("y0"))
     major = groups.groupBy("c", "root").count().groupBy("c").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
     pairs = groups.join(nearest, "c").filter(F.col("root") != F.col("y0.root")).select(F.least("key", "y0.key").alias("a"), F.greatest("key", "y0.key").alias("b")).distinct()
     # elements that two classes at least have, rarest first; from the first one that a pair shares on, it can share
