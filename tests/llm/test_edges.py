@@ -74,11 +74,66 @@ def test_empty_side_tables(docs, labels, items, name):
     assert OPERATORS[name](docs, labels.limit(0), items.limit(0)).count() == len(ROWS)
 
 
-def test_stages_keep_columns(docs, labels, items):
-    for out in (importance.keep_good(docs, labels), neardup.keep_one(docs), decontamination.drop_contaminated(docs, items), mixing.emit(docs)):
-        assert out.columns == docs.columns
-        out.count()
-    assert sharding.shard_rows(docs.drop("shard"), n_shards=3).columns == [*docs.drop("shard").columns, "shard"]
+CLASHES = ["_id", "_k", "k", "key", "n", "_n", "size", "rows", "copy", "other", "gone", "_contaminated", "packed", "p_key", "p_size", "piece", "bytes", "root", "place", "a.b", "shard"]
+
+STAGES = {
+    "keep_good": lambda d, lab, it: importance.keep_good(d, lab),
+    "keep_one": lambda d, lab, it: neardup.keep_one(d),
+    "drop_contaminated": lambda d, lab, it: decontamination.drop_contaminated(d, it),
+    "emit": lambda d, lab, it: mixing.emit(d),
+    "shard_rows": lambda d, lab, it: sharding.shard_rows(d, n_shards=3),
+}
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_keep_clashing_columns(spark, docs, labels, items, name):
+    """Values, not only names: each clashing column holds its own name."""
+    wide = docs.select("doc_id", "text", "source", *[F.lit(f"mine {c}").alias(c) for c in CLASHES])
+    plain = docs.select("doc_id", "text", "source")
+    out = STAGES[name](wide, labels, items)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    for c in CLASHES:
+        if (name, c) != ("shard_rows", "shard"):
+            assert {r[c] for r in rows} == {f"mine {c}"}, c
+    small = STAGES[name](plain, labels, items).collect()
+    key = lambda r: (str(r.doc_id), str(r.text), str(r.source))
+    assert sorted(map(key, rows)) == sorted(map(key, small))
+    assert STAGES[name](wide.limit(0), labels, items).count() == 0
+    if name == "shard_rows":
+        assert {r.shard for r in rows} <= {0, 1, 2} and all(isinstance(r.shard, int) for r in rows)
+
+
+def test_mixed_rows_are_those_drawn(docs):
+    """copies() and emit() agree also where rows share an id, a source and a size."""
+    want = {}
+    for r in mixing.copies(docs).collect():
+        want[r.doc_id, r["size"]] = want.get((r.doc_id, r["size"]), 0) + r.n_copies
+    got = {}
+    for r in mixing.emit(docs).select("doc_id", mixing.word_count(F.col("text")).alias("size")).collect():
+        got[r.doc_id, r["size"]] = got.get((r.doc_id, r["size"]), 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_one_id_with_different_texts(spark, items):
+    docs = spark.createDataFrame([(1, "a b c d e f", "s"), (1, "brown fox jumps over the lazy dog and runs away from", "s"), (1, None, "s")], "doc_id long, text string, source string")
+    assert sorted(r.n_hit for r in decontamination.hits(docs, items).collect()) == [0, 0, 11]
+    assert sorted(r.n_words for r in decontamination.hits(docs, items).collect()) == [0, 6, 11]
+    assert lm_scoring.score(docs).count() == sharding.shard_documents(docs, n_shards=2).count() == 3
+    assert {r.component_id for r in neardup.near_duplicates(docs).collect()} == {1}
+
+
+def test_text_ids_of_any_characters(spark):
+    names = ["-", "", "a b", "line\r\nbreak", "é%20", None]
+    pages = spark.createDataFrame([(k, "u", "<p>same</p>") for k in names] + [("z", "u", "<p>own</p>")], "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert set(got) == {*names, "z"} and got[""].record_type == got["z"].record_type == "response"
+    assert all(got[k].record_type == "revisit" and got[k].refers_to == "" for k in names if k != "")
+
+
+def test_gumbel_ties_are_all_kept(spark, labels):
+    docs = spark.createDataFrame([(7, "same words here")] * 6, "doc_id long, text string")
+    assert {r.kept for r in importance.resample(docs, labels, share=0.5).collect()} == {True}
 
 
 def test_keep_one_leaves_one_of_repeated_rows(docs):

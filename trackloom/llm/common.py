@@ -35,6 +35,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of df, also those with dots in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 #: Ids (8 bytes each) are broadcast up to this many; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, fold_of, small_or_not
+from trackloom.llm.common import cut, fold_of, free, small_or_not
 
 BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
@@ -170,6 +170,6 @@ def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the resampling keeps, with their columns."""
-    id_col = options.get("id_col", "doc_id")
-    out = cut(resample(docs, labels, **options).filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(small_or_not(out), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    id_col, gone = options.get("id_col", "doc_id"), free(docs, "gone")
+    out = cut(resample(docs, labels, **options).filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(small_or_not(out), F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")

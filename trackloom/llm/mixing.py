@@ -12,6 +12,8 @@ hash class), and only the cells' counts, at most classes x 64 for a source, are
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import all_columns, free
+
 WORDS = r"[^\x20\x09-\x0D]+"
 SUB = 64
 
@@ -45,6 +47,11 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source
 
     Null ids and sources are values of their own (they sort last); a null or wordless text has size 0 and takes 0
     words; rows with the same id are separate rows; an empty table gives no rows; further columns are not read."""
+    return _drawn(docs, id_col, source_col, text_col, weights, share, most, seed).drop("src")
+
+
+def _drawn(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """What copies() returns, with the source as src."""
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     hexed = lambda c, a, n: F.conv(F.substring(c, a, n), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), key.alias("h"))
@@ -63,17 +70,30 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source
     n = F.floor(F.col("offset") + each * place) - F.floor(F.col("offset") + each * (place - 1))
     # no row crosses more whole numbers than ceil(expected); guards against rounding of large sums
     out = out.withColumn("n_copies", F.least(n, F.ceil(each)).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"), "n_copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"), "n_copies", F.col("cell.src").alias("src"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows themselves: each row as often as it was drawn, with the columns of docs. Rows that share an
-    id share one draw of the row with the smallest size."""
-    drawn = copies(docs, **options)
-    id_col = options.get("id_col", "doc_id")
-    once = drawn.groupBy("doc_id").agg(F.min_by("n_copies", F.struct("size", "n_copies")).alias("_n")).withColumnRenamed("doc_id", "_id")
-    out = docs.join(once.filter("_n > 0"), F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(*docs.columns)
+    """The mixed rows themselves: each row as often as it was drawn, with the columns of docs, whatever their names.
+    Rows that share an id and a size share what was drawn for them, dealt out evenly."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    key, size, n, copy, place = (free(docs, name) for name in ("key", "size", "n", "copy", "place"))
+    columns = all_columns(docs)
+    # source and length class are functions of the row, so rows with equal (id, size, source) are exchangeable
+    source_col = options.get("source_col", "source")
+    drawn = _drawn(docs, **options).groupBy("doc_id", "size", "src").agg(F.sum("n_copies").alias("n_copies"), F.count("*").alias("rows"))
+    drawn = drawn.select(F.struct("doc_id", "size", "src").alias(key), F.col("n_copies").alias(n), "rows").filter(F.col(n) > 0)
+    out = docs.withColumn(size, word_count(F.col(text_col)))
+    out = out.withColumn(key, F.struct(F.col(id_col).alias("doc_id"), F.col(size).alias("size"), F.col(source_col).alias("src")))
+    drawn, rows = drawn.withColumnRenamed("rows", place), place
+    out = out.join(drawn, key)
+    single = out.filter(F.col(rows) == 1).withColumn(copy, F.col(n))
+    # the rows of one key take floor or ceil of n / rows each, n in all
+    several = out.filter(F.col(rows) > 1)
+    k = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[c for c, f in zip(columns, docs.schema, strict=True) if "map<" not in f.dataType.simpleString()])))
+    several = several.withColumn(copy, F.floor(k * F.col(n) / F.col(rows)) - F.floor((k - 1) * F.col(n) / F.col(rows)))
+    out = single.unionByName(several)
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copy).cast("int")))).select(*columns)
 
 
 ORACLE = """

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, small_or_not
+from trackloom.llm.common import cut, free, small_or_not
 from trackloom.llm.graphs import components
 
 TREES, DEPTH, SMALL = 16, 6, 32
@@ -155,7 +155,8 @@ def _pairs_by_difference(groups: DataFrame, sets: DataFrame, num: int, den: int,
     held = groups.join(sets, "key").select("c", "set").mapInArrow(_exploded, "key binary, shingle long")
     common = held.groupBy(F.col("key").alias("c"), "shingle").count().join(apart.select("c", "m"), "c").filter(2 * F.col("count") > F.col("m"))
     common = common.groupBy("c").agg(F.collect_list("shingle").alias("common"))
-    rows = groups.join(sets, "key").join(common, "c").select("c", "key", "n", "u", "root", "set", "common")
+    # a group whose classes have no shingle in common has an empty B
+    rows = groups.join(sets, "key").join(common, "c", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>"))).select("c", "key", "n", "u", "root", "set", "common")
     diffs = cut(rows.mapInArrow(_differences, "c binary, key binary, n long, u long, root binary, nd long, shingle long"))
     # x and y whose D share nothing are linked only if off(x) + off(y) <= 0. The class with the least off has no more
     # than either, so then it is linked with both, and one hub is enough
@@ -262,16 +263,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the near-duplicates: of each component one row stays, that with the smallest id."""
-    id_col = options.get("id_col", "doc_id")
+    """docs without the near-duplicates: of each component one row stays, that with the smallest id.
+
+    Rows without words stay all; of rows with one id and one text, too, one stays; further columns, whatever their
+    names, stay as they are."""
+    id_col, text_col, other = options.get("id_col", "doc_id"), options.get("text_col", "text"), free(docs, "other")
     marked = cut(near_duplicates(docs, **options))
-    dropped = cut(marked.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct())
-    out = docs.join(small_or_not(dropped), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    # of rows with one id and one text, too, one stays
-    again = cut(marked.filter("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"))
+    dropped = cut(marked.filter("NOT kept").select(F.col("doc_id").alias(other)).distinct())
+    same = F.col(id_col).eqNullSafe(F.col(other))
+    out = docs.join(small_or_not(dropped), same, "left_anti")
+    again = cut(marked.filter("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias(other)).count().filter("count > 1").select(other))
     if again.isEmpty():
         return out
     hint = small_or_not(again)
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
-    once = out.join(hint, same, "left_semi").dropDuplicates([id_col, options.get("text_col", "text")])
+    once = out.join(hint, same, "left_semi").dropDuplicates([id_col, text_col])
     return out.join(hint, same, "left_anti").unionByName(once)
