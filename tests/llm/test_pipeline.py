@@ -12,6 +12,12 @@ from trackloom.llm import decontamination, neardup, queries
 DATA = "/root/testdata/sf0.001"
 
 
+def same(x, y):
+    if pd.isna(x) or pd.isna(y):
+        return bool(pd.isna(x) and pd.isna(y))
+    return bool(x == y) or isinstance(x, float) and abs(x - y) <= 1e-9 * max(1, abs(y))
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
@@ -23,7 +29,7 @@ def test_sql(spark, name):
     order = [c for c in ("doc_id", "page_id") if c in want.columns]
     for c in want.columns:
         a, b = got.sort_values(order)[c].tolist(), want.sort_values(order)[c].tolist()
-        assert all(x == y or pd.isna(x) and pd.isna(y) or isinstance(x, float) and abs(x - y) <= 1e-9 * max(1, abs(y)) for x, y in zip(a, b, strict=True)), c
+        assert all(same(x, y) for x, y in zip(a, b, strict=True)), c
 
 
 def test_pipeline(spark):
@@ -38,7 +44,13 @@ def test_pipeline(spark):
     assert all(r.kept for r in neardup.near_duplicates(left).collect())
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
     assert not any(r.contaminated for r in decontamination.hits(left, items).collect())
-    assert out.groupby("text")["shard"].nunique().max() == 1
+    # a group of copies takes one shard, or, if it is larger than total / 40, the fewest pieces that are not
+    size = out.text.fillna("").map(lambda t: len(t.encode()) + 16)
+    total = int(size.sum())
+    for text, part in out.assign(size=size).groupby("text"):
+        pieces = max(1, -(-int(part["size"].sum()) * 40 // total)) if part["size"].sum() > max(1, total // 40) else 1
+        assert part["shard"].nunique() <= pieces, text
+        assert pieces > 1 or part["shard"].nunique() == 1
     # good documents without any near copy or passage stay, apart from what the mixture doesn't draw
     labels = spark.read.parquet(f"{DATA}/labels.parquet").toPandas()
     first = corpus_pipeline.STAGES[0][1](spark, docs, DATA).toPandas()

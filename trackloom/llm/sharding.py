@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut
+from trackloom.llm.common import all_columns, cut, free
 
 
 class RoomTree:
@@ -149,29 +149,29 @@ def pack_groups(groups: DataFrame, n_shards: int, chunk_groups: int = 100_000) -
 
 
 def assign(rows: DataFrame, *, key: Column, size: Column, n_shards: int, order: Column, chunk_groups: int = 100_000) -> DataFrame:
-    """rows with _key, _size, _piece and shard. Groups are rows of equal key; order tells rows of a group apart."""
-    rows = rows.withColumn("_key", key).withColumn("_size", size)
-    groups = cut(rows.groupBy("_key").agg(F.sum("_size").alias("bytes"), F.count("*").alias("n")))
+    """rows with one column more, packed, which holds the shard. Groups are rows of equal key; order tells rows of a
+    group apart, and rows that it doesn't tell apart must be equal."""
+    k, size_, piece, pieces_, n_, cell_, start_ = (free(rows, name) for name in ("p_key", "p_size", "p_piece", "p_pieces", "p_n", "p_cell", "p_start"))
+    rows = rows.withColumn(k, key).withColumn(size_, size)
+    groups = cut(rows.groupBy(F.col(k).alias("key")).agg(F.sum(size_).alias("bytes"), F.count("*").alias("n")))
     total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     # at most n_shards groups are larger than total / n_shards
-    large = groups.filter(F.col("bytes") > max(1, total // n_shards)).select("_key", F.ceil(F.col("bytes") * n_shards / total).cast("int").alias("_pieces"), F.col("n").alias("_n"))
+    large = groups.filter(F.col("bytes") > max(1, total // n_shards)).withColumn("p", F.ceil(F.col("bytes") * n_shards / total).cast("int"))
     cells = 256
-    tagged = rows.join(F.broadcast(large), "_key", "left")
-    cell = F.pmod(F.xxhash64(order), F.lit(cells)).cast("int")
-    hot = tagged.filter(F.col("_pieces").isNotNull()).withColumn("_cell", cell)
-    starts = hot.groupBy("_key", "_cell").count().withColumn("_start", F.sum("count").over(Window.partitionBy("_key").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)))
-    starts = starts.select("_key", "_cell", F.coalesce("_start", F.lit(0)).alias("_start"))
-    place = F.col("_start") + F.row_number().over(Window.partitionBy("_key", "_cell").orderBy(order)) - 1
-    hot = hot.join(starts, ["_key", "_cell"]).withColumn("_piece", F.floor(place * F.col("_pieces") / F.col("_n")).cast("int")).drop("_cell", "_start")
-    tagged = tagged.filter(F.col("_pieces").isNull()).withColumn("_piece", F.lit(0)).unionByName(hot).drop("_pieces", "_n")
-    pieces = groups.join(F.broadcast(large.select("_key", "_pieces")), "_key", "left")
-    j = F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)).alias("piece")
-    pieces = pieces.select(F.col("_key").alias("key"), j, "bytes", "n", F.coalesce("_pieces", F.lit(1)).alias("p"))
+    tagged = rows.join(F.broadcast(large.select(F.col("key").alias(k), F.col("p").alias(pieces_), F.col("n").alias(n_))), k, "left")
+    hot = tagged.filter(F.col(pieces_).isNotNull()).withColumn(cell_, F.pmod(F.xxhash64(order), F.lit(cells)).cast("int"))
+    starts = hot.groupBy(k, cell_).agg(F.count("*").alias(start_))
+    starts = starts.withColumn(start_, F.coalesce(F.sum(start_).over(Window.partitionBy(k).orderBy(cell_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.col(start_) + F.row_number().over(Window.partitionBy(k, cell_).orderBy(order)) - 1
+    hot = hot.join(starts, [k, cell_]).withColumn(piece, F.floor(place * F.col(pieces_) / F.col(n_)).cast("int")).drop(cell_, start_)
+    tagged = tagged.filter(F.col(pieces_).isNull()).withColumn(piece, F.lit(0)).unionByName(hot).drop(pieces_, n_, size_)
+    pieces = groups.join(F.broadcast(large.select("key", "p")), "key", "left").withColumn("p", F.coalesce("p", F.lit(1)))
+    pieces = pieces.select("key", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("piece"), "bytes", "n", "p")
     # rows j*n/p up to (j+1)*n/p of n equal rows
     count = F.ceil((F.col("piece") + 1) * F.col("n") / F.col("p")) - F.ceil(F.col("piece") * F.col("n") / F.col("p"))
     pieces = pieces.select("key", "piece", (count * F.col("bytes") / F.col("n")).cast("long").alias("bytes"))
-    packed = pack_groups(pieces, n_shards, chunk_groups).select(F.col("key").alias("_key"), F.col("piece").alias("_piece"), "shard")
-    return tagged.join(packed, ["_key", "_piece"])
+    packed = pack_groups(pieces, n_shards, chunk_groups).select(F.col("key").alias(k), F.col("piece").alias(piece), F.col("shard").alias("packed"))
+    return tagged.join(packed, [k, piece]).drop(k, piece)
 
 
 def with_slots(rows: DataFrame, order: Column, cells: int = 256) -> DataFrame:
@@ -189,18 +189,28 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A null text counts as the empty one (no bytes, crc32 0) and shares its group; null ids and repeated rows are
     rows like any other; an empty table gives no rows; further columns are not read. Copies of a text share a
-    shard unless they are larger than a shard together."""
+    shard, unless they are larger than total / n_shards together: sizes could not be near equal then, so such a
+    group is cut into ceil(bytes * n_shards / total) pieces of equal counts, the fewest that fit."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text).alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("k"))
     order = F.struct("doc_id", "k")
     out = assign(rows, key=F.col("k"), size=F.col("size"), n_shards=n_shards, order=order, chunk_groups=chunk_groups)
-    out = with_slots(out, order)
+    out = with_slots(out.withColumnRenamed("packed", "shard"), order)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def shard_rows(docs: DataFrame, *, text_col: str = "text", n_shards: int = 40, chunk_groups: int = 100_000) -> DataFrame:
-    """docs with a column shard, the texts themselves kept (one shuffle of them)."""
+    """docs with a column shard, the texts themselves kept (one shuffle of them). Groups are cut as in
+    shard_documents(). Columns of any name stay as they are, but a column shard of docs gives way to the new one."""
+    docs = docs.drop("shard")
+    columns = all_columns(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_k", F.unhex(F.sha2(text, 256))).withColumn("_u", F.monotonically_increasing_id())
-    out = assign(rows, key=F.col("_k"), size=text_bytes(text), n_shards=n_shards, order=F.struct("_u"), chunk_groups=chunk_groups)
-    return out.select(*docs.columns, F.col("shard").cast("int").alias("shard"))
+    # rows of one group that agree in these hashes agree in all that can be hashed
+    hashed = [c for c, f in zip(columns, docs.schema, strict=True) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = F.struct(F.xxhash64(*hashed), F.hash(*hashed))
+    if "packed" in (c.lower() for c in docs.columns):  # assign() adds a column of that name
+        inner, names = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), docs.columns
+        out = shard_rows(inner, text_col=f"c{[c.lower() for c in names].index(text_col.lower())}", n_shards=n_shards, chunk_groups=chunk_groups)
+        return out.toDF(*names, "shard")
+    out = assign(docs, key=F.unhex(F.sha2(text, 256)), size=text_bytes(text), n_shards=n_shards, order=order, chunk_groups=chunk_groups)
+    return out.select(*columns, F.col("packed").cast("int").alias("shard"))
