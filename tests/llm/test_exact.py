@@ -315,30 +315,48 @@ def test_archives(version, packed):
     assert [r.head["warc-type"] for r in got] == ["warcinfo", "response", "resource", "response"]
     assert got[1].block == records[0][4] and got[1].head["warc-target-uri"] == "http://a.example/x%20y"
     assert [r.head["warc-date"] for r in got[1:]] == ["2001-02-03T04:05:06Z", "2001-01-01T00:00:00Z", "2001-01-01T00:00:00Z"]
+    assert warc.timestamp("20010231") == "2001-02-01T00:00:00Z" and warc.timestamp("20000229120000") == "2000-02-29T12:00:00Z"
     assert warc.payload_facts(got[3]) == (0, "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ")
     with pytest.raises(ValueError):
         list(warc.read_arc(warc.write_arc(records, version)[:-20]))
 
 
+def test_revisits_point_to_records_that_exist(spark):
+    pages = spark.createDataFrame([(k, f"http://a.example/{k}", f"<p>{k % 3}</p>") for k in range(12)], "page_id long, url string, html string")
+    records = [r for row in warc.archive(pages).collect() for r in warc.read_warc(bytes(row.content)) if r.head["warc-type"] != "warcinfo"]
+    ids = [r.head["warc-record-id"] for r in records]
+    by_id = dict(zip(ids, records, strict=True))
+    assert len(by_id) == len(records) == 12
+    for r in records:
+        if r.head["warc-type"] == "revisit":
+            first = by_id[r.head["warc-refers-to"]]
+            assert first.head["warc-type"] == "response" and first.head["warc-payload-digest"] == r.head["warc-payload-digest"]
+    assert {r.page_id: r.refers_to for r in warc.round_trip(pages).collect()} == {k: k % 3 if k > 2 else None for k in range(12)}
+
+
 def test_levenshtein_trie():
     rng = random.Random(3)
     terms = {"".join(rng.choice("abcd") for _ in range(rng.randint(3, 9))): rng.random() for _ in range(40)}
     trie = toxicity.LexiconTrie(terms)
 
     def distance(a, b):
-        row = list(range(len(b) + 1))
+        above, row = None, list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
             new = [i]
             for j, y in enumerate(b, 1):
-                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-            row = new
+                cost = min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                    cost = min(cost, above[j - 2] + 1)
+                new.append(cost)
+            above, row = row, new
         return row[-1]
 
     for _ in range(1500):
         word = rng.choice(list(terms))
         for _ in range(rng.randint(0, 2)):
             k = rng.randrange(len(word) + 1)
-            word = rng.choice([word[:k] + word[k + 1 :], word[:k] + rng.choice("abcd") + word[k:], word[:k] + rng.choice("abcd") + word[k + 1 :]])
+            swapped = word[:k] + word[k : k + 2][::-1] + word[k + 2 :]
+            word = rng.choice([word[:k] + word[k + 1 :], word[:k] + rng.choice("abcd") + word[k:], word[:k] + rng.choice("abcd") + word[k + 1 :], swapped])
         near = [(distance(word, t), -terms[t], t) for t in terms if (len(t) >= 5 and distance(word, t) <= 1) or word == t]
         want = min(near, default=None)
         assert trie.find(word) == ((want[2], want[0]) if want else None), word

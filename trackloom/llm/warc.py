@@ -10,6 +10,7 @@ own writer, so a lost executor's part is written again.
 """
 
 import base64
+import calendar
 import gzip
 import hashlib
 import re
@@ -17,13 +18,13 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import fresh_path, small_or_not
+from trackloom.llm.common import cut, fresh_path, small_or_not
 
 # fixed values: the fields of the header line by the version of the file, as its version block announces them
 FIELDS = {
@@ -125,12 +126,13 @@ def http_parts(block: bytes) -> tuple[bytes, bytes]:
 
 
 def timestamp(digits: str) -> str:
-    """20010203040506 -> 2001-02-03T04:05:06Z; what is missing or out of range is taken as the earliest."""
+    """20010203040506 -> 2001-02-03T04:05:06Z; what is missing or out of range (also the 31st of a shorter month) is
+    taken as the earliest."""
     parts = [digits[0:4], digits[4:6], digits[6:8], digits[8:10], digits[10:12], digits[12:14]]
     low, high, found = (1, 1, 1, 0, 0, 0), (9999, 12, 31, 23, 59, 59), []
-    for p, a, b in zip(parts, low, high, strict=True):
-        n = int(p) if p.isdigit() else a
-        found.append(n if a <= n <= b else a)
+    for k, (p, a, b) in enumerate(zip(parts, low, high, strict=True)):
+        n, last = int(p) if p.isdecimal() else a, calendar.monthrange(*found)[1] if k == 2 else b
+        found.append(n if a <= n <= last else a)
     return "{:04d}-{:02d}-{:02d}T{:02d}:{:02d}:{:02d}Z".format(*found)
 
 
@@ -141,24 +143,29 @@ def warc_record(head: list[tuple[str, str]], block: bytes, packed: bool = True)
     return gzip.compress(whole, 1, mtime=0) if packed else whole
 
 
-def convert(arc: bytes, name: str, *, revisits: Callable[[Record, bytes], tuple[str, str] | None] = lambda record, payload: None, packed: bool = True) -> bytes:
-    """The WARC file of an ARC file. revisits: for a record and its payload, None, or (id of the record that has the
-    payload, a label for it); such a record keeps its HTTP head only and points there."""
+def place_id(name: str, record: Record, sha: str) -> str:
+    """A record's id from its place in a file."""
+    return str(uuid.uuid5(NAMESPACE, f"{name} {record.offset} {record.head['url']} {record.head['date']} {sha}"))
+
+
+def convert(arc: bytes, name: str, *, identify: Callable[[Record, str], tuple[str | None, str | None]] = lambda record, sha: (None, None), packed: bool = True) -> bytes:
+    """The WARC file of an ARC file. identify: for a record and the digest of its payload, its id (None: made up from
+    its place) and the id of the record that already has this payload (None: there is none); a record with the latter
+    becomes a revisit, which keeps its HTTP head only."""
     info = f"software: trackloom\r\nformat: WARC File Format 1.1\r\ndescription: converted from {name}\r\n".encode()
     out = [warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMESPACE, name)}>"), ("WARC-Date", timestamp(EPOCH)), ("Content-Type", "application/warc-fields")], info, packed)]
     for record in read_arc(arc):
         is_http = record.block[:5] == b"HTTP/"
         head, payload = http_parts(record.block) if is_http else (b"", record.block)
         sha = digest(payload)
-        record_id = uuid.uuid5(NAMESPACE, f"{name} {record.offset} {record.head['url']} {record.head['date']} {sha}")
-        found, block = revisits(record, payload), record.block
-        kind = "revisit" if found else "response" if is_http else "resource"
-        lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{record_id}>"), ("WARC-Date", timestamp(record.head["date"])), ("WARC-Target-URI", record.head["url"])]
+        (own, first), block = identify(record, sha), record.block
+        kind = "revisit" if first else "response" if is_http else "resource"
+        lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{own or place_id(name, record, sha)}>"), ("WARC-Date", timestamp(record.head["date"])), ("WARC-Target-URI", record.head["url"])]
         if re.fullmatch(r"[0-9a-fA-F:.]+", record.head["ip"]) and record.head["ip"] != "0.0.0.0":
             lines.append(("WARC-IP-Address", record.head["ip"]))
-        if found:
+        if first:
             block = head
-            lines += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{found[0]}>"), ("X-Refers-To-Key", found[1]), ("X-Payload-Length", str(len(payload)))]
+            lines += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{first}>"), ("X-Payload-Length", str(len(payload)))]
         lines += [("WARC-Payload-Digest", f"sha1:{sha}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/http; msgtype=response" if is_http else record.head["type"])]
         out.append(warc_record(lines, block, packed))
     return b"".join(out)
@@ -194,30 +201,47 @@ def payload_facts(record: Record) -> tuple[int, str]:
 
 # ---- pages as archives
 
+KEY = re.compile(rb"X-Record-Key: (\S*)\r\n")
+
+
+def _token(key: str | None) -> str:
+    """A key as one word without blanks: null is empty."""
+    return "" if key is None else "k" + quote(key, safe="")
+
+
+def _key(block: bytes) -> str | None:
+    token = KEY.search(block)[1].decode()
+    return unquote(token[1:]) if token else None
+
+
+def record_id(token: str, sha: str) -> str:
+    """The id of the page with this key and payload: what a revisit of it has to point to."""
+    return str(uuid.uuid5(NAMESPACE, f"page {token} {sha}"))
+
+
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, url, html, refers_to), keys as text -> converted archives of about ARCHIVE_BYTES."""
     waiting: list[tuple] = []
-    refers: dict[str, str] = {}
+    refers: dict[tuple[str, str], str] = {}
     size = 0
 
     def close() -> pa.RecordBatch:
         name = f"part-{digest(b''.join(w[4][:200] for w in waiting))}.arc"
 
-        def seen(record: Record, payload: bytes) -> tuple[str, str] | None:
-            key = re.search(rb"X-Record-Key: (\S*)\r\n", record.block)[1].decode()
-            first = refers.get((key, hashlib.sha1(payload, usedforsecurity=False).digest()))
-            return None if first is None else (str(uuid.uuid5(NAMESPACE, f"{first} {digest(payload)}")), first)
+        def identify(record: Record, sha: str) -> tuple[str | None, str | None]:
+            token = KEY.search(record.block)[1].decode()
+            first = refers.get((token, sha))
+            return (record_id(token, sha), None) if first is None else (None, record_id(first, sha))
 
-        content = convert(write_arc(waiting, "1", name), name, revisits=seen)
+        content = convert(write_arc(waiting, "1", name), name, identify=identify)
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], ["archive", "content"])
 
     for batch in batches:
         for key, url, page, first in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            payload = (page or "").encode()
-            key = "-" if key is None else key
+            payload, token = (page or "").encode(), _token(key)
             if first is not None:
-                refers[key, hashlib.sha1(payload, usedforsecurity=False).digest()] = first
-            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Record-Key: {key}\r\nContent-Length: {len(payload)}\r\n\r\n"
+                refers[token, digest(payload)] = _token(first)
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Record-Key: {token}\r\nContent-Length: {len(payload)}\r\n\r\n"
             waiting.append((url or "about:blank", "0.0.0.0", EPOCH, "text/html", head.encode() + payload))
             size += len(payload)
             if size >= ARCHIVE_BYTES:
@@ -227,17 +251,21 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+INDEX = {"key": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "record_id": pa.binary(), "refers_id": pa.binary()}
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def raw(name: str | None) -> bytes | None:
+        return uuid.UUID(name.strip("<>").removeprefix("urn:uuid:")).bytes if name else None
+
     for batch in batches:
         for content in batch.column(0):
             rows = []
             for record in read_warc(content.as_buffer().to_pybytes()):
-                if record.head["warc-type"] in ("response", "revisit"):
-                    key = re.search(rb"X-Record-Key: (\S*)\r\n", record.block)[1].decode()
-                    rows.append((None if key == "-" else key, *payload_facts(record), record.head["warc-type"], record.head.get("x-refers-to-key")))
-            names = ("key", "payload_bytes", "payload_digest", "record_type", "refers_to")
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], list(names))
+                head = record.head
+                if head["warc-type"] in ("response", "revisit"):
+                    rows.append((_key(record.block), *payload_facts(record), head["warc-type"], raw(head["warc-record-id"]), raw(head.get("warc-refers-to"))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(INDEX.values())], list(INDEX))
 
 
 def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -253,22 +281,28 @@ def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
 
 def index(archives: DataFrame) -> DataFrame:
-    """(archive, content) -> key, payload_bytes, payload_digest, record_type, refers_to of every page record, keys as text."""
-    return archives.select("content").mapInArrow(_index, "key string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    """(archive, content) -> key, payload_bytes, payload_digest, record_type, record_id, refers_id of every page record,
+    keys as text, ids as the 16 bytes of their UUIDs."""
+    return archives.select("content").mapInArrow(_index, "key string, payload_bytes long, payload_digest string, record_type string, record_id binary, refers_id binary")
 
 
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", **names: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from archives in the
-    shared folder.
+    shared folder; refers_to is the key of the record that WARC-Refers-To names.
 
     Null and empty pages have an empty payload, which is deduplicated like any other; null urls become about:blank;
-    a null id sorts after all others; rows that repeat an id and a payload are all responses, or all revisits; an
-    empty table gives no rows; further columns are not read."""
+    a null id sorts after all others; ids of any type that casts to text and back may hold any characters; rows that
+    repeat an id and a payload are one record stored again, with its id, and all responses, or all revisits; an empty
+    table gives no rows; further columns are not read."""
     spark = pages.sparkSession
     path = fresh_path(spark, "archives")
     archive(pages, id_col=id_col, **names).write.parquet(path)
     id_type = pages.schema[id_col].dataType.simpleString()
-    out = index(spark.read.schema("archive string, content binary").parquet(path))
+    out = cut(index(spark.read.schema("archive string, content binary").parquet(path)))
+    # only records that are pointed to are looked up: one row for each payload that occurs again
+    wanted = out.filter("refers_id IS NOT NULL").select(F.col("refers_id").alias("id")).distinct()
+    found = cut(out.filter("record_type = 'response'").join(small_or_not(wanted), F.col("record_id") == F.col("id")).groupBy("id").agg(F.min("key").alias("refers_to")))
+    out = out.join(small_or_not(found), F.col("refers_id") == F.col("id"), "left")
     return out.select(F.col("key").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"))
 
 
