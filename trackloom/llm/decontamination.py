@@ -13,11 +13,12 @@ adds one candidate for each occurrence. Copies of a text are looked up as often
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, lower_ascii, small_or_not
+from trackloom.llm.common import cut, free, lower_ascii, small_or_not
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows go to the executors in blocks of this many at most; the documents are read once for each block.
-BLOCK_WINDOWS = 400_000
+#: Windows go to the executors in blocks of about this many windows, and bytes of words and items, at most; the documents
+#: are read once for each block.
+BLOCK_WINDOWS, BLOCK_BYTES = 400_000, 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -64,11 +65,12 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _search(docs: DataFrame, items: DataFrame, item_id_col: str, item_text_col: str, n: int) -> DataFrame | None:
-    """(k, start, len, items) of every occurrence in the texts of docs; None if there is no window at all."""
+def _search(texts: DataFrame, items: DataFrame, item_id_col: str, item_text_col: str, n: int) -> DataFrame | None:
+    """texts (k, w) -> (k, start, len, items) of every occurrence in them; None if there is no window at all."""
     windows = cut(windows_of(items, item_id_col, item_text_col, n))
-    blocks = -(-windows.count() // BLOCK_WINDOWS)
-    texts = docs.select(_key(F.col("text")).alias("k"), words_of(F.col("text")).alias("w"))
+    size = F.octet_length(F.concat_ws(" ", "window")) + F.aggregate("items", F.lit(0), lambda acc, x: acc + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+    count, volume = windows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(-(-count // BLOCK_WINDOWS), -(-volume // BLOCK_BYTES))
     found = None
     for b in range(blocks):
         part = windows if blocks == 1 else cut(windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b))
@@ -78,12 +80,14 @@ def _search(docs: DataFrame, items: DataFrame, item_id_col: str, item_text_col:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
-    """The rows of docs, with their columns, whose texts hold no window of any item."""
-    found = _search(docs.select(F.col(text_col).alias("text")), items, item_id_col, item_text_col, n)
+    """The rows of docs, with their columns of any name, whose texts hold no window of any item."""
+    texts = docs.select(_key(F.col(text_col)).alias("k"), words_of(F.col(text_col)).alias("w"))
+    found = _search(texts, items, item_id_col, item_text_col, n)
     if found is None:
         return docs
-    keys = cut(found.select(F.col("k").alias("_contaminated")).distinct())
-    return docs.join(small_or_not(keys), _key(F.col(text_col)) == F.col("_contaminated"), "left_anti")
+    gone = free(docs, "gone")
+    keys = cut(found.select(F.col("k").alias(gone)).distinct())
+    return docs.join(small_or_not(keys), _key(F.col(text_col)) == F.col(gone), "left_anti")
 
 
 def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
@@ -92,33 +96,20 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     Null and wordless texts have no words and no hits; rows with equal ids are rows of their own, and equal texts
     get equal results; items with null or wordless texts have no windows, and items with null ids mark words as hit
     but are not counted; empty tables on either side give no hits or no rows; further columns are not read."""
-    out = tagged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items, item_id_col=item_id_col, item_text_col=item_text_col, n=n)
-    return out.select("doc_id", *RESULTS)
-
-
-RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-
-
-def tagged(docs: DataFrame, items: DataFrame, *, item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
-    """docs (with a column text) and the columns RESULTS."""
-    key = _key(F.col("text"))
-    found = _search(docs, items, item_id_col, item_text_col, n)
+    # the key of a row is its id and its text, so copies of a text, and null texts, don't meet in one task
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.unhex(F.md5(F.concat(F.col(id_col).isNull().cast("string"), F.length(name).cast("string"), F.lit(":"), name, F.coalesce(F.col(text_col), F.lit("")))))
+    words = words_of(F.col(text_col))
+    found = _search(docs.select(key.alias("k"), words.alias("w")), items, item_id_col, item_text_col, n)
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("k"), F.size(words).cast("long").alias("n_words"))
     if found is None:
-        per_text = docs.sparkSession.createDataFrame([], "k binary, n_hit long, item_ids array<string>")
+        rows = rows.withColumn("n_hit", F.lit(None).cast("long")).withColumn("item_ids", F.lit(None).cast("array<string>"))
     else:
-        # copies of a text meet here once for each task at most
-        per_text = found.groupBy("k").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
-        per_text = per_text.select("k", covered(F.col("spans")).cast("long").alias("n_hit"), "item_ids")
-    rows = docs.withColumn("_k", key).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long"))
-    rows = rows.join(per_text.withColumnRenamed("k", "_k"), "_k", "left")
-    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return (
-        rows.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
-        .withColumn("n_items", F.size(ids).cast("long"))
-        .withColumn("items_sha256", F.sha2(F.concat_ws(",", F.array_sort(ids)), 256))
-        .withColumn("contaminated", F.col("n_hit") > 0)
-        .drop("_k", "item_ids")
-    )
+        per_row = found.groupBy("k").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
+        rows = rows.join(per_row.select("k", covered(F.col("spans")).cast("long").alias("n_hit"), "item_ids"), "k", "left")
+    ids, n_hit = F.coalesce("item_ids", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("long")
+    digest = F.sha2(F.concat_ws(",", F.array_sort(ids)), 256)
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 ORACLE = """
