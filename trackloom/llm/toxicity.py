@@ -3,8 +3,8 @@
 Lexicon: words that stand in more contexts (previous and next word) of toxic documents than chance allows, learned
 from a bounded sample of labelled rows. Contexts, one for each document, are counted, so copies of a document count once.
 Matching: the Levenshtein automaton of a word (its states are rows of the edit table, dead ones are dropped) runs
-over the lexicon trie; words of 5 letters and more may differ by one edit. A form that clean documents use is a
-word of its own and no misspelling.
+over the lexicon trie; words of 5 letters and more may differ by one edit, two swapped neighbours being one. A form
+that clean documents use as often as toxic ones is a word of its own and no misspelling.
 Context: a hit between quotation marks, or within a few words after a word of reporting, counts a quarter.
 Score: a logistic curve over the summed evidence, fitted on the same sample. Texts are read whole.
 """
@@ -22,14 +22,12 @@ from trackloom.llm.common import cut, fold_of
 
 #: Labelled rows (those with the smallest hash of their id) that lexicon and curve are learned from, at most.
 SAMPLE = 30_000
-#: Candidate words at most, those with the most contexts.
-CANDIDATES = 50_000
 #: Letters and digits; a single mark that stands in for a letter inside a word belongs to it.
 WORD = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*")
 EDITS, FUZZY, QUOTED, WINDOW, LEAST_G = 1, 0.6, 0.25, 6, 18.0
 # fixed values: words of reporting and quotation, in English, German, French and Spanish
 REPORTING = frozenset("said says wrote writes quoted quotes quote called calls cited cites reported reads titled term word sagte schrieb zitierte zitat nannte wort dit écrit cite citation mot dijo escribió citó cita palabra".split())
-QUOTES = re.compile(r"“[^“”]{0,400}”|„[^„“”]{0,400}[“”]|«[^«»]{0,400}»|(?<!\w)\"[^\"\n]{0,400}\"(?!\w)")
+QUOTES = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|(?<!\w)\"[^\"\n]*\"(?!\w)")
 
 
 class LexiconTrie:
@@ -63,9 +61,9 @@ class LexiconTrie:
         return None
 
     def _walk(self, word: str) -> tuple[str, int] | None:
-        best, todo, most = None, [(self.root, tuple(range(len(word) + 1)))], self.edits
+        best, todo, most = None, [(self.root, tuple(range(len(word) + 1)), None, "")], self.edits
         while todo:
-            node, row = todo.pop()
+            node, row, above, before = todo.pop()
             for ch, child in node.items():
                 if ch == "":
                     if row[-1] <= most and len(child) >= 5:
@@ -74,20 +72,24 @@ class LexiconTrie:
                     continue
                 new = [row[0] + 1]
                 for i, c in enumerate(word):
-                    new.append(min(new[-1] + 1, row[i + 1] + 1, row[i] + (c != ch)))
-                if min(new) <= most:
-                    todo.append((child, tuple(new)))
+                    cost = min(new[-1] + 1, row[i + 1] + 1, row[i] + (c != ch))
+                    if i and above and c == before and word[i - 1] == ch:
+                        cost = min(cost, above[i - 1] + 1)
+                    new.append(cost)
+                # a swap costs one at its second letter, so a row above may still lead on
+                if min(new) <= most or min(row) < most:
+                    todo.append((child, tuple(new), row, ch))
         return (best[2], best[0]) if best else None
 
 
 class Matcher(dict):
-    """word -> (term, evidence, is misspelled) or None, remembered for up to half a million words."""
+    """word -> (term, evidence, is misspelled) or None, remembered for up to 100,000 words."""
 
     def __init__(self, weights: dict[str, float], own_words: frozenset[str] = frozenset()):
         self.trie, self.own = LexiconTrie(weights), own_words
 
     def __missing__(self, word: str):
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         found = self.trie.find(word)
         if found and found[1]:
@@ -141,13 +143,15 @@ def _clean_counts(candidates):
     return run
 
 
-def _clean_forms(weights):
+def _forms(weights):
+    """(toxic, text) -> (word, toxic, n): misspelled forms of the lexicon and in how many texts of either label they stand."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, n = Matcher(weights.value), Counter()
         for batch in batches:
-            for text in batch.column(0):
-                n.update(w for w in set(WORD.findall((text.as_py() or "").lower())) if (m := matcher[w]) and m[2])
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string())], ["word"])
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n.update((w, toxic) for w in set(WORD.findall((text.as_py() or "").lower())) if (m := matcher[w]) and m[2])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["word", "toxic", "n"])
 
     return run
 
@@ -189,7 +193,7 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], frozenset[str], float, f
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     toxic, clean = sample.filter("toxic = 1").select("text"), sample.filter("toxic = 0").select("text")
     contexts = toxic.mapInArrow(_contexts, "word string, context string").distinct().groupBy("word").count().filter("count >= 3")
-    candidates = {r["word"]: r["count"] for r in contexts.orderBy(F.desc("count"), "word").limit(CANDIDATES).collect()}
+    candidates = {r["word"]: r["count"] for r in contexts.collect()}
     known = spark.sparkContext.broadcast(frozenset(candidates))
     n_of = {r["word"]: r["n"] for r in clean.mapInArrow(_clean_counts(known), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     weights, share = {}, n_toxic / max(1, n_toxic + n_clean)
@@ -200,7 +204,11 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], frozenset[str], float, f
         if weight >= np.log(8) and g >= LEAST_G and not word.isdigit():
             weights[word] = weight
     shared = spark.sparkContext.broadcast(weights)
-    own = frozenset(r["word"] for r in clean.mapInArrow(_clean_forms(shared), "word string").distinct().collect()) if weights else frozenset()
+    own: frozenset[str] = frozenset()
+    if weights:
+        seen_in = sample.select(F.col("toxic").cast("int"), "text").mapInArrow(_forms(shared), "word string, toxic int, n long").groupBy("word")
+        seen_in = seen_in.agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"))
+        own = frozenset(r["word"] for r in seen_in.filter("c > 0").collect() if r["c"] * n_toxic >= r["t"] * n_clean)
     model = spark.sparkContext.broadcast((weights, own, 1.0, 0.0))
     schema = "toxic int, held_out boolean, score double, predicted int, evidence double, n_hits long, n_misspelled long, n_quoted long"
     seen = sample.select("toxic", F.lit(False).alias("held_out"), "text").mapInArrow(_score(model), schema.replace("toxic int", "doc_id int")).select("doc_id", "evidence").toPandas()
