@@ -1,8 +1,11 @@
 """What the operators of this folder share: tables, the shared folder, lineage cuts, fold rules."""
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives the memory that it no longer uses back to the system: workers outlive their
+    tasks, and what one stage has freed would stay theirs during the next ones."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return task
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read from there from now on."""
     shared_dir(df.sparkSession)

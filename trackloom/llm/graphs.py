@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut
+from trackloom.llm.common import cut, lean
 
 SMALL_EDGES = 300_000
 
@@ -55,7 +55,7 @@ def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     now = cut(edges.select("u", "v").filter("u <> v").distinct())
     if now.count() <= small:
         kind = now.schema["u"].dataType.simpleString()
-        return cut(now.coalesce(1).mapInArrow(_one_task, f"node {kind}, root {kind}"))
+        return cut(now.coalesce(1).mapInArrow(lean(_one_task), f"node {kind}, root {kind}"))
     mark = None
     while True:
         # a step over a star leaves it as it is, so equal sums of hashes mean that only stars are left

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import lean
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 SPACE = re.compile(r"\s+")
@@ -211,4 +213,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     repeated rows stay as they are; an empty table gives no rows; further columns are not read."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     id_type = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(_run, f"page_id {id_type}, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(_run), f"page_id {id_type}, url string, text string, n_chars long")

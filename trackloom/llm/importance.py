@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, fold_of, free, small_or_not
+from trackloom.llm.common import cut, fold_of, free, lean, small_or_not
 
 BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
@@ -42,12 +42,12 @@ def _outline(token: str) -> int:
 
 
 class Tokens(dict):
-    """token -> (hash, outline), remembered for up to a million tokens."""
+    """token -> its hash (48 bits) and outline (4 bits) in one number, remembered for up to 100,000 tokens."""
 
-    def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) > 1_000_000:
+    def __missing__(self, token: str) -> int:
+        if len(self) > 100_000:
             self.clear()
-        value = self[token] = (xxhash.xxh3_64_intdigest(token) >> 16, _outline(token))
+        value = self[token] = xxhash.xxh3_64_intdigest(token) >> 16 << 4 | _outline(token)
         return value
 
     def buckets(self, text: str) -> np.ndarray:
@@ -55,8 +55,8 @@ class Tokens(dict):
         found = TOKENS.findall(text)
         if not found:
             return np.zeros(0, np.int64)
-        both = np.array([self[t] for t in found], np.uint64)
-        h, o = both[:, 0], both[:, 1]
+        both = np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+        h, o = both >> np.uint64(4), both & np.uint64(15)
         pair = h[:-1] * np.uint64(31) + h[1:]
         pair[h[:-1] == h[1:]] = 1
         shape = (o[:-2] * np.uint64(16) + o[1:-1]) * np.uint64(16) + o[2:] + np.uint64(1 << 50)
@@ -147,14 +147,14 @@ def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(is_good).alias("good"))
     known = known.withColumn("fold", fold_of("_id", 2))
     marked = texts.join(small_or_not(known), F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce(F.col("good") & (F.col("fold") == 0), F.lit(False)).alias("good"))
-    found = marked.mapInArrow(_counts, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    found = marked.mapInArrow(lean(_counts), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for bucket, r, t in found:
         raw[bucket] += r
         target[bucket] += t
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if any(t for _, _, t in found) else np.zeros(BUCKETS)
     shared = spark.sparkContext.broadcast(ratio.tobytes())
-    scored = cut(texts.mapInArrow(_ratios(shared), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, log_ratio double, n_grams long"))
+    scored = cut(texts.mapInArrow(lean(_ratios(shared)), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, log_ratio double, n_grams long"))
     scored = scored.withColumn("importance", F.col("log_ratio") * LENGTH / (F.col("n_grams") + PRIOR))
     sample = scored.join(known.filter("fold = 1"), F.col("doc_id") == F.col("_id")).select("importance", F.col("good").cast("int").alias("good")).orderBy(F.xxhash64("doc_id"), "importance").limit(LABELS).toPandas()
     slope, intercept = _fit_curve(sample["importance"].to_numpy(float), sample["good"].to_numpy(float))

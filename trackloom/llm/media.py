@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm import webp
+from trackloom.llm.common import lean
 
 UNIT, PIXEL, NARROW = 64, 4, 16
 
@@ -68,11 +69,11 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     A null text is stored like an empty one, as 64 zero bytes; null ids and repeated rows stay as they are; an empty
     table gives no rows; texts of more than 1 GiB raise; further columns are not read."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_store, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, media binary")
+    return rows.mapInArrow(lean(_store), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, media binary")
 
 
 def load(media: DataFrame) -> DataFrame:
     """What store() returns -> digests of payload and stored form, and the features of the pixel array, all from the
     stored bytes. Broken media raise."""
     id_type = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(_read, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(lean(_read), f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, fold_of
+from trackloom.llm.common import cut, fold_of, lean
 
 #: Labelled rows (those with the smallest hash of their id) that lexicon and curve are learned from, at most.
 SAMPLE = 30_000
@@ -192,10 +192,10 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], frozenset[str], float, f
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     toxic, clean = sample.filter("toxic = 1").select("text"), sample.filter("toxic = 0").select("text")
-    contexts = toxic.mapInArrow(_contexts, "word string, context string").distinct().groupBy("word").count().filter("count >= 3")
+    contexts = toxic.mapInArrow(lean(_contexts), "word string, context string").distinct().groupBy("word").count().filter("count >= 3")
     candidates = {r["word"]: r["count"] for r in contexts.collect()}
     known = spark.sparkContext.broadcast(frozenset(candidates))
-    n_of = {r["word"]: r["n"] for r in clean.mapInArrow(_clean_counts(known), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    n_of = {r["word"]: r["n"] for r in clean.mapInArrow(lean(_clean_counts(known)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     weights, share = {}, n_toxic / max(1, n_toxic + n_clean)
     for word, a in candidates.items():
         b = n_of.get(word, 0)
@@ -206,12 +206,12 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], frozenset[str], float, f
     shared = spark.sparkContext.broadcast(weights)
     own: frozenset[str] = frozenset()
     if weights:
-        seen_in = sample.select(F.col("toxic").cast("int"), "text").mapInArrow(_forms(shared), "word string, toxic int, n long").groupBy("word")
+        seen_in = sample.select(F.col("toxic").cast("int"), "text").mapInArrow(lean(_forms(shared)), "word string, toxic int, n long").groupBy("word")
         seen_in = seen_in.agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"))
         own = frozenset(r["word"] for r in seen_in.filter("c > 0").collect() if r["c"] * n_toxic >= r["t"] * n_clean)
     model = spark.sparkContext.broadcast((weights, own, 1.0, 0.0))
     schema = "toxic int, held_out boolean, score double, predicted int, evidence double, n_hits long, n_misspelled long, n_quoted long"
-    seen = sample.select("toxic", F.lit(False).alias("held_out"), "text").mapInArrow(_score(model), schema.replace("toxic int", "doc_id int")).select("doc_id", "evidence").toPandas()
+    seen = sample.select("toxic", F.lit(False).alias("held_out"), "text").mapInArrow(lean(_score(model)), schema.replace("toxic int", "doc_id int")).select("doc_id", "evidence").toPandas()
     slope, intercept = _curve(seen["evidence"].to_numpy(float), seen["doc_id"].to_numpy(float))
     return weights, own, slope, intercept
 
@@ -230,4 +230,4 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sample = texts.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     model = spark.sparkContext.broadcast(learn(sample))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(_score(model), f"doc_id {id_type}, held_out boolean, score double, predicted int, evidence double, n_hits long, n_misspelled long, n_quoted long")
+    return texts.mapInArrow(lean(_score(model)), f"doc_id {id_type}, held_out boolean, score double, predicted int, evidence double, n_hits long, n_misspelled long, n_quoted long")

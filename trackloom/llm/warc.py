@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, fresh_path, small_or_not
+from trackloom.llm.common import cut, fresh_path, lean, small_or_not
 
 # fixed values: the fields of the header line by the version of the file, as its version block announces them
 FIELDS = {
@@ -277,13 +277,13 @@ def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     first = ids.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = ids.join(first, "sha").filter((F.col("key") > F.col("first")) | F.col("key").isNull() & F.col("first").isNotNull()).select(F.col("key").alias("_key"), F.col("sha").alias("_sha"), "first").distinct()
     told = rows.join(small_or_not(later), F.col("key").eqNullSafe(F.col("_key")) & (sha == F.col("_sha")), "left")
-    return told.select(F.col("key").cast("string").alias("key"), "url", "html", F.col("first").cast("string").alias("first")).mapInArrow(_archives, "archive string, content binary")
+    return told.select(F.col("key").cast("string").alias("key"), "url", "html", F.col("first").cast("string").alias("first")).mapInArrow(lean(_archives), "archive string, content binary")
 
 
 def index(archives: DataFrame) -> DataFrame:
     """(archive, content) -> key, payload_bytes, payload_digest, record_type, record_id, refers_id of every page record,
     keys as text, ids as the 16 bytes of their UUIDs."""
-    return archives.select("content").mapInArrow(_index, "key string, payload_bytes long, payload_digest string, record_type string, record_id binary, refers_id binary")
+    return archives.select("content").mapInArrow(lean(_index), "key string, payload_bytes long, payload_digest string, record_type string, record_id binary, refers_id binary")
 
 
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", **names: str) -> DataFrame:
