@@ -5,10 +5,12 @@ on as one. Each class gets TREES labels: sequences of DEPTH min-hash values of 1
 classes with a long common prefix are neighbours; a region is all classes that share a prefix. Regions start at a
 depth that pairs at the threshold share with probability `threshold ** depth` in each of the TREES orders.
 
-Candidates are drawn region by region, only between classes not yet in one component:
+Candidates are drawn only between classes not yet in one component:
 * a region of at most SMALL classes gives all its pairs;
-* a larger (dense) one gives each class with one leader, and is then divided by the next label value (adaptive
-  depth) and treated likewise, down to the full depth;
+* in a larger (dense) one, the sorted orders give each class with the NEXT classes after it, its neighbours by longest
+  common prefix (the orders are dealt by ranges of tree, label and class, so no region is one task's); each class is
+  also paired with one leader; then the region is divided by the next label value (a depth of its own for each
+  region: as deep as it stays dense) and treated likewise, down to the full depth;
 * what is then still apart in a dense region is compared by differences: B holds the shingles that most of the
   region's classes have, D(x) is what x has beyond B or lacks of it. Since |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|,
   a pair far from B is linked only if its D share enough elements: a join on them, with bounds on how many can still
@@ -32,17 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, free, small_or_not
+from trackloom.llm.common import cut, free, lean, small_or_not
 from trackloom.llm.graphs import components
 
-TREES, DEPTH, SMALL = 16, 6, 32
+TREES, DEPTH, SMALL, NEXT = 16, 6, 32, 3
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered for up to a million words."""
+    """word -> 64-bit hash, remembered for up to 100,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -104,9 +106,10 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(hashes.of(t.as_py() or ""), width).tobytes() for t in batch.column(0)]
-            keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingle_set(hashes.of(t.as_py() or ""), width).tobytes() for t in batch.column(0).slice(at, 256)]
+                keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
 
     return run
 
@@ -124,8 +127,41 @@ def _linked(num: int, den: int):
     return run
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(depth: int, num: int, den: int):
+    """(tree, label, key, n) in order -> (a, b): each class with the NEXT ones after it in its tree, as far as they share
+    a prefix of `depth` values and sizes allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[tuple] = []
+        for batch in batches:
+            rows = last + list(zip(batch.column(0).to_pylist(), [x[: 2 * depth] for x in batch.column(1).to_pylist()], batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            a, b = [], []
+            for at in range(len(last), len(rows)):
+                tree, prefix, key, n = rows[at]
+                for t, p, other, m in rows[max(0, at - NEXT) : at]:
+                    if t == tree and p == prefix and den * min(n, m) >= num * max(n, m):
+                        a.append(min(key, other))
+                        b.append(max(key, other))
+            last = rows[-NEXT:]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose sets, 8 bytes for each shingle, have about `most` bytes together (a row at least), so
+    what is made of a slice stays small however long texts are."""
     for batch in batches:
+        sizes = np.cumsum([len(x.as_buffer()) for x in batch.column(column)])
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches, 1):
         sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
         keys = pa.array(np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets]))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keys), pa.array(np.concatenate(sets))], ["key", "shingle"])
@@ -133,13 +169,13 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _private(sets: DataFrame) -> DataFrame:
     """(key, u): how many shingles of a class no other class has; classes without any are left out."""
-    once = sets.select("key", "set").mapInArrow(_exploded, "key binary, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("key").alias("key")).filter("c = 1")
+    once = sets.select("key", "set").mapInArrow(lean(_exploded), "key binary, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("key").alias("key")).filter("c = 1")
     return once.groupBy("key").agg(F.count("*").alias("u"))
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(c, key, n, u, root, set, common) -> the elements of set ^ common, each with their number."""
-    for batch in batches:
+    for batch in _slices(batches, 5):
         diffs = [np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.array(y.as_py(), np.int64)) for x, y in zip(batch.column(5), batch.column(6), strict=True)]
         at = pa.array(np.repeat(np.arange(len(diffs), dtype=np.int32), [max(1, len(d)) for d in diffs]))
         nd = pa.array([len(d) for d in diffs], pa.int64()).take(at)
@@ -152,12 +188,12 @@ def _pairs_by_difference(groups: DataFrame, sets: DataFrame, num: int, den: int,
     """groups (c, key, n, u, root) -> (a, b) pairs between components that may be linked, none of those left out."""
     apart = groups.groupBy("c").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 <> r1")
     groups = cut(groups.join(apart.select("c", "m"), "c"))
-    held = groups.join(sets, "key").select("c", "set").mapInArrow(_exploded, "key binary, shingle long")
+    held = groups.join(sets, "key").select("c", "set").mapInArrow(lean(_exploded), "key binary, shingle long")
     common = held.groupBy(F.col("key").alias("c"), "shingle").count().join(apart.select("c", "m"), "c").filter(2 * F.col("count") > F.col("m"))
     common = common.groupBy("c").agg(F.collect_list("shingle").alias("common"))
     # a group whose classes have no shingle in common has an empty B
     rows = groups.join(sets, "key").join(common, "c", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>"))).select("c", "key", "n", "u", "root", "set", "common")
-    diffs = cut(rows.mapInArrow(_differences, "c binary, key binary, n long, u long, root binary, nd long, shingle long"))
+    diffs = cut(rows.mapInArrow(lean(_differences), "c binary, key binary, n long, u long, root binary, nd long, shingle long"))
     # x and y whose D share nothing are linked only if off(x) + off(y) <= 0. The class with the least off has no more
     # than either, so then it is linked with both, and one hub is enough
     off = (den + num) * F.col("nd") - (den - num) * F.col("n")
@@ -188,7 +224,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null ids count as larger than others. An empty table gives no rows; further columns are not read."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    feats = cut(texts.mapInArrow(_features(width), f"doc_id {id_type}, n long, key binary, sig binary"))
+    feats = cut(texts.mapInArrow(lean(_features(width)), f"doc_id {id_type}, n long, key binary, sig binary"))
     classes = cut(feats.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n")))
 
     def at(d: int):
@@ -197,18 +233,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     step = 2 * DEPTH
     cuts = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", t * step + 1, step).alias("label")) for t in range(TREES)])
     forest = classes.select("key", "n", F.inline(cuts))
-    # only classes that share a region with another go on
-    shared = forest.groupBy("tree", at(depth)).agg(F.count("*").alias("m")).filter("m > 1")
-    forest = cut(forest.withColumn("prefix", at(depth)).join(shared.drop("m"), ["tree", "prefix"]).select("tree", "label", "key", "n"))
+    # only classes that share a region with another go on; those of dense regions don't meet in one task for that
+    shared = cut(forest.groupBy("tree", at(depth)).agg(F.count("*").alias("m")).filter("m > 1"))
+    dense = small_or_not(shared.filter(F.col("m") > SMALL).drop("m"))
+    placed, cell = forest.withColumn("prefix", at(depth)), ["tree", "prefix"]
+    hot = placed.join(dense, cell, "left_semi")
+    cold = placed.join(dense, cell, "left_anti").join(shared.filter(F.col("m") <= SMALL).drop("m"), cell, "left_semi")
+    forest = cut(hot.withColumn("dense", F.lit(True)).unionByName(cold.withColumn("dense", F.lit(False))).select("tree", "label", "key", "n", "dense"))
     members = forest.select("key").distinct().join(classes.select("key", "rep"), "key")
     sets = texts.join(small_or_not(cut(members.select("rep").distinct())), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = sets.select("text").mapInArrow(_sets(width), "key binary, set binary")
+    sets = sets.select("text").mapInArrow(lean(_sets(width)), "key binary, set binary")
     sets = cut(sets.join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")))
-    dense = forest.groupBy("tree", at(depth)).agg(F.count("*").alias("m")).filter(F.col("m") > SMALL)
-    crowd = cut(forest.withColumn("prefix", at(depth)).join(dense.drop("m"), ["tree", "prefix"]).select("key").distinct())
+    crowd = cut(forest.filter("dense").select("key").distinct())
     private = cut(_private(sets.join(small_or_not(crowd), "key", "left_semi")))
     roots = None  # (node, root): classes that aren't their component's smallest
-    live = forest.join(private, "key", "left").withColumn("u", F.coalesce("u", F.lit(0))).withColumn("root", F.col("key"))
+    live = forest.drop("dense").join(private, "key", "left").withColumn("u", F.coalesce("u", F.lit(0))).withColumn("root", F.col("key"))
 
     def fits(n1, n2):  # sizes too unlike can't be linked
         return den * F.least(n1, n2) >= num * F.greatest(n1, n2)
@@ -219,7 +258,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
-        links = cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_linked(num, den), "a binary, b binary"))
+        links = cut(pairs.select("a", "b", "set_a", "set_b").mapInArrow(lean(_linked(num, den)), "a binary, b binary"))
         return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def joined(edges: DataFrame) -> DataFrame:
@@ -232,18 +271,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for d in range(depth, DEPTH + 1):
         live = live.withColumn("prefix", at(d))
         leader = F.min_by(F.struct("key", "n", "u", "root"), F.struct(F.col("u") / F.col("n"), F.xxhash64("key"))).alias("leader")
-        regions = live.groupBy("tree", "prefix").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), leader).filter("r0 <> r1")
-        live = cut(live.join(regions.drop("r0", "r1"), ["tree", "prefix"]))
-        small = F.col("m") <= SMALL
-        x, y = live.filter(small).alias("x"), live.filter(small).alias("y")
+        regions = cut(live.groupBy(cell).agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), leader).filter("r0 <> r1"))
+        crowded = small_or_not(regions.filter(F.col("m") > SMALL).select(*cell, "leader"))
+        dense_rows = cut(live.join(crowded, cell))
+        few = live.join(crowded, cell, "left_anti")
+        x, y = few.alias("x"), few.alias("y")
         same = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.prefix") == F.col("y.prefix")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
         same = same & fits(F.col("x.n"), F.col("y.n"))
         pairs = x.join(y, same & bound("x.", "y.") if d > depth else same).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        stars = live.filter(~small & (F.col("root") != F.col("leader.root")) & fits(F.col("n"), F.col("leader.n")) & bound("", "leader."))
-        stars = stars.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b"))
-        roots = joined(verified(pairs.unionByName(stars).distinct()))
+        stars = dense_rows.filter((F.col("root") != F.col("leader.root")) & fits(F.col("n"), F.col("leader.n")) & bound("", "leader."))
+        pairs = pairs.unionByName(stars.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")))
+        if d == depth:
+            order = dense_rows.select("tree", "label", "key", "n").repartitionByRange("tree", "label", "key").sortWithinPartitions("tree", "label", "key")
+            pairs = pairs.unionByName(order.mapInArrow(lean(_neighbours(depth, num, den)), "a binary, b binary"))
+        roots = joined(verified(pairs.distinct()))
         # on go dense regions, without classes whose private shingles rule out any link
-        dense_rows = live.filter(~small & (den * (F.col("n") - F.col("u")) >= num * F.col("n")))
+        dense_rows = dense_rows.filter(den * (F.col("n") - F.col("u")) >= num * F.col("n"))
         if d == depth:
             # a class is in the group of each dense region it is in, so two of one region always meet
             groups = cut(dense_rows.select(F.col("leader.key").alias("c"), "key", "n", "u").distinct())
@@ -257,8 +300,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("key", "component_id")
-    out = feats.select("doc_id", "n", "key").join(named, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    none = feats.filter("key IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = feats.filter("key IS NOT NULL").select("doc_id", "n", "key").join(cut(named), "key").select("doc_id", "n", "component_id").unionByName(none)
+    component = F.col("component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
