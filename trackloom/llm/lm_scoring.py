@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, fold_of, fresh_path
+from trackloom.llm.common import cut, fold_of, fresh_path, lean
 
 BASE, HASHES, BITS, BROADCAST_BITS, LEAST_BITS = 2.0, 4, 12, 1 << 26, 1 << 20
 SEEN3, DAMP, SEEN = 0.6, 4.0, 0.4
@@ -222,7 +222,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     block = "bucket int, keys binary, counts binary"
     # buckets enough that one of them, merged, stays small in a task
     bucket_bits = max(8, (16 * train.rdd.getNumPartitions()).bit_length())
-    single = train.mapInArrow(_blocks(bucket_bits, False), block).repartition(tasks, "bucket").mapInArrow(_tables, block + ", v long, n long")
+    single = train.mapInArrow(lean(_blocks(bucket_bits, False)), block).repartition(tasks, "bucket").mapInArrow(lean(_tables), block + ", v long, n long")
     single = cut(single)
     v, n = single.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     size = LEAST_BITS
@@ -241,23 +241,24 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
         known = sc.broadcast((b"".join(t[1] for t in tables), b"".join(np.frombuffer(t[2], np.int64).astype(narrow).tobytes() for t in tables), narrow))
         del tables
     if known is not None and size <= broadcast_bits:
-        slices = train.mapInArrow(_blocks(gram_bits, True), block).repartition(tasks, "bucket").mapInArrow(_slices(size >> gram_bits), "bucket int, bits binary, most int")
+        slices = train.mapInArrow(lean(_blocks(gram_bits, True)), block).repartition(tasks, "bucket").mapInArrow(lean(_slices(size >> gram_bits)), "bucket int, bits binary, most int")
         bitmap, each, most = bytearray(size // 8), size >> gram_bits >> 3, 0
         for bucket, bits, largest in slices.toLocalIterator():
             bitmap[bucket * each : (bucket + 1) * each] = bits
             most = max(most, largest)
         bloom = sc.broadcast((bytes(bitmap), gram_bits, most))
         del bitmap
-        return texts.mapInArrow(_score_all(bloom, known, n, v, n_texts), schema)
+        return texts.mapInArrow(lean(_score_all(bloom, known, n, v, n_texts)), schema)
     # too much to broadcast: blocks of texts fetch the filter's numbers, and the tokens' counts if they are too many
     deal_bits = max(8, min((4 * tasks).bit_length(), size.bit_length() - 11))  # a few buckets for each task
+    width = _dealt_bytes(2 * n, deal_bits)
     path = fresh_path(spark, "lm-blocks")
-    texts.mapInArrow(_packed(BLOCK), "rows binary").withColumn("block", F.monotonically_increasing_id()).write.parquet(path)
+    texts.mapInArrow(lean(_packed(BLOCK)), "rows binary").withColumn("block", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
-    wanted = rows.select("block", "rows").mapInArrow(_wanted(deal_bits, known is None), "block long, kind int, bucket int, keys binary, counts binary")
-    found = wanted.repartition(tasks, "bucket").mapInArrow(_answers(size >> deal_bits, deal_bits), "block long, kind int, bucket int, found binary")
+    wanted = rows.select("block", "rows").mapInArrow(lean(_wanted(deal_bits, width, known is None)), "block long, kind int, bucket int, keys binary, counts binary")
+    found = wanted.repartition(tasks, "bucket").mapInArrow(lean(_answers(size >> deal_bits, deal_bits, width)), "block long, kind int, bucket int, found binary")
     found = found.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "found")).alias("found"))
-    return rows.join(found, "block").select("rows", "found").mapInArrow(_score_blocks(deal_bits, known, n, v, n_texts), schema)
+    return rows.join(found, "block").select("rows", "found").mapInArrow(lean(_score_blocks(deal_bits, width, known, n, v, n_texts)), schema)
 
 
 def _packed(most: int):
@@ -303,19 +304,21 @@ def _from_planes(data: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-#: Bytes of a hash that are dealt, beside the bits of its bucket, which grow with the input.
-DEALT = 5
+def _dealt_bytes(grams: int, bucket_bits: int) -> int:
+    """Bytes of a hash that are dealt beside the bits of its bucket, 4 at least: with them it is longer by 8 bits than the
+    number of n-grams, so of 256 n-grams one at most shares its hash with another, less than the filter's false hits."""
+    return min(-(-max(32, grams.bit_length() + 8 - bucket_bits) // 8), (64 - bucket_bits) // 8)
 
 
-def _dealt(keys: np.ndarray, bucket_bits: int) -> np.ndarray:
+def _dealt(keys: np.ndarray, bucket_bits: int, width: int) -> np.ndarray:
     """Hashes without the bits that aren't dealt."""
-    return keys & ~np.uint64((1 << (64 - bucket_bits - 8 * DEALT)) - 1)
+    return keys & ~np.uint64((1 << (64 - bucket_bits - 8 * width)) - 1)
 
 
-def _wanted(bucket_bits: int, tokens_too: bool):
+def _wanted(bucket_bits: int, width: int, tokens_too: bool):
     """Blocks of texts -> (block, kind, bucket, keys, counts): sorted distinct hashes of pairs and triples (kind 1), or of tokens
     (kind 0), as planes of their differences, and their counts in the block's training texts, which may be 0."""
-    drop = np.uint64(64 - bucket_bits - 8 * DEALT)
+    drop = np.uint64(64 - bucket_bits - 8 * width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes()
@@ -324,7 +327,7 @@ def _wanted(bucket_bits: int, tokens_too: bool):
                 part, tokens, starts = _unpacked(hashes, rows)
                 train = ~np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff([*starts, len(tokens)]))
                 for kind in (0, 1) if tokens_too else (1,):
-                    all_keys = _dealt(ngrams(tokens, starts) if kind else tokens, bucket_bits)
+                    all_keys = _dealt(ngrams(tokens, starts) if kind else tokens, bucket_bits, width)
                     k, at = np.unique(all_keys, return_inverse=True)
                     c = np.bincount(at[np.tile(train, len(all_keys) // len(train))], minlength=len(k))
                     bucket = (k >> np.uint64(64 - bucket_bits)).astype(np.int64)
@@ -332,15 +335,15 @@ def _wanted(bucket_bits: int, tokens_too: bool):
                     rest = (k << np.uint64(bucket_bits) >> np.uint64(bucket_bits)) >> drop
                     cuts = list(zip(heads, [*heads[1:], len(k)], strict=True))
                     columns = [pa.array(np.full(len(heads), block), pa.int64()), pa.array(np.full(len(heads), kind), pa.int32()), pa.array(bucket[heads], pa.int32())]
-                    columns += [pa.array([_planes(np.diff(rest[i:j], prepend=np.uint64(0)), DEALT) for i, j in cuts], pa.binary()), pa.array([_planes(c[i:j], max(1, (int(c[i:j].max()).bit_length() + 7) // 8)) for i, j in cuts], pa.binary())]
+                    columns += [pa.array([_planes(np.diff(rest[i:j], prepend=np.uint64(0)), width) for i, j in cuts], pa.binary()), pa.array([_planes(c[i:j], max(1, (int(c[i:j].max()).bit_length() + 7) // 8)) for i, j in cuts], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["block", "kind", "bucket", "keys", "counts"])
 
     return run
 
 
-def _answers(slice_bits: int, bucket_bits: int):
+def _answers(slice_bits: int, bucket_bits: int, width: int):
     """What _wanted() gives -> (block, kind, bucket, found): a filter number (1 byte) or a count (8 bytes) for each key."""
-    drop = np.uint64(64 - bucket_bits - 8 * DEALT)
+    drop = np.uint64(64 - bucket_bits - 8 * width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[tuple[int, int], list] = {}
@@ -350,7 +353,7 @@ def _answers(slice_bits: int, bucket_bits: int):
         for kind, bucket in list(asked):
             rows = []
             for block, keys, counts in asked.pop((kind, bucket)):
-                k = np.cumsum(_from_planes(keys, DEALT), dtype=np.uint64) << drop
+                k = np.cumsum(_from_planes(keys, width), dtype=np.uint64) << drop
                 rows.append((block, k | np.uint64(bucket << 64 - bucket_bits), _from_planes(counts, len(counts) // len(k)).view(np.int64)))
             k, c = _merged([x[1] for x in rows], [x[2] for x in rows])
             k, c = k[c > 0], c[c > 0]
@@ -402,7 +405,7 @@ def _score_all(bloom, known, n: int, v: int, n_texts: int):
     return run
 
 
-def _score_blocks(bucket_bits: int, known, n: int, v: int, n_texts: int):
+def _score_blocks(bucket_bits: int, width: int, known, n: int, v: int, n_texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes()
         for batch in batches:
@@ -412,7 +415,7 @@ def _score_blocks(bucket_bits: int, known, n: int, v: int, n_texts: int):
                 found = sorted((x["kind"], x["bucket"], x["found"]) for x in got.as_py())
 
                 def given(kind: int, keys: np.ndarray, dtype, found=found) -> np.ndarray:
-                    return np.frombuffer(b"".join(x[2] for x in found if x[0] == kind), dtype).astype(np.int64)[np.unique(_dealt(keys, bucket_bits), return_inverse=True)[1]]
+                    return np.frombuffer(b"".join(x[2] for x in found if x[0] == kind), dtype).astype(np.int64)[np.unique(_dealt(keys, bucket_bits, width), return_inverse=True)[1]]
 
                 c = given(0, tokens, np.int64) if known is None else _counts_of(known, tokens)
                 yield _scored(part.column(0), part.column(1), starts, given(1, ngrams(tokens, starts), np.uint8), c, n, v, n_texts)
