@@ -2,13 +2,17 @@
 has, and two writers.
 
 read(): prefix codes (simple, normal, several groups chosen by an entropy image), back-references, colour cache, and
-the four transforms (predictor, cross-colour, subtract-green, palette with bundled pixels). Pixel data whose codes
-all have one length per channel stand at regular places and are read in one array operation.
-write_plain(): such regular codes, for bulk storage of samples. write(): literals, back-references and colour cache
-under prefix codes of any shape, after any of the transforms; it serves small images and tests.
+the four transforms (predictor, cross-colour, subtract-green, palette with bundled pixels). Where only the green
+channel takes bits, as in grey pictures after subtract-green and in palette pictures, prefix codes are decoded as
+arrays: the symbol and the length of a token are looked up at every bit of a block as if one began there, and the
+tokens that do begin are found by following the lengths, with doubled steps.
+write_grey(): samples for bulk storage, as a grey picture: subtract-green, or a palette with bundled pixels for few
+values; back-references; prefix codes of the picture's own counts; all but the choice of matches in array operations.
+A colour cache is never shorter there: a sample's own code is as short as that of its place in the cache.
+write(): literals, back-references and colour cache under prefix codes of any shape, after any of the transforms; it
+serves small images and tests.
 """
 
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -37,53 +41,61 @@ class Bits:
         self.at += n
         return value & ((1 << n) - 1)
 
+    def peek(self, n: int) -> int:
+        """The next n <= 15 bits, zeros after the end."""
+        first = self.at >> 3
+        return (int.from_bytes(self.data[first : first + 3], "little") >> (self.at & 7)) & ((1 << n) - 1)
+
+    def rest(self, n: int) -> int:
+        """The next n bits or more as one number, zeros after the end."""
+        first = self.at >> 3
+        return int.from_bytes(self.data[first : first + n // 8 + 2], "little") >> (self.at & 7)
+
 
 class Code:
     """A canonical prefix code: symbols by (length, code), codes read with their first bit lowest."""
 
     def __init__(self, lengths: dict[int, int]):
-        self.values = None
-        self.symbols = sorted((n, s) for s, n in lengths.items() if n)
-        if not self.symbols:
-            self.symbols = [(0, 0)]
+        self.symbols = sorted((n, s) for s, n in lengths.items() if n) or [(0, 0)]
+        self.single, self.widest = None, self.symbols[-1][0]
         if len(self.symbols) == 1:
-            self.single, self.table, self.widest, self.largest = self.symbols[0][1], {}, 0, self.symbols[0][1]
-            return
-        self.single, self.table, code, last = None, {}, 0, self.symbols[0][0]
-        for n, s in self.symbols:
-            code <<= n - last
-            last = n
-            self.table[n, code] = s
-            code += 1
-        self.widest, self.largest = last, max(s for _, s in self.symbols)
-        if code != 1 << last:
+            self.single, self.widest = self.symbols[0][1], 0
+        elif sum(1 << (self.widest - n) for n, _ in self.symbols) != 1 << self.widest:
             raise ValueError("a prefix code isn't complete")
-
-    def uniform(self) -> int | None:
-        """The length of all codes if they have one, 0 for a single symbol."""
-        if self.single is not None:
-            return 0
-        return self.widest if self.symbols[0][0] == self.widest else None
+        self._table = None
+
+    def table(self) -> np.ndarray:
+        """symbol << 4 | length, by the next `widest` bits."""
+        if self._table is None:
+            n, symbols = (np.array(x, np.int64) for x in zip(*self.symbols, strict=True))
+            if self.single is not None:
+                n = n * 0
+            # codes in their order fill the numbers of `widest` bits in order; their first bit is the highest there
+            self._table = np.repeat(symbols << 4 | n, 1 << (self.widest - n)).astype(np.int32)[_reversed(self.widest)]
+        return self._table
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        code, data, at = 0, bits.data, bits.at
-        for n in range(1, self.widest + 1):
-            if at >= bits.end:
-                raise ValueError("the bit stream ends early")
-            code = code << 1 | (data[at >> 3] >> (at & 7)) & 1
-            at += 1
-            found = self.table.get((n, code))
-            if found is not None:
-                bits.at = at
-                return found
-        raise ValueError("no such code")
+        entry = int(self.table()[bits.peek(self.widest)])
+        bits.at += entry & 15
+        if bits.at > bits.end:
+            raise ValueError("the bit stream ends early")
+        return entry >> 4
+
+
+@lru_cache(maxsize=16)
+def _reversed(width: int) -> np.ndarray:
+    """The numbers of `width` bits, each with its bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for k in range(width):
+        out = np.concatenate([out, out | 1 << (width - 1 - k)]) if k else np.array([0, 1 << (width - 1)])
+    return out
 
 
 @lru_cache(maxsize=256)
 def _code(lengths: tuple[int, ...]) -> Code:
-    return Code(dict(enumerate(lengths)))
+    return Code({s: n for s, n in enumerate(lengths) if n})
 
 
 def _read_code(bits: Bits, size: int) -> Code:
@@ -94,24 +106,35 @@ def _read_code(bits: Bits, size: int) -> Code:
             lengths[bits.read(8)] = 1
         return Code(lengths)
     short = {CODE_ORDER[k]: bits.read(3) for k in range(4 + bits.read(4))}
-    lengths_code = _code(tuple(short.get(k, 0) for k in range(19)))
+    code = _code(tuple(short.get(k, 0) for k in range(19)))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    lengths, s, last = [0] * size, 0, 8
+    table, mask = code.table().tolist(), (1 << code.widest) - 1
+    rest, used = bits.rest(size * 14), 0
+    lengths, s, last = {}, 0, 8
     while s < size and left > 0:
         left -= 1
-        n = lengths_code.read(bits)
+        entry = table[rest & mask]
+        n, w = entry >> 4, entry & 15
+        rest >>= w
+        used += w
         if n < 16:
             if n:
-                lengths[s], last = n, n
+                lengths[s] = last = n
             s += 1
             continue
-        times = 3 + bits.read(2) if n == 16 else 3 + bits.read(3) if n == 17 else 11 + bits.read(7)
+        base, extra = ((3, 2), (3, 3), (11, 7))[n - 16]
+        times = base + (rest & ((1 << extra) - 1))
+        rest >>= extra
+        used += extra
         if s + times > size:
             raise ValueError("more code lengths than symbols")
         if n == 16:
-            lengths[s : s + times] = [last] * times
+            lengths.update(dict.fromkeys(range(s, s + times), last))
         s += times
-    return _code(tuple(lengths))
+    bits.at += used
+    if bits.at > bits.end:
+        raise ValueError("the bit stream ends early")
+    return Code(lengths)
 
 
 def _extended(bits: Bits, prefix: int) -> int:
@@ -122,26 +145,100 @@ def _extended(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def _read_regular(bits: Bits, group: list[Code], n: int) -> np.ndarray:
-    widths = [c.uniform() for c in group[:4]]
-    each = sum(widths)
-    if bits.at + each * n > bits.end:
+#: Bytes of the stream that are decoded at once.
+BLOCK = 1 << 14
+_EXTRA = np.array([max(0, (p - 2) >> 1) for p in range(DISTANCE_CODES)], np.uint64)
+_FIRST = np.array([p + 1 if p < 4 else ((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p in range(DISTANCE_CODES)], np.int64)
+
+
+def _low(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n lowest bits."""
+    return x & ((np.uint64(1) << n) - np.uint64(1))
+
+
+def _copies(x: np.ndarray, distance: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix of the length, then the bits after it) -> length, distance code and bits used, for each token."""
+    prefix, x = x
+    more = _EXTRA[prefix]
+    length = _FIRST[prefix] + _low(x, more).astype(np.int64)
+    x = x >> more
+    entry = distance.table()[_low(x, np.uint64(distance.widest)).astype(np.int64)]
+    width = (entry & 15).astype(np.uint64)
+    x = x >> width
+    last = _EXTRA[entry >> 4]
+    return length, _FIRST[entry >> 4] + _low(x, last).astype(np.int64), (more + width + last).astype(np.int64)
+
+
+def _read_green(bits: Bits, green: Code, distance: Code, n: int, width: int) -> np.ndarray:
+    """n green samples, of literals and back-references, where the other channels take no bits."""
+    if green.single is not None:
+        if green.single > 255:
+            raise ValueError("a back-reference leaves the image")
+        return np.full(n, green.single, np.uint8)
+    table, mask = green.table(), np.uint64((1 << green.widest) - 1)
+    data = bits.data + bytes(16)
+    symbols, lengths, codes, done = [], [], [], 0
+    while done < n:
+        if bits.at >= bits.end:
+            raise ValueError("the bit stream ends early")
+        first = bits.at >> 3
+        count = min(BLOCK, len(bits.data) - first)
+        # the next 57 bits or more at each bit
+        ahead = (np.ndarray((count,), "<u8", data, first, (1,))[:, None] >> np.arange(8, dtype=np.uint64)).reshape(-1)
+        entry = table[(ahead & mask).astype(np.int64)]
+        step, symbol, size = entry & 15, entry >> 4, count * 8
+        far = np.nonzero(symbol > 255)[0]
+        if len(far):
+            step[far] += _copies((symbol[far] - 256, ahead[far] >> step[far].astype(np.uint64)), distance)[2].astype(np.int32)
+        # where the token after this one begins, and the 2nd, 4th, 8th after it; all ends of the block are one place
+        after = np.full(size + 1, size, np.int32)
+        np.minimum(np.arange(size, dtype=np.int32) + step, size, out=after[:size])
+        jumps = [after]
+        for _ in range(3):
+            jumps.append(jumps[-1][jumps[-1]])
+        at, found, jump = bits.at - first * 8, [], memoryview(jumps[-1])
+        while at < size:
+            found.append(at)
+            at = jump[at]
+        found = np.array(found, np.int32)
+        for jump in reversed(jumps[:-1]):
+            found = np.stack([found, jump[found]], 1).reshape(-1)
+        found = found[found < size]
+        new, length, code = symbol[found], np.ones(len(found), np.int64), np.zeros(len(found), np.int64)
+        far = np.nonzero(new > 255)[0]
+        if len(far):
+            at = found[far]
+            length[far], code[far], _ = _copies((new[far] - 256, ahead[at] >> (table[(ahead[at] & mask).astype(np.int64)] & 15).astype(np.uint64)), distance)
+        ends = np.cumsum(length)
+        keep = int(np.searchsorted(ends, n - done)) + 1  # tokens up to the one that fills the image
+        symbols.append(new[:keep])
+        lengths.append(length[:keep])
+        codes.append(code[:keep])
+        last = min(keep, len(found)) - 1
+        done += int(ends[last])
+        bits.at = first * 8 + int(found[last]) + int(step[found[last]])
+    if done > n:
+        raise ValueError("a back-reference leaves the image")
+    if bits.at > bits.end:
         raise ValueError("the bit stream ends early")
-    first = bits.at >> 3
-    raw = np.unpackbits(np.frombuffer(bits.data, np.uint8, (bits.at + each * n + 7 >> 3) - first, first), bitorder="little")
-    raw = raw[bits.at & 7 :][: each * n].reshape(n, each)
-    bits.at += each * n
-    out, at = np.zeros((n, 4), np.uint8), 0
-    for channel, (code, width) in zip((1, 0, 2, 3), zip(group[:4], widths, strict=True), strict=True):  # green, red, blue, alpha -> RGBA
-        if not width:
-            out[:, channel] = code.single
-        else:
-            value = np.packbits(raw[:, at : at + width], axis=1)[:, 0] >> (8 - width)
-            if code.values is None:
-                code.values = np.array([s for _, s in code.symbols], np.uint8)
-            out[:, channel] = code.values[value]
-        at += width
-    return out
+    symbol, length, code = map(np.concatenate, (symbols, lengths, codes))
+    start = np.cumsum(length) - length
+    out = bytearray(n)
+    view, plain = np.frombuffer(out, np.uint8), symbol < 256
+    view[start[plain]] = symbol[plain]
+    for k in np.nonzero(~plain)[0].tolist():
+        a, size, d = int(start[k]), int(length[k]), _distance(int(code[k]), width)
+        if d > a:
+            raise ValueError("a back-reference leaves the image")
+        out[a : a + size] = out[a - d : a - d + size] if d >= size else (out[a - d : a] * (size // d + 1))[:size]
+    return view
+
+
+def _distance(code: int, width: int) -> int:
+    if code > len(NEAR):
+        return code - len(NEAR)
+    x, y = NEAR[code - 1]
+    return max(1, x + y * width)
 
 
 def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -158,8 +255,12 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
     codes = [[_read_code(bits, size) for size in sizes] for _ in range(groups)]
     n = width * height
-    if groups == 1 and not cache_bits and codes[0][0].largest < 256 and all(c.uniform() is not None for c in codes[0][:4]):
-        return _read_regular(bits, codes[0], n).reshape(height, width, 4)
+    green, red, blue, alpha, distance = codes[0]
+    if groups == 1 and not cache_bits and None not in (red.single, blue.single, alpha.single) and green.widest + distance.widest < 30:
+        rgba = np.empty((n, 4), np.uint8)
+        rgba[:] = red.single, 0, blue.single, alpha.single
+        rgba[:, 1] = _read_green(bits, green, distance, n, width)
+        return rgba.reshape(height, width, 4)
     out: list[int] = []  # ARGB
     cache = [0] * (1 << cache_bits) if cache_bits else None
     shift = 32 - cache_bits
@@ -173,11 +274,7 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         elif s < 256 + LENGTH_CODES:
             length, code = _extended(bits, s - 256), 0
             code = _extended(bits, group[4].read(bits))
-            if code > len(NEAR):
-                distance = code - len(NEAR)
-            else:
-                x, y = NEAR[code - 1]
-                distance = max(1, x + y * width)
+            distance = _distance(code, width)
             if distance > at or at + length > n:
                 raise ValueError("a back-reference leaves the image")
             if distance >= length:
@@ -324,7 +421,7 @@ class BitWriter:
 
     def put_code(self, code: int, n: int) -> None:
         """A prefix code: its first bit is its highest."""
-        self.put(int(format(code, f"0{n}b")[::-1], 2) if n else 0, n)
+        self.put(int(_reversed(n)[code]) if n else 0, n)
 
     def bytes(self) -> bytes:
         return self.value.to_bytes((self.n + 7) // 8, "little")
@@ -379,17 +476,28 @@ def _put_lengths(out: BitWriter, lengths: list[int]) -> None:
 def _code_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
     """Huffman code lengths of at most `most` bits (counts are halved until they fit)."""
     counts = {s: c for s, c in counts.items() if c}
-    if len(counts) == 1:
-        return {next(iter(counts)): 1}
+    if len(counts) < 2:
+        return dict.fromkeys(counts, 1)
     while True:
-        heap = [(c, s, {s: 0}) for s, c in counts.items()]
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            (a, i, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a + b, i, {s: n + 1 for s, n in (x | y).items()}))
-        found = heap[0][2] if heap else {}
-        if max(found.values(), default=0) <= most:
-            return found
+        leaves = sorted((c, s) for s, c in counts.items())
+        n = len(leaves)
+        # nodes: the leaves in order, then the sums as they are made, which never become smaller
+        weight, parent, leaf, inner = [c for c, _ in leaves], [0] * (2 * n - 1), 0, n
+        for made in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner == made or weight[leaf] <= weight[inner]):
+                    k, leaf = leaf, leaf + 1
+                else:
+                    k, inner = inner, inner + 1
+                total += weight[k]
+                parent[k] = made
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= most:
+            return {s: depth[k] for k, (_, s) in enumerate(leaves)}
         counts = {s: (c + 1) // 2 for s, c in counts.items()}
 
 
@@ -420,33 +528,128 @@ def _put_symbol_code(out: BitWriter, lengths: dict[int, int], size: int) -> None
         _put_lengths(out, [lengths.get(s, 0) for s in range(size)])
 
 
-@lru_cache(maxsize=4096)
-def _plain_head(width: int, height: int, each: int) -> tuple[int, int]:
-    """(bits, their number) of everything before the pixels of write_plain: every sample takes `each` bits."""
-    out = BitWriter()
+#: Back-references of write_grey have SHORTEST samples at least, found where SEED samples in a row repeat.
+SHORTEST, SEED, LONGEST = 24, 8, 4096
+
+
+def _repeats(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, distance) of stretches that repeat what stands `distance` before, none overlapping."""
+    n = len(x) - SEED + 1
+    if n < SHORTEST:
+        return []
+    seeds = np.ndarray((n,), "<u8", x.tobytes(), 0, (1,)) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort((seeds >> np.uint64(48)).astype(np.uint16) if n <= 1 << 17 else seeds, kind="stable")
+    same = seeds[order[1:]] == seeds[order[:-1]]
+    distance = np.zeros(n, np.int64)  # to the nearest earlier place with the same samples, 0: none
+    distance[order[1:][same]] = (order[1:] - order[:-1])[same]
+    heads = np.nonzero(np.diff(distance, prepend=-1))[0]
+    ends = np.append(heads[1:], n)
+    long = (distance[heads] > 0) & (ends - heads > SHORTEST - SEED)
+    out, done = [], 0
+    for a, b, d in zip(heads[long].tolist(), (ends[long] + SEED - 1).tolist(), distance[heads[long]].tolist(), strict=True):
+        a = max(a, done)
+        if b - a >= SHORTEST:
+            out.append((a, b, d))
+            done = b
+    return out
+
+
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> dict[int, int]:
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
+def _put_green(head: BitWriter, plane: np.ndarray, width: int) -> bytes:
+    """head, then the codes and tokens of a picture whose pixels differ in green only (red and blue 0, alpha 255)."""
+    literal, near, copies = np.ones(len(plane), bool), _near_codes(width), []
+    for start, end, d in _repeats(plane):
+        literal[start:end] = False
+        for a in range(start, end, LONGEST):
+            copies.append((a, _prefix(min(end - a, LONGEST)), _prefix(near.get(d, d + len(NEAR)))))
+    at = np.nonzero(literal)[0]
+    symbols = plane[at].astype(np.int64)
+    counts, far = dict(enumerate(np.bincount(symbols, minlength=256).tolist())), {}
+    for _, (length, _, _), (d, _, _) in copies:
+        counts[256 + length] = counts.get(256 + length, 0) + 1
+        far[d] = far.get(d, 0) + 1
+    lengths, far_lengths = _code_lengths(counts, 13), _code_lengths(far, 13)
+    head.put(0, 2)  # no colour cache, one group of codes
+    _put_symbol_code(head, lengths, 256 + LENGTH_CODES)
+    for value in (0, 0, 255):
+        _put_symbol_code(head, {value: 1}, 256)
+    _put_symbol_code(head, far_lengths, DISTANCE_CODES)
+    codes, far_codes = _canonical(lengths), _canonical(far_lengths)
+    code, size = np.zeros(256, np.uint64), np.zeros(256, np.int64)
+    for s, (c, n) in codes.items():
+        if s < 256:
+            code[s], size[s] = int(_reversed(n)[c]) if n else 0, n
+    values, sizes = code[symbols], size[symbols]
+    if copies:
+        more, wide = [], []
+        for _, (length, x, xn), (d, y, yn) in copies:
+            token = BitWriter()
+            token.put_code(*codes[256 + length])
+            token.put(x, xn)
+            token.put_code(*far_codes[d])
+            token.put(y, yn)
+            more.append(token.value)
+            wide.append(token.n)
+        order = np.argsort(np.concatenate([at, [a for a, _, _ in copies]]), kind="stable")
+        values = np.concatenate([values, np.array(more, np.uint64)])[order]
+        sizes = np.concatenate([sizes, np.array(wide, np.int64)])[order]
+    return _packed(head, values, sizes)
+
+
+def _packed(head: BitWriter, values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The bits of head, then those of the values, of at most 64 each, as bytes."""
+    lead = -(-head.n // 64)
+    values = np.concatenate([np.frombuffer(head.value.to_bytes(lead * 8, "little"), "<u8"), values])
+    sizes = np.concatenate([np.full(lead, 64), sizes])
+    sizes[lead - 1] = head.n - 64 * (lead - 1)
+    ends = np.cumsum(sizes)
+    start = ends - sizes
+    word, shift = start >> 6, (start & 63).astype(np.uint64)
+    out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+    heads = np.nonzero(np.diff(word, prepend=-1))[0]
+    out[word[heads]] = np.bitwise_or.reduceat(values << shift, heads)
+    # what the last value of a word has beyond it
+    last = np.append(heads[1:], len(word)) - 1
+    over = last[(shift[last] > 0) & (ends[last] > (word[last] + 1) * 64)]
+    out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    return out.tobytes()[: -(-int(ends[-1]) // 8)]
+
+
+def write_grey(samples: np.ndarray, width: int) -> bytes:
+    """A lossless WebP file of a grey picture; samples: its bytes row by row, a positive multiple of width."""
+    out, height = BitWriter(), len(samples) // width
     out.put(SIGNATURE, 8)
     out.put(width - 1, 14)
     out.put(height - 1, 14)
+    out.put(0, 1 + 3)  # alpha isn't used, version
     out.put(1, 1)
-    out.put(0, 3 + 1 + 1 + 1)  # version, no transform, no colour cache, one group of codes
-    lengths = [each] * (1 << each)
-    _put_lengths(out, lengths + [0] * (256 + LENGTH_CODES - len(lengths)))
-    for _ in range(3):
-        _put_lengths(out, lengths + [0] * (256 - len(lengths)))
-    _put_symbol_code(out, {0: 1}, DISTANCE_CODES)
-    return out.value, out.n
-
-
-def write_plain(rgba: np.ndarray) -> bytes:
-    """A lossless WebP file with regular codes: 7 bits for a sample if all are below 128, else 8."""
-    height, width, _ = rgba.shape
-    each = 7 if not len(rgba) or rgba.max() < 128 else 8
-    head, n = _plain_head(width, height, each)
-    samples = rgba.reshape(-1, 4)[:, [1, 0, 2, 3]].reshape(-1)
-    # a code's first bit is the sample's highest
-    body = np.unpackbits(samples).reshape(-1, 8)[:, 8 - each :].reshape(-1)
-    start = np.unpackbits(np.frombuffer(head.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")[:n]
-    return _container(np.packbits(np.concatenate([start, body]), bitorder="little").tobytes())
+    values = np.nonzero(np.bincount(samples, minlength=256))[0]
+    if len(values) > 16:
+        out.put(SUBTRACT_GREEN, 2)
+        plane = samples
+    else:
+        out.put(PALETTE, 2)
+        out.put(len(values) - 1, 8)
+        steps = np.zeros((1, len(values), 4), np.uint8)
+        steps[0, :, :3] = np.diff(values, prepend=0).astype(np.uint8)[:, None]
+        steps[0, 0, 3] = 255
+        _put_pixels(out, steps, False)
+        shift = _bundle(len(values))
+        each, short = 8 >> shift, (width + (1 << shift) - 1) >> shift
+        place = np.zeros(256, np.uint8)
+        place[values] = np.arange(len(values))
+        full = np.zeros((height, short << shift), np.uint8)
+        full[:, :width] = place[samples].reshape(height, width)
+        bundled = np.zeros((height, short), np.uint8)
+        for k in range(1 << shift):
+            bundled |= full[:, k :: 1 << shift] << np.uint8(k * each)
+        width, plane = short, bundled.reshape(-1)
+    out.put(0, 1)
+    return _container(_put_green(out, plane, width))
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
