@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -458,6 +460,35 @@ def test_main_text_without_article():
     assert "Next" in text and "ok then" in text and "Home" not in text and "All rights" not in text
 
 
+SAID = "This is a long paragraph of the text that we have to read and that is about it, and so on for all of us. " * 3
+
+
+def test_main_text_of_links_inside_an_article():
+    """Link-dense blocks inside an article are bad and take short neighbours of their own element with them."""
+    page = f"<article><h1>Title</h1><p>{SAID}</p><p>Short line.</p><p>{SAID}</p><div><p><a href=1>One of our other stories</a></p><p>See also</p><p><a href=2>And another one of them</a></p></div></article>"
+    assert html_text.main_text(page) == "\n\n".join(["Title", SAID.strip(), "Short line.", SAID.strip()])
+
+
+def test_main_text_without_article_and_classes():
+    """With article elements and class names taken away, most pages give the same text."""
+    import duckdb
+
+    pages = [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    bare = [re.sub(r'\sclass="[^"]*"', "", re.sub(r"<(/?)article\b", r"<\1div", p)) for p in pages]
+    assert sum(html_text.main_text(a) == html_text.main_text(b) for a, b in zip(pages, bare, strict=True)) >= 0.9 * len(pages)
+
+
+def test_main_text_without_any_good_block():
+    assert html_text.main_text("<nav><a href=1>Home</a></nav><div><h2>Quux</h2><p>Foo bar.</p></div><footer>end</footer>") == "Quux\n\nFoo bar."
+    assert html_text.main_text("<nav><a href=1>Home</a></nav><form>name</form>") == ""
+
+
+def test_unclosed_elements_take_linear_time():
+    began = time.process_time()
+    html_text.main_text("<svg>" * 40_000 + "<p>" + SAID)
+    assert time.process_time() - began < 3
+
+
 def test_resampling_separates_and_counts(spark):
     rng = random.Random(9)
     good = lambda: " ".join(rng.choice(["the", "house", "runs", "over", "green", "hills", "and", "sleeps"]) for _ in range(40)) + "."

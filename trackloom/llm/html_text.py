@@ -1,19 +1,25 @@
 """Main text of web pages by two passes of block rules.
 
 The markup is cut into blocks at block-level tags. A block knows its length, how much of it is link text, how many
-of its words are stop words, and where it stands: inside page furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments: by tag, role, class or id) or inside the article element.
+of its words are stop words, the elements it stands in, and whether they are page furniture (menus, headers, footers,
+sidebars, notices, adverts, forms, reader comments: by tag, role, class or id, which alone can tell a comment from
+the article) or an article element.
 Pass 1 looks at each block alone: furniture and link-dense blocks are bad; long blocks with many stop words are
-good; long blocks with few are bad; blocks with some are nearly good; the rest is short.
-Pass 2 settles nearly good and short blocks by the nearest decided blocks before and after: nearly good ones become
-good beside one good neighbour, short ones between two. The edges of an article element count as good, those of the
-page as bad.
+good; long blocks with few are bad, inside an article element undecided; blocks with some are nearly good; the rest
+is short.
+Pass 2 settles nearly good and short blocks by the nearest decided blocks before and after. Two of one label decide.
+If only one is good, a heading before a good block is good; else the one with the more elements in common with the
+block decides; if they have as many, a block is good in an article element or beside a good block of its own parent
+element. Beside the end of the page only nearly good blocks follow a good one. The ends of an article element count
+as good; within it furniture decides nothing about the text around it.
+If a page has article elements, what is outside of them isn't main text. If it has none and no good block either, the
+element with the most text that isn't furniture or links stands for one.
 """
 
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +34,7 @@ SPACE = re.compile(r"\s+")
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video head title textarea select".split())
+RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I) for tag in RAW}
 FURNITURE = frozenset("nav footer aside form menu dialog button label search fieldset legend".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"]), "option": frozenset(["option"])}
 # fixed values: names that pages give to their furniture
@@ -49,6 +56,7 @@ class Block:
     furniture: bool
     article: int  # which article element, 0 for none
     heading: bool
+    path: tuple[int, ...] = ()  # the elements it stands in, from the outermost to its own
 
 
 def _names(attributes: str) -> tuple[set[str], dict[str, str]]:
@@ -84,15 +92,17 @@ def blocks_of(page: str) -> list[Block]:
     """The non-empty blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, furniture, article
+    path: list[int] = [0]  # a number for each element of the stack
     text: list[str] = []
-    linked, in_link, heading, articles, at, n = 0, False, False, 0, 0, len(page)
+    linked, in_link, heading, articles, elements, at, n = 0, False, False, 0, 0, 0, len(page)
+    unclosed: set[str] = set()  # raw elements that nothing closes from here on
 
     def flush() -> None:
         nonlocal linked, in_link
         joined = SPACE.sub(" ", "".join(text)).strip()
         text.clear()
         if joined:
-            out.append(Block(joined, min(1.0, linked / len(joined)), stack[-1][1], stack[-1][2], heading))
+            out.append(Block(joined, min(1.0, linked / len(joined)), stack[-1][1], stack[-1][2], heading, tuple(path)))
         linked, in_link = 0, False
 
     def say(raw: str) -> None:
@@ -112,11 +122,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         closing, tag = bool(m[1]), m[2].lower()
         if tag in RAW and not closing and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
+            end = None if tag in unclosed else RAW_ENDS[tag].search(page, at)
             if end:
                 at = end.end()
             elif tag not in ("head", "svg", "object"):
                 at = n
+            else:
+                unclosed.add(tag)
             text.append(" ")
         elif tag == "a":
             in_link = not closing
@@ -127,27 +139,30 @@ def blocks_of(page: str) -> list[Block]:
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
-                        del stack[k:]
+                        del stack[k:], path[k:]
                         break
             else:
                 if stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ()):
                     stack.pop()
                     while tag == "tr" and stack[-1][0] in CLOSES["tr"]:
                         stack.pop()
+                    del path[len(stack) :]
                 if tag not in VOID:
                     _, bad, article = stack[-1]
                     bad = bad or _is_furniture(tag, m[3], article > 0)
                     if not bad and not article and _is_article(tag, m[3]):
                         articles += 1
                         article = articles
+                    elements += 1
                     stack.append((tag, bad, article))
+                    path.append(elements)
             heading = stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
     say(page[at:])
     flush()
     return out
 
 
-GOOD, BAD, NEAR, SHORT_BLOCK = "good", "bad", "near", "short"
+GOOD, BAD, NEAR, SHORT_BLOCK, EDGE = "good", "bad", "near", "short", "edge"
 
 
 def first_pass(b: Block) -> str:
@@ -165,39 +180,69 @@ def first_pass(b: Block) -> str:
     return SHORT_BLOCK if b.article else BAD
 
 
+def _in_common(x: tuple[int, ...], y: tuple[int, ...]) -> int:
+    return next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+
 def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
-    """Which blocks stay: undecided ones follow the nearest decided neighbours within their article or the page."""
-
-    def nearest(k: int, step: int) -> str:
-        home, j = blocks[k].article, k + step
-        while 0 <= j < len(blocks):
-            # inside an article only its own text decides: what is embedded in it (adverts, links) does not
-            if home and blocks[j].article != home:
-                return GOOD
-            if labels[j] in (GOOD, BAD) and not (home and labels[j] == BAD):
-                return labels[j]
-            j += step
-        return GOOD if home else BAD
-
-    keep = []
-    for k, label in enumerate(labels):
-        if label in (NEAR, SHORT_BLOCK):
-            sides = (nearest(k, -1), nearest(k, 1))
-            after_good = sides[0] == GOOD or blocks[k].heading and sides[1] == GOOD
-            label = GOOD if sides == (GOOD, GOOD) or label == NEAR and GOOD in sides or blocks[k].heading and after_good and sides[1] == GOOD else BAD
-        keep.append(label == GOOD)
-    return keep
+    """Which blocks stay: undecided ones follow the nearest decided neighbours."""
+    good_parents = {b.path[:-1] for b, label in zip(blocks, labels, strict=True) if label == GOOD}
+    # what decides before each block and after it: the label and the place of the last decided block on that side
+    before, after = _decided(blocks, labels, range(len(blocks))), _decided(blocks, labels, range(len(blocks) - 1, -1, -1))
+
+    def settled(k: int) -> bool:
+        (left, i), (right, j) = before[k], after[k]
+        if left == right or GOOD not in (left, right):
+            return left == GOOD
+        if blocks[k].heading and right == GOOD:
+            return True
+        if EDGE in (left, right):
+            return labels[k] == NEAR
+        # an end of the article element (no block) is as near as the element itself, which all its blocks have in common
+        closer = [0 if x is None else _in_common(blocks[k].path, blocks[x].path) for x in (i, j)]
+        if None not in (i, j) and closer[0] != closer[1]:
+            return (left, right)[closer[1] > closer[0]] == GOOD
+        return blocks[k].article > 0 or blocks[k].path[:-1] in good_parents
+
+    return [label == GOOD if label in (GOOD, BAD) else settled(k) for k, label in enumerate(labels)]
+
+
+def _decided(blocks: list[Block], labels: list[str], order: range) -> list[tuple[str, int | None]]:
+    """For each block the nearest decided one among those that come before it in the order."""
+    out: list[tuple[str, int | None]] = [(EDGE, None)] * len(blocks)
+    last, home = (EDGE, None), 0
+    for k in order:
+        b = blocks[k]
+        if b.article != home:
+            # an article element begins or ends: inside, its edge is good; outside, what was before counts
+            if b.article:
+                last = (GOOD, None)
+            home = b.article
+        out[k] = last
+        if labels[k] in (GOOD, BAD) and not (home and b.furniture):
+            last = (labels[k], k)
+    return out
+
+
+def main_element(blocks: list[Block]) -> tuple[int, ...]:
+    """The element (its path) whose own blocks have the most text that isn't furniture or links."""
+    size: dict[tuple[int, ...], int] = {}
+    for b in blocks:
+        if not b.furniture and b.links <= DENSE_LINKS:
+            size[b.path[:-1]] = size.get(b.path[:-1], 0) + len(b.text)
+    return max(size, key=size.__getitem__, default=())
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks joined by an empty line; empty if there are none."""
+    """The main text's blocks joined by an empty line; empty if there are none."""
     blocks = blocks_of(page or "")
-    if any(b.article and not b.furniture for b in blocks):
-        blocks = [b for b in blocks if b.article and not b.furniture]
-    elif len(blocks) == 1 and page and "<" not in page:
-        return blocks[0].text
     labels = [first_pass(b) for b in blocks]
-    return "\n\n".join(b.text for b, k in zip(blocks, second_pass(blocks, labels), strict=True) if k)
+    if GOOD not in labels and not any(b.article for b in blocks):
+        home = main_element(blocks)
+        blocks = [replace(b, article=int(not b.furniture and b.path[: len(home)] == home)) for b in blocks]
+        labels = [first_pass(b) for b in blocks]
+    whole = any(b.article and not b.furniture for b in blocks)
+    return "\n\n".join(b.text for b, k in zip(blocks, second_pass(blocks, labels), strict=True) if k and (b.article or not whole))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
