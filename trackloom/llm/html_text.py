@@ -12,8 +12,9 @@ If only one is good, a heading before a good block is good; else the one with th
 block decides; if they have as many, a block is good in an article element or beside a good block of its own parent
 element. Beside the end of the page only nearly good blocks follow a good one. The ends of an article element count
 as good; within it furniture decides nothing about the text around it.
-If a page has article elements, what is outside of them isn't main text. If it has none and no good block either, the
-element with the most text that isn't furniture or links stands for one.
+If a page has article elements, what is outside of them isn't main text. If it has none, elements that good blocks
+stand in directly are treated like them, or, if no block is good either, the element with the most text that isn't
+furniture or links.
 """
 
 import html
@@ -57,6 +58,7 @@ class Block:
     article: int  # which article element, 0 for none
     heading: bool
     path: tuple[int, ...] = ()  # the elements it stands in, from the outermost to its own
+    parent: str = ""  # the tag of the element around its own
 
 
 def _names(attributes: str) -> tuple[set[str], dict[str, str]]:
@@ -102,7 +104,7 @@ def blocks_of(page: str) -> list[Block]:
         joined = SPACE.sub(" ", "".join(text)).strip()
         text.clear()
         if joined:
-            out.append(Block(joined, min(1.0, linked / len(joined)), stack[-1][1], stack[-1][2], heading, tuple(path)))
+            out.append(Block(joined, min(1.0, linked / len(joined)), stack[-1][1], stack[-1][2], heading, tuple(path), stack[max(0, len(stack) - 2)][0]))
         linked, in_link = 0, False
 
     def say(raw: str) -> None:
@@ -224,24 +226,29 @@ def _decided(blocks: list[Block], labels: list[str], order: range) -> list[tuple
     return out
 
 
-def main_element(blocks: list[Block]) -> tuple[int, ...]:
-    """The element (its path) whose own blocks have the most text that isn't furniture or links."""
+def main_elements(blocks: list[Block], labels: list[str]) -> list[tuple[int, ...]]:
+    """The elements (their paths) that stand for article elements: those with a good block of their own, or, without any
+    good block, the one whose own blocks have the most text that isn't furniture or links."""
+    if GOOD in labels:
+        return list(dict.fromkeys(b.path[:-1] for b, label in zip(blocks, labels, strict=True) if label == GOOD and b.parent in ("div", "section", "td")))
     size: dict[tuple[int, ...], int] = {}
     for b in blocks:
         if not b.furniture and b.links <= DENSE_LINKS:
             size[b.path[:-1]] = size.get(b.path[:-1], 0) + len(b.text)
-    return max(size, key=size.__getitem__, default=())
+    return [max(size, key=size.__getitem__)] if size else []
 
 
 def main_text(page: str | None) -> str:
     """The main text's blocks joined by an empty line; empty if there are none."""
     blocks = blocks_of(page or "")
     labels = [first_pass(b) for b in blocks]
-    if GOOD not in labels and not any(b.article for b in blocks):
-        home = main_element(blocks)
-        blocks = [replace(b, article=int(not b.furniture and b.path[: len(home)] == home)) for b in blocks]
+    whole = any(b.article for b in blocks)
+    if not whole:
+        homes = main_elements(blocks, labels)
+        inside = [next((k for k, home in enumerate(homes, 1) if b.path[: len(home)] == home), 0) for b in blocks]
+        blocks = [replace(b, article=k) if k and not b.furniture else b for b, k in zip(blocks, inside, strict=True)]
         labels = [first_pass(b) for b in blocks]
-    whole = any(b.article and not b.furniture for b in blocks)
+    whole = whole and any(b.article and not b.furniture for b in blocks)
     return "\n\n".join(b.text for b, k in zip(blocks, second_pass(blocks, labels), strict=True) if k and (b.article or not whole))
 
 
