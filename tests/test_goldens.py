@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import text as tx
 from trackloom.functions import timeline as tl
-from trackloom.functions.units import syllables, token_units
+from trackloom.functions.units import units_column, unsettled_runs
 from trackloom.operators import apportion, folds, frames, gating, intervals, layout, sequences
 
 
@@ -113,7 +113,7 @@ WORDS = dict(zip("table maple smile sunrise coffee tree the rhythm quay make bef
 
 def test_latin_syllables(spark):
     x = spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", tx.latin_syllables(F.col("w")).alias("n"))
-    assert {r.w: r.n for r in x.collect()} == WORDS == {w: syllables(w) for w in WORDS}
+    assert {r.w: r.n for r in x.collect()} == WORDS
 
 
 def test_scripts(spark):
@@ -123,19 +123,48 @@ def test_scripts(spark):
     assert got[3].f == "cat" and got[4].c == 0
 
 
+def units(spark, token, ja=frozenset(), zh=frozenset()):
+    t = F.col("t")
+    r = spark.createDataFrame([(token,)], "t string").select(units_column(t, ja, zh).alias("u"), unsettled_runs(t, ja, zh).alias("open")).first()
+    return r.u, r.open
+
+
 @pytest.mark.parametrize(
     ("token", "want"),
-    [("ファンタジア", [("ファ", 1), ("ン", 1), ("タ", 1), ("ジ", 1), ("ア", 1)]), ("さぁ", [("さぁ", 2)]), ("時々に", [("時々", 2), ("に", 1)]), ("(abc)", [("(abc)", 1)]), ("...", [("...", 0)]), ("", [])],
+    [
+        ("ファンタジア", [("ファ", 1), ("ン", 1), ("タ", 1), ("ジ", 1), ("ア", 1)]),
+        ("さぁ", [("さぁ", 2)]),
+        ("時々に", [("時々", 2), ("に", 1)]),
+        ("(abc)", [("(abc)", 1)]),
+        ("...", [("...", 0)]),
+        ("", []),
+        # the edges of the classes: the middle dot, voicing and iteration marks, accents and curly apostrophes are marks
+        ("ア・イ", [("ア・", 1), ("イ", 1)]),
+        ("ー゛ヽa", [("ー゛ヽ", 1), ("a", 1)]),
+        ("don't", [("don't", 1)]),
+        ("don’t", [("don’", 1), ("t", 1)]),
+        ("café", [("café", 1)]),
+        ("ヺゖ", [("ヺ", 1), ("ゖ", 1)]),
+        ("!ャぁ", [("!ャぁ", 2)]),
+        ("カ!ャ", [("カ!", 1), ("ャ", 1)]),
+        ("ティトゥァー", [("ティ", 1), ("トゥァ", 2), ("ー", 1)]),
+        ("きょう12", [("きょ", 1), ("う12", 1)]),
+        ("line\n", [("line\n", 1)]),
+    ],
 )
-def test_token_units(token, want):
-    units, unsettled = token_units(token)
-    assert [(u.u, u.morae) for u in units] == want and not unsettled
-    assert "".join(u.u for u in units) == token
-
-
-def test_unsettled_ideographs():
-    assert token_units("私")[1] == ["私"]
-    assert token_units("私", ja=frozenset(["私"]))[0][0].morae == 2
+def test_token_units(spark, token, want):
+    found, unsettled = units(spark, token)
+    assert [(u.u, u.morae) for u in found] == want and not unsettled
+    assert "".join(u.u for u in found) == token
+
+
+def test_unsettled_ideographs(spark):
+    assert units(spark, "私")[1] == ["私"] and units(spark, "私")[0][0].lang == "zh"
+    found, unsettled = units(spark, "私", ja=frozenset(["私"]))
+    assert (found[0].morae, found[0].lo, found[0].hi, found[0].tentative) == (2, 1, 3, True) and not unsettled
+    found, unsettled = units(spark, "我想!我の", zh=frozenset(["我想"]))
+    assert [(u.u, u.morae, u.lang) for u in found] == [("我", 1, "zh"), ("想!", 1, "zh"), ("我", 2, "ja"), ("の", 1, "ja")] and not unsettled
+    assert units(spark, "\uf900々私", zh=frozenset(["我想"]))[1] == ["私"]
 
 
 def test_align():

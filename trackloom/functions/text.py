@@ -11,6 +11,9 @@ from pyspark.sql.types import StringType
 # fixed values: character classes of the orthographies
 VOWELS = "aeiouy"
 KATA, CJK, LATIN = "・-ヿ", "㐀-䶿一-鿿々豈-\ufaff", "a-z0-9À-ɏ"
+#: The classes of singing units: kana letters with the long-vowel mark (not the middle dot and the iteration marks),
+#: ideographs of the two main blocks, ASCII letters with the apostrophe.
+KANA, GLYPH, APOSTROPHE_LATIN = "ぁ-ゖァ-ヺー", "㐀-䶿一-鿿", "A-Za-z'"
 SMALL = "ぁぃぅぇぉっゃゅょゎァィゥェォッャュョヮ"
 PUNCTUATION = "[!-/:-@\\[-`{-~“”‘’«»„…、。・「」『』？！～]"
 
@@ -45,13 +48,15 @@ def tag(name: Column) -> Column:
 
 
 def kind(ch: Column) -> Column:
-    """kana, cjk, latin (with digits no; apostrophe yes) or other, of one character."""
-    return F.when(ch.rlike("^[぀-ヿ]$"), "kana").when(ch.rlike(f"^[{CJK}]$"), "cjk").when(ch.rlike("^[A-Za-zÀ-ɏ'’]$"), "latin").otherwise("other")
+    """kana, cjk, latin (ASCII letters and the apostrophe) or other, of one character."""
+    is_one_of = lambda cls: ch.rlike(f"^[{cls}]$")
+    return F.when(is_one_of(KANA), "kana").when(is_one_of(GLYPH), "cjk").when(is_one_of(APOSTROPHE_LATIN), "latin").otherwise("other")
 
 
 def runs_of(token: Column) -> Column:
     """Maximal runs of one class; nothing is dropped."""
-    return F.regexp_extract_all(token, F.lit(f"([぀-ヿ]+|[{CJK}]+|[A-Za-zÀ-ɏ'’]+|[^぀-ヿ{CJK}A-Za-zÀ-ɏ'’]+)"), F.lit(1))
+    classes = (KANA, GLYPH, APOSTROPHE_LATIN, f"^{KANA}{GLYPH}{APOSTROPHE_LATIN}")
+    return F.regexp_extract_all(token, F.lit("|".join(f"[{c}]+" for c in classes)), F.lit(0))
 
 
 @pandas_udf(StringType())

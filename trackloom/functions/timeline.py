@@ -16,6 +16,11 @@ def snap(t: Column, phase: Column, step: Column) -> Column:
     return phase + F.rint((t - phase) / step) * step
 
 
+def once(x: Column, f) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def split_on_grid(start: Column, end: Column, n: Column, phase: Column, period: Column, subdiv: float = 2.0) -> Column:
     """n spans that tile start..end: even cuts snapped to the lattice of period / subdiv, each at least LEAST after
     the cut before and before the next even one; even spans where that leaves none."""
@@ -28,17 +33,46 @@ def split_on_grid(start: Column, end: Column, n: Column, phase: Column, period:
         s = F.least(F.greatest(snap(ideal(k), phase, period / subdiv), low), high)
         return F.concat(acc, F.array(F.when(high < low, low).otherwise(s)))
 
-    cuts = F.concat(F.aggregate(inner, F.array(start), cut), F.array(end))
-    spans = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.element_at(cuts, k).alias("start"), F.element_at(cuts, k + 1).alias("end")))
+    def spans(cuts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.element_at(cuts, k).alias("start"), F.element_at(cuts, k + 1).alias("end")))
+
     even = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(ideal(k - 1).alias("start"), ideal(k).alias("end")))
-    bad = F.exists(spans, lambda s: s["end"] <= s["start"])
-    return F.transform(F.when(bad, even).otherwise(spans), lambda s: F.struct(r3(s["start"]).alias("start"), r3(s["end"]).alias("end")))
+    found = once(F.concat(F.aggregate(inner, F.array(start), cut), F.array(end)), spans)
+    found = once(found, lambda x: F.when(F.exists(x, lambda s: s["end"] <= s["start"]), even).otherwise(x))
+    return F.transform(found, lambda s: F.struct(r3(s["start"]).alias("start"), r3(s["end"]).alias("end")))
+
+
+def split_word(start: Column, end: Column, weights: Column, marks: Column, tol: float) -> Column:
+    """Spans that tile start..end in proportion to weights, each cut moved to the nearest mark (the earlier of equals) if
+    that is at most tol away and more than LEAST inside the cut before and the end; then kept LEAST after the cut before
+    and LEAST for each span to come before the end. Rounded to .001. marks: array<double>."""
+    n = F.size(weights)
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+
+    def cut(acc: Column, k: Column) -> Column:
+        before, done = F.element_at(acc["cuts"], -1), acc["done"] + F.element_at(weights, k)
+        target = start + (end - start) * done / total
+        best = F.array_min(F.transform(marks, lambda m: F.struct(F.abs(m - target).alias("d"), m.alias("m"))))
+        near = (best["d"] <= tol) & (best["m"] > before + LEAST) & (best["m"] < end - LEAST)
+        at = F.least(F.greatest(F.when(near, best["m"]).otherwise(target), before + LEAST), end - LEAST * (n - k))
+        return F.struct(F.concat(acc["cuts"], F.array(at)).alias("cuts"), done.alias("done"))
+
+    inner = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    cuts = F.aggregate(inner, F.struct(F.array(start).alias("cuts"), F.lit(0.0).alias("done")), cut, lambda acc: F.concat(acc["cuts"], F.array(end)))
+    return once(cuts, lambda c: F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(r3(F.element_at(c, k)).alias("start"), r3(F.element_at(c, k + 1)).alias("end"))))
+
+
+def emit_word(w: Column, start: Column, end: Column, n: Column, prob: Column, cover: Column, phase: Column, period: Column, subdiv: float = 2.0) -> Column:
+    """A document's word: at least LEAST wide, syl only for more than one syllable, conf from prob and coverage."""
+    end = F.greatest(end, start + LEAST)
+    syl = F.when(n > 1, split_on_grid(start, end, n, phase, period, subdiv))
+    return F.struct(w.alias("w"), r3(start).alias("start"), r3(end).alias("end"), confidence(prob, cover).alias("conf"), syl.alias("syl"))
 
 
 def residual(spans: Column, start: Column, end: Column) -> Column:
     """Mean distance of the inner cuts from even ones; 0 for one span."""
     n = F.size(spans)
-    off = F.transform(F.sequence(F.lit(2), n), lambda k: F.abs(F.element_at(spans, k)["start"] - (start + (end - start) * (k - 1) / n)))
+    off = F.transform(F.when(n > 1, F.sequence(F.lit(2), n)), lambda k: F.abs(F.element_at(spans, k)["start"] - (start + (end - start) * (k - 1) / n)))
     return F.when(n > 1, F.aggregate(off, F.lit(0.0), lambda a, x: a + x) / (n - 1)).otherwise(0.0)
 
 

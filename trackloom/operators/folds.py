@@ -3,6 +3,7 @@
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +21,18 @@ def scan(xs: Column, start: Column, step: Callable[[Column, Column], Column], fi
 
 
 def follower(frames: DataFrame, keys: list[str], x: str = "x", *, fps: float = 100.0, attack: float = 0.010, release: float = 0.090) -> DataFrame:
-    """(keys, f, y): a one-pole follower with y0 = 0 whose coefficient is that of the attack while x is above y."""
+    """(keys, f, y): a one-pole follower with y0 = 0 whose coefficient is that of the attack while x is above y. Linear
+    in the frames of a track, which one Arrow group holds; longer tracks go through streaming.stateful."""
     up, down = math.exp(-1 / (attack * fps)), math.exp(-1 / (release * fps))
 
-    def move(y: Column, v: Column) -> Column:
-        a = F.when(v > y, F.lit(up)).otherwise(F.lit(down))
-        return a * y + (1 - a) * v
-
-    folded = ordered(frames, keys, "f", x).withColumn("ys", scan(F.col("xs"), F.lit(0.0), lambda y, s: move(y, s[x]), lambda s: move(F.lit(0.0), s[x]), "double"))
-    return folded.select(*keys, F.explode(F.arrays_zip(F.col("xs.f").alias("f"), F.col("ys").alias("y"))).alias("z")).select(*keys, "z.*")
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("f")
+        y, out = 0.0, []
+        for v in part.column(x).to_pylist():
+            a = up if v > y else down
+            y = a * y + (1 - a) * v
+            out.append(y)
+        return part.select([*keys, "f"]).append_column("y", pa.array(out, pa.float64()))
+
+    schema = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in [*keys, "f"]) + ", y double"
+    return frames.select(*keys, "f", F.col(x).cast("double").alias(x)).groupBy(*keys).applyInArrow(run, schema)

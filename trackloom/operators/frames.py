@@ -70,6 +70,18 @@ def spectral_features(spec: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def voice_features(spec: DataFrame, bank: DataFrame, keys: list[str], low: int, high: int, taps: int = 17) -> DataFrame:
+    """(keys, f, bin, s) -> (keys, f, presence, strength, flatness): energy of the bins low..high-1 under their harmonic
+    mask, the mean rise of the log band energies of all bins, and flatness of the bins low..high-1."""
+    voice = soft_masks(spec.filter((F.col("bin") >= low) & (F.col("bin") < high)), keys, taps)
+    harmonic = F.col("s") * F.col("mask")
+    voice = voice.groupBy(*keys, "f").agg(F.sqrt(F.sum(harmonic * harmonic)).alias("presence"), (F.exp(F.avg(F.ln(F.col("s") + 1e-10))) / (F.avg("s") + 1e-10)).alias("flatness"))
+    logs = F.ln(F.col("e") + 1e-10)
+    rise = F.greatest(logs - F.lag(logs).over(Window.partitionBy(*keys, "band").orderBy("f")), F.lit(0.0))
+    flux = mel_bands(spec, bank, keys).withColumn("_rise", F.coalesce(rise, F.lit(0.0))).groupBy(*keys, "f").agg(F.avg("_rise").alias("strength"))
+    return voice.join(flux, [*keys, "f"]).select(*keys, "f", "presence", "strength", "flatness")
+
+
 def gate_level(rel: Column) -> Column:
     """A relative level as 0..1: log10(rel) over 0.4 around one half."""
     return F.least(F.greatest(F.log10(rel + F.lit(EPS)) / 0.4 + 0.5, F.lit(0.0)), F.lit(1.0))

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.intervals import next_of
+
 
 def islands(rows: DataFrame, keys: list[str], order: str, flag: Column, name: str = "island") -> DataFrame:
     """The rows where flag holds, numbered by maximal stretches of consecutive order values."""
@@ -27,7 +29,10 @@ def phrase_runs(frames: DataFrame, keys: list[str], x: str = "x", *, fps: float
     apart = (F.col("a") - F.lag("b").over(w)) / F.lit(fps)
     runs = runs.withColumn("g", F.sum(F.when(apart < merge, 0).otherwise(1)).over(w)).groupBy(*keys, "g").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     runs = runs.filter((F.col("b") - F.col("a") + 1) / F.lit(fps) >= min_run).withColumn("run_id", (F.row_number().over(Window.partitionBy(*keys).orderBy("a")) - 1).cast("int"))
-    inside = frames.join(runs, keys).filter(F.col("f").between(F.col("a"), F.col("b")))
+    # a run's first frame brings it along; the frames after it see the last one brought
+    brought = frames.join(runs.select(*keys, F.col("a").alias("f"), F.struct("run_id", "a", "b").alias("_run")), [*keys, "f"], "left")
+    seen = F.last("_run", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("f").rowsBetween(Window.unboundedPreceding, 0))
+    inside = brought.withColumn("_run", seen).filter(F.col("f") <= F.col("_run.b")).select("*", "_run.*")
     out = inside.groupBy(*keys, "run_id", "a", "b").agg(F.avg(x).alias("mean"), F.max(x).alias("peak"))
     return out.select(*keys, "run_id", (F.col("a") / fps).alias("start"), ((F.col("b") + 1) / fps).alias("end"), "mean", "peak")
 
@@ -52,11 +57,12 @@ def quiet_from(points: DataFrame, frames: DataFrame, keys: list[str], x: str, *,
     """points (keys, id, t) with t_end: where, from frame rint(t * fps) on, the first stretch at or below the threshold
     starts that lasts `gap` seconds; a stretch under way counts from t only; null if there is none."""
     quiet = islands(frames, keys, "f", F.col(x) <= threshold).groupBy(*keys, "island").agg(F.min("f").alias("qs"), (F.max("f") + 1).alias("qe"))
+    long = quiet.withColumn("_long", F.col("qe") - F.col("qs") >= F.lit(gap * fps)).filter("_long").select(*keys, "qs", "qe")
     at = points.withColumn("_f", F.rint(F.col("t") * fps))
-    start = F.greatest("qs", "_f")
-    found = at.join(quiet, keys).filter(F.col("qe") - start >= F.lit(gap * fps))
-    found = found.groupBy(*keys, "id").agg((F.min(start) / fps).alias("t_end"))
-    return points.join(found, [*keys, "id"], "left")
+    # stretches are apart: one that ends after the point is under way or still to come
+    x = next_of(next_of(at, long, keys, "_f", "qe", "_now", strict=True), long, keys, "_f", "qs", "_next", strict=True)
+    here = (F.col("_now.qs") <= F.col("_f")) & (F.col("_now.qe") - F.col("_f") >= F.lit(gap * fps))
+    return x.withColumn("t_end", F.when(here, F.col("_f")).otherwise(F.col("_next.qs")) / fps).drop("_f", "_now", "_next")
 
 
 def gaps_within(units: DataFrame, line: list[str], order: str, gap: float) -> DataFrame:

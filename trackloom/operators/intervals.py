@@ -53,7 +53,9 @@ def nearest(points: DataFrame, marks: DataFrame, keys: list[str], point_id: str,
     w = Window.partitionBy(*keys).orderBy("t", "_o")
     # a mark at t itself comes before the point, and is the nearest
     before = F.last("m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("m", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # the same from the other end: a frame that ends at the last row would be read again for each row
+    back = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("_o"))
+    after = F.last("m", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     x = both.withColumn("_b", before).withColumn("_a", after).filter("_o = 1")
     best = F.when(F.col("_a").isNull() | (F.col("t") - F.col("_b") <= F.col("_a") - F.col("t")), F.col("_b")).otherwise(F.col("_a"))
     x = x.withColumn("mark", best)
@@ -95,9 +97,20 @@ def forward_fill(rows: DataFrame, keys: list[str], order: str, value: str, seed:
 
 def neighbours(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """rows with before and after: the nearest known value on either side."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("before", before).withColumn("after", F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    known, w = F.last(value, ignorenulls=True), Window.partitionBy(*keys)
+    side = lambda *by: known.over(w.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", side(F.asc(order))).withColumn("after", side(F.desc(order)))
+
+
+def next_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at: str, out: str, *, strict: bool = False) -> DataFrame:
+    """points with a struct `out`: of marks (keys, mark_at, ...) the first at or after each point, strictly after it if
+    strict; null if there is none. One sort for each key."""
+    others = [c for c in marks.columns if c not in keys]
+    m = marks.select(*keys, F.col(mark_at).cast("double").alias("_at"), F.lit(0 if strict else 1).alias("_k"), F.struct(*others).alias(out))
+    p = points.withColumn("_at", F.col(at).cast("double")).withColumn("_k", F.lit(1 if strict else 0)).withColumn("_p", F.lit(True))
+    back = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    both = p.withColumn(out, F.lit(None).cast(m.schema[out].dataType)).unionByName(m, allowMissingColumns=True)
+    return both.withColumn(out, F.last(out, ignorenulls=True).over(back)).filter("_p").drop("_at", "_k", "_p")
 
 
 def line_spans(units: DataFrame, keys: list[str], tail: float) -> DataFrame:

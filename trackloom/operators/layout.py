@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions.timeline import LEAST, r3
+from trackloom.functions.timeline import LEAST, emit_word, r3
+from trackloom.operators.intervals import next_of
 
 
 def sound_pieces(pieces: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def fill_in_line(words: DataFrame, keys: list[str], order: str, length: Column)
     w = Window.partitionBy(*keys).orderBy(order)
     known = F.when(F.col("start").isNotNull(), F.struct(F.col(order).alias("i"), "start", "end"))
     x = words.withColumn("_k", known)
-    x = x.withColumn("_b", F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_a", F.first("_k", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    x = x.withColumn("_b", F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_a", F.last("_k", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)))
     lo, hi = F.col("_b.end"), F.col("_a.start")
     span, bucket, k = F.greatest(hi - lo, F.lit(0.0)), F.greatest(F.col("_a.i") - F.col("_b.i"), F.lit(1)), F.col(order) - F.col("_b.i")
     st = lo + span * k / bucket
@@ -65,10 +66,8 @@ def spray(words: DataFrame, runs: DataFrame, keys: list[str], order: str, weight
 
     def at(frame: DataFrame, u: str, out: str) -> DataFrame:
         # the first segment whose cumulative end reaches u
-        s = segs.select(*keys, F.col("a").alias("_a"), F.col("b").alias("_b2"), F.col("c0").alias("_c0"), F.col("c1").alias("_c1"))
-        hit = frame.join(s, keys).filter(F.col(u) <= F.col("_c1") + 1e-9)
-        hit = hit.groupBy(*frame.columns).agg(F.min(F.struct("_c1", "_a", "_c0", "_b2")).alias("_s"))
-        return hit.withColumn(out, F.col("_s._a") + (F.col(u) - F.col("_s._c0"))).withColumn(f"{out}_end", F.col("_s._b2")).drop("_s")
+        hit = next_of(frame, segs.withColumn("_reach", F.col("c1") + 1e-9).select(*keys, "a", "b", "c0", "_reach"), keys, u, "_reach", "_s")
+        return hit.withColumn(out, F.col("_s.a") + (F.col(u) - F.col("_s.c0"))).withColumn(f"{out}_end", F.col("_s.b")).drop("_s")
 
     x = at(at(x, "u0", "st"), "u1", "en")
     straddles = F.col("en") - F.col("st") > F.col("u1") - F.col("u0") + 0.35
@@ -96,13 +95,13 @@ def allocate(lines: DataFrame, runs: DataFrame, keys: list[str], order: str, wei
     d = lines.withColumn("d1", F.sum(weight).over(w.orderBy(order)) / F.sum(weight).over(w))
     d = d.withColumn("d0", F.coalesce(F.lag("d1").over(w.orderBy(order)), F.lit(0.0)))
 
-    def place(u: str) -> Column:
-        return F.col("rs") + (F.col("re") - F.col("rs")) * (F.col(u) - F.col("c0")) / (F.col("c1") - F.col("c0"))
+    def place(frame: DataFrame, u: str, out: str, slack: float, strict: bool) -> DataFrame:
+        # the first run whose cumulative capacity passes u
+        x = next_of(frame, r.withColumn("_reach", F.col("c1") + slack), keys, u, "_reach", "_r", strict=strict)
+        return x.withColumn(out, F.col("_r.rs") + (F.col("_r.re") - F.col("_r.rs")) * (F.col(u) - F.col("_r.c0")) / (F.col("_r.c1") - F.col("_r.c0"))).drop("_r")
 
-    x = d.join(r, keys)
-    start = F.min_by(place("d0"), F.when(F.col("d0") < F.col("c1") - 1e-12, F.col("c1")))
-    end = F.min_by(place("d1"), F.when(F.col("d1") <= F.col("c1") + 1e-12, F.col("c1")))
-    return x.groupBy(*keys, order, weight).agg(start.alias("start"), end.alias("end"))
+    x = place(place(d, "d0", "start", -1e-12, True), "d1", "end", 1e-12, False)
+    return x.join(r.select(*keys).distinct(), keys, "left_semi").select(*keys, order, weight, "start", "end")
 
 
 def repair_words(words: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -122,6 +121,65 @@ def repair_words(words: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("ws", F.aggregate("ws", F.array().cast(item), step))
 
 
+def build_lines(words: DataFrame, keys: list[str], line: str, order: str, phase: float, period: float, subdiv: float = 2.0) -> DataFrame:
+    """(keys, line, start, end, words) of a document from words (keys, line, order, w, start, end, n, prob, cover) with n
+    syllables each: widths of LEAST at least, repair within the line, words emitted with their syllables, and a line
+    that reaches into the next one loses the end of its last word, which is emitted anew."""
+    ks = [*keys, line]
+    wide = words.withColumn("end", F.greatest("end", F.col("start") + LEAST))
+    fixed = repair_words(wide, ks, order).select(*ks, F.explode("ws").alias("s")).select(*ks, F.col("s.i").alias(order), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    x = fixed.join(words.select(*ks, F.col(order).cast("int").alias(order), "w", "n", "prob", "cover"), [*ks, order])
+    stop = r3(F.greatest("end", F.col("start") + LEAST))
+    per = x.groupBy(*ks).agg(r3(F.min_by("start", order)).alias("_s"), F.max_by(stop, order).alias("_e"), F.max(order).alias("_last"))
+    per = per.withColumn("_next", F.lead("_s").over(Window.partitionBy(*keys).orderBy(line)))
+    x = x.join(per, ks)
+    clamp = (F.col(order) == F.col("_last")) & (F.col("_e") > F.col("_next")) & (F.col("_next") > r3(F.col("start")))
+    word = emit_word(F.col("w"), F.when(clamp, r3(F.col("start"))).otherwise(F.col("start")), F.when(clamp, F.col("_next")).otherwise(F.col("end")), F.col("n"), F.col("prob"), F.col("cover"), F.lit(phase), F.lit(period), subdiv)
+    out = x.select(*ks, F.struct(F.col(order).alias("i"), word.alias("v")).alias("x")).groupBy(*ks).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    found = F.col("xs.v")
+    return out.select(*ks, F.element_at(found, 1)["start"].alias("start"), F.element_at(found, -1)["end"].alias("end"), found.alias("words"))
+
+
+def link_words(lines: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """lines (keys, li, text), pieces (keys, pi, text, start, end, prob) -> (keys, li, wi, w, start, end, prob) of every
+    word, times null where nothing was heard: sound pieces, common blocks of the two folded character streams, and of a
+    word's matched characters the best cluster in time."""
+    from trackloom.functions import text as tx
+    from trackloom.operators.sequences import MatchingBlocks
+
+    words = lines.select(*keys, "li", F.posexplode(tx.words(F.col("text"))).alias("wi", "w")).withColumn("_f", tx.fold(F.col("w")))
+    heard = sound_pieces(pieces).withColumn("_f", tx.fold(F.col("text")))
+
+    def stream(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+        x = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "_f"))).alias("_x"))
+        return x.select(*keys, F.array_join(F.col("_x._f"), "").alias(name))
+
+    def places(rows: DataFrame, order: list[str], at: str) -> DataFrame:
+        n = F.length("_f")
+        x = rows.withColumn("_0", F.sum(n).over(Window.partitionBy(*keys).orderBy(*order)) - n).filter(n > 0)
+        return x.withColumn(at, F.explode(F.sequence(F.col("_0").cast("int"), (F.col("_0") + n - 1).cast("int"))))
+
+    both = stream(words, ["li", "wi"], "_a").join(stream(heard, ["pi"], "_b"), keys)
+    blocks = both.lateralJoin(MatchingBlocks(F.col("_a").outer(), F.col("_b").outer()).alias("m")).filter("m.size > 0")
+    blocks = blocks.select(*keys, F.col("m.a").alias("_p"), F.col("m.b").alias("_q"), F.explode(F.sequence(F.lit(0), F.col("m.size") - 1)).alias("_k"))
+    at = blocks.select(*keys, (F.col("_p") + F.col("_k")).alias("_p"), (F.col("_q") + F.col("_k")).alias("_q"))
+    hits = at.join(places(words, ["li", "wi"], "_p").select(*keys, "li", "wi", "_p"), [*keys, "_p"]).join(places(heard, ["pi"], "_q").select(*keys, "start", "end", "prob", "_q"), [*keys, "_q"])
+    ids = [*keys, "li", "wi"]
+    found = clusters(hits.select(*ids, "start", "end", "prob"), ids).join(words.select(*ids, F.greatest(F.length("_f"), F.lit(1)).alias("_len")), ids)
+    return words.drop("_f").join(best_cluster(found, ids, F.col("_len")), ids, "left")
+
+
+def accept_refined(old: DataFrame, new: DataFrame, keys: list[str], longest: float = 12.0) -> DataFrame:
+    """old and new (keys, wi, start, end, prob): a line's new times replace the old ones if every word of it was linked
+    and none lasts longer than `longest`; accepted tells."""
+    x = old.join(new.select(*keys, "wi", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("prob").alias("_p")), [*keys, "wi"], "left")
+    line = Window.partitionBy(*keys)
+    ok = F.min((F.col("_s").isNotNull() & F.coalesce(F.col("_e") - F.col("_s") <= longest, F.lit(False))).cast("int")).over(line) == 1
+    x = x.withColumn("accepted", ok)
+    pick = lambda a, b: F.when(F.col("accepted"), F.col(b)).otherwise(F.col(a)).alias(a)
+    return x.select(*keys, "wi", pick("start", "_s"), pick("end", "_e"), pick("prob", "_p"), "accepted")
+
+
 def cascade(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, ls): lines in order; one that starts before the last one's end moves, as a whole, .001 past it."""
     rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("int").alias("i"), "start", "end"))).alias("ls"))

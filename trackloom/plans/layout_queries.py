@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import text as tx, timeline as tl
-from trackloom.functions.units import units_column
+from trackloom.functions.units import UNIT, parse_lines
 from trackloom.operators import checks, layout as lo, sequences as sq
 from trackloom.plans.text_queries import SYL, _words
 from trackloom.plans.tracks import EV, FR, NR, RUNS, hourly, normal, runs
@@ -69,11 +69,10 @@ def refine_windows(spark, sf):
 
 
 def merge_refined(spark, sf):
-    old = _pieces(spark, sf).groupBy("user_id", "line").agg(F.min("start").alias("start"), F.count("*").alias("n"))
-    new = _clusters(spark, sf).groupBy("user_id", "line").agg(F.min("start").alias("start2"), F.sum("n").alias("n2"))
-    x = old.join(new, ["user_id", "line"], "left")
-    ok = F.coalesce(F.col("n2") == F.col("n"), F.lit(False))
-    return x.select("user_id", "line", r3(F.when(ok, F.col("start2")).otherwise(F.col("start"))).alias("start"), ok.alias("accepted"))
+    """Lines heard again: every piece a quarter of a second later, improbable ones not linked, some far too long."""
+    old = _pieces(spark, sf).select("user_id", "line", F.col("event_id").alias("wi"), r3(F.col("start")).alias("start"), r3(F.col("end")).alias("end"), "prob")
+    new = old.filter("prob >= 0.1").select("user_id", "line", "wi", r3(F.col("start") + 0.25).alias("start"), r3(F.col("end") + F.when(F.col("wi") % 9 == 0, 12.5).otherwise(0.25)).alias("end"), "prob")
+    return lo.accept_refined(old, new, ["user_id", "line"]).select("user_id", "line", "wi", "start", "end", "accepted")
 
 
 def lag_search(spark, sf):
@@ -131,7 +130,9 @@ def line_progress(spark, sf):
     g = e.groupBy("user_id", "line").agg(F.array_sort(F.collect_list(F.struct("start", "end", "event_id", "w"))).alias("ws"), F.min("start").alias("s"), F.max("end").alias("e"))
     ws = F.transform("ws", lambda v: F.struct(v["w"].alias("w"), v["start"].alias("start"), v["end"].alias("end"), F.lit(None).cast(tl.SPANS).alias("syl")))
     g = g.withColumn("t", F.explode(F.array(F.col("s"), (F.col("s") + F.col("e")) / 2, F.col("e")))).distinct()
-    return g.select("user_id", "line", r3(F.col("t")).alias("t"), F.round(tl.line_progress(ws, F.col("t")), 3).alias("chars"))
+    # not in one select with a new t: names in lambdas may mean aliases that come before
+    g = g.withColumn("chars", F.round(tl.line_progress(ws, F.col("t")), 3))
+    return g.select("user_id", "line", r3(F.col("t")).alias("t"), "chars")
 
 
 def frame_state(spark, sf):
@@ -172,23 +173,61 @@ def _document(spark, sf):
     return g.select("user_id", "i", F.array_join("words.w", " ").alias("text"), F.element_at("words", 1)["start"].alias("start"), F.element_at("words", -1)["end"].alias("end"), "words")
 
 
+def _broken(spark, sf):
+    """Documents with every third line's text changed and its words' confidence out of range."""
+    d = _document(spark, sf)
+    worse = F.transform("words", lambda v: v.withField("conf", F.lit(1.5)))
+    third = F.col("i") % 3 == 2
+    return d.withColumn("words", F.when(third, worse).otherwise(F.col("words"))).withColumn("text", F.when(third, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+
+
 def check_document(spark, sf):
-    return checks.check_document(_document(spark, sf), ["user_id"])
+    return checks.check_document(_broken(spark, sf), ["user_id"])
 
 
 def check_document_broken(spark, sf):
-    """The same rules over documents with every third line shifted half a day and words out of range."""
-    d = _document(spark, sf)
-    worse = F.transform("words", lambda v: F.struct(v["w"].alias("w"), v["start"].alias("start"), v["end"].alias("end"), F.lit(1.5).alias("conf"), v["syl"].alias("syl")))
-    third = F.col("i") % 3 == 2
-    d = d.withColumn("words", F.when(third, worse).otherwise(F.col("words"))).withColumn("text", F.when(third, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return checks.check_document(d, ["user_id"]).groupBy("rule").count().withColumnRenamed("count", "n")
+    """What is found, counted, with a line count demanded that few documents have."""
+    return checks.check_document(_broken(spark, sf), ["user_id"], n_lines=2).groupBy("rule").count().withColumnRenamed("count", "n")
+
+
+def document_lines(spark, sf):
+    """Users' events of six hours as the words of a line."""
+    e = _timed(spark, sf).withColumn("line", F.floor(F.col("start") / 21600).cast("int"))
+    e = e.withColumn("wi", F.row_number().over(Window.partitionBy("user_id", "line").orderBy("event_id"))).withColumn("end", F.col("end") + F.col("event_id") % 3 * 9000)
+    e = e.withColumn("n", tx.latin_syllables(F.col("w"))).withColumn("cover", F.round((F.col("event_id") % 7) / 6, 4))
+    x = lo.build_lines(e, ["user_id"], "line", "wi", 0.41, 0.4658)
+    x = x.select("user_id", "line", F.col("start").alias("line_start"), F.col("end").alias("line_end"), F.posexplode("words").alias("k", "v"))
+    return x.select("user_id", "line", "line_start", "line_end", "k", "v.w", "v.start", "v.end", "v.conf", F.coalesce(F.size("v.syl"), F.lit(0)).alias("n_syl"))
+
+
+def split_word(spark, sf):
+    """Events as words of one to three units, cut near marks of their own."""
+    e = _timed(spark, sf).select("event_id", "start", "end", tx.latin_syllables(F.col("w")).alias("n"))
+    weights = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: ((F.col("event_id") + k) % 3 + 1).cast("double"))
+    marks = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: F.col("start") + (F.col("event_id") % 5 + 1) * 0.07 * j)
+    x = e.select("event_id", F.posexplode(tl.split_word(F.col("start"), F.col("end"), weights, marks, 0.12)).alias("k", "s"))
+    return x.select("event_id", "k", "s.start", "s.end")
+
+
+def link_words(spark, sf):
+    """Conversations against themselves as heard: a piece for each word, every seventh one misheard, every fifth one cut."""
+    w = _words(spark, sf).withColumn("pi", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "wi")))
+    heard = F.when(F.col("pi") % 7 == 0, "zzz").when(F.col("pi") % 5 == 0, F.substring("w", 1, 2)).otherwise(F.col("w"))
+    pieces = w.select("conv_id", "pi", heard.alias("text"), (F.col("pi") * 0.5).alias("start"), (F.col("pi") * 0.5 + 0.4).alias("end"), ((F.col("pi") % 10) / 10).alias("prob"))
+    lines = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("li"), "text")
+    return lo.link_words(lines, pieces, ["conv_id"]).select("conv_id", "li", "wi", "w", "start", "end", "prob")
 
 
 def check_units(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", "text", F.posexplode(tx.single_split(F.col("text"))).alias("wi", "w"))
-    b = b.withColumn("u", units_column(F.col("w"))).groupBy("item_id", "text").agg(F.array_sort(F.collect_list(F.struct("wi", "w", "u"))).alias("x"))
-    return checks.check_units(b.select("item_id", "text", F.col("x.w").alias("words"), F.col("x.u").alias("units")), ["item_id"], "text", "words", "units")
+    """The rules over parsed items that are broken by their length: a text that differs, a word without units, Latin units
+    without weight."""
+    x = parse_lines(table(spark, sf, "benchmark"), ["item_id", "text"], "text").groupBy("item_id", "text").agg(F.array_sort(F.collect_list(F.struct("wi", "token", "units"))).alias("x"))
+    x = x.withColumn("n", F.length("text"))
+    n, none = F.col("n"), F.array().cast(f"array<{UNIT}>")
+    units = F.transform("x.units", lambda us, k: F.when((n % 3 == 1) & (k == 0), none).otherwise(us))
+    light = F.transform(units, lambda us: F.transform(us, lambda u: F.when((n % 5 == 0) & (u["cls"] == "latin"), u.withField("morae", F.lit(0.0))).otherwise(u)))
+    x = x.select("item_id", F.when(n % 3 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("text"), F.col("x.token").alias("words"), light.alias("units"))
+    return checks.check_units(x, ["item_id"], "text", "words", "units")
 
 
 def check_map(spark, sf):
@@ -203,12 +242,15 @@ def check_allocation(spark, sf):
 
 
 def decode_checks(spark, sf):
-    """Two ways to the same track must agree: sums by hour, and sums of sums by half hour."""
+    """Two ways to the same track must agree, at lag 0: sums by hour, and sums of sums by half hour; clicks one hour late."""
     a = hourly(spark, sf).select("track", "f", "x")
     e = events(spark, sf).groupBy(F.col("event_type").alias("track"), F.floor(F.col("t") / 1800).cast("int").alias("h")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("c"))
-    b = e.groupBy("track", F.floor(F.col("h") / 2).cast("int").alias("f")).agg((F.sum("c").cast("double") / 100).alias("x2"))
-    j = a.join(b, ["track", "f"], "left").fillna(0.0, ["x2"])
-    return j.groupBy("track").agg(F.bool_and(F.col("x") == F.col("x2")).alias("same"), F.count("*").alias("n"), F.max(F.abs(F.col("x") - F.col("x2"))).alias("diff"))
+    late = F.when(F.col("track") == "click", 1).otherwise(0)
+    b = e.groupBy("track", (F.floor(F.col("h") / 2).cast("int") + late).alias("f")).agg((F.sum("c").cast("double") / 100).alias("x2"))
+    b = a.select("track", "f").join(b, ["track", "f"], "left").fillna(0.0, ["x2"])
+    same = a.join(b, ["track", "f"]).groupBy("track").agg(F.bool_and(F.col("x") == F.col("x2")).alias("same"), F.count("*").alias("n"), F.max(F.abs(F.col("x") - F.col("x2"))).alias("diff"))
+    lag = lo.lag_search(a, b.withColumnRenamed("x2", "x"), ["track"], "x", range(-3, 4), 100).groupBy("track").agg(F.min_by("lag", F.struct("mad", "lag")).alias("lag"))
+    return same.join(lag, "track").select("track", "n", "same", F.round("diff", 4).alias("diff"), "lag", (F.col("same") & (F.col("lag") == 0)).alias("ok"))
 
 
 def onset_budget(spark, sf):
@@ -253,6 +295,30 @@ lk AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY conv_id, turn) A
 dm AS (SELECT track, k, sum(m) OVER (PARTITION BY track ORDER BY k) / sum(m) OVER (PARTITION BY track) AS d1 FROM lk), dd AS (SELECT *, coalesce(lag(d1) OVER (PARTITION BY track ORDER BY k), 0) AS d0 FROM dm),
 al AS (SELECT dd.track, k::INT AS k, round(arg_min(rs + (re - rs) * (d0 - c0) / (c1 - c0), c1) FILTER (d0 < c1 - 1e-12::DOUBLE), 4) AS "start", round(arg_min(rs + (re - rs) * (d1 - c0) / (c1 - c0), c1) FILTER (d1 <= c1 + 1e-12::DOUBLE), 4) AS "end" FROM dd JOIN cq ON cq.track = dd.track GROUP BY dd.track, k)"""
 
+def half_up(x: str, digits: int = 3) -> str:
+    """A double rounded by its shortest decimal form, halves away from zero: values that are halves are common here."""
+    return f"round(({x})::VARCHAR::DECIMAL(30, 14), {digits})::DOUBLE"
+
+
+IDEAL = "s + (e - s) * {k} / n"
+SNAP = "(0.41::DOUBLE + round_even(({x} - 0.41::DOUBLE) / (0.4658::DOUBLE / 2), 0) * (0.4658::DOUBLE / 2))"
+#: Spans of the words (event_id, s, e, n) of a table on the lattice: (event_id, k, a, b), k from 0, rounded.
+def spans(words: str) -> str:
+    at, after = IDEAL.format(k="(k + 1)"), IDEAL.format(k="(k + 2)")
+    return f"""ct(event_id, s, e, n, k, c) AS (SELECT event_id, s, e, n, 0, s FROM {words} UNION ALL
+  SELECT event_id, s, e, n, k + 1, CASE WHEN k + 1 = n THEN e WHEN {after} - 0.02::DOUBLE < c + 0.02::DOUBLE THEN c + 0.02::DOUBLE ELSE least(greatest({SNAP.format(x=at)}, c + 0.02::DOUBLE), {after} - 0.02::DOUBLE) END FROM ct WHERE k < n),
+pr AS (SELECT event_id, s, e, n, k - 1 AS k, lag(c) OVER (PARTITION BY event_id ORDER BY k) AS a, c AS b FROM ct),
+sn AS (SELECT event_id, s, e, n, k::INT AS k, {half_up(f"CASE WHEN bad THEN {IDEAL.format(k='k')} ELSE a END")} AS a, {half_up(f"CASE WHEN bad THEN {IDEAL.format(k='(k + 1)')} ELSE b END")} AS b FROM (SELECT *, bool_or(b <= a) OVER (PARTITION BY event_id) AS bad FROM pr WHERE k >= 0))"""
+
+
+#: Words rw (user_id, line, k, s, e, ...) of lines in order, repaired: rp (user_id, line, k, s, e).
+REPAIR = """rr(user_id, line, k, s, e) AS (SELECT user_id, line, k, s, e FROM rw WHERE k = 1 UNION ALL
+  SELECT x.user_id, x.line, x.k, CASE WHEN r.e - x.s > 0 AND NOT x.s - r.s >= 0.02::DOUBLE THEN round(r.e, 3) ELSE x.s END, CASE WHEN r.e - x.s > 0 AND NOT x.s - r.s >= 0.02::DOUBLE THEN round(greatest(x.e, r.e + 0.02::DOUBLE), 3) ELSE x.e END
+  FROM rr r JOIN rw x ON x.user_id = r.user_id AND x.line = r.line AND x.k = r.k + 1),
+rp AS (SELECT rr.user_id, rr.line, rr.k, rr.s, CASE WHEN rr.e - x.s > 0 AND x.s - rr.s >= 0.02::DOUBLE THEN round(x.s, 3) ELSE rr.e END AS e FROM rr LEFT JOIN rw x ON x.user_id = rr.user_id AND x.line = rr.line AND x.k = rr.k + 1)"""
+DOCS = f"""{TM}, dn AS (SELECT *, floor(s / 86400)::INT AS day, round(least(e, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id), e)), 3) AS e2 FROM tm),
+dl AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY day) - 1)::INT AS i, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT DISTINCT user_id, day FROM dn WHERE s < e2))"""
+
 CATALOGUE = {
     "sound_pieces": (sound_pieces, f"WITH {PC} SELECT event_id FROM ok"),
     "time_clusters": (time_clusters, f"WITH {PC}, {CL.format(gap=7200)} SELECT user_id, line, cl, round(s, 3) AS \"start\", round(e, 3) AS \"end\", n, round(p, 2) AS p_sum FROM cl"),
@@ -263,29 +329,50 @@ SELECT user_id, line, round(s, 3) AS "start", round(e, 3) AS "end", round(p / n,
     "bad_line_flags": (bad_line_flags, f"WITH {HO} SELECT user_id, line, (max(e - s) > 6.5 OR max(prob) <= 0 OR max(e) - min(s) > 12 OR (count(*) > 1 AND max(e - s) > 0.75 * (max(e) - min(s)))) AS bad FROM fi WHERE s IS NOT NULL GROUP BY user_id, line"),
     "refine_windows": (refine_windows, f"""WITH {PC}, g AS (SELECT user_id, line, min(s) AS s, max(e) AS e, (max(e - s) > 6.5 OR max(prob) <= 0 OR max(e) - min(s) > 12 OR (count(*) > 1 AND max(e - s) > 0.75 * (max(e) - min(s)))) AS bad FROM pc GROUP BY user_id, line),
 w AS (SELECT *, coalesce(lag(e) OVER p, 0) - 2 AS lo, coalesce(lead(s) OVER p, e + 25) + 2 AS hi FROM g WINDOW p AS (PARTITION BY user_id ORDER BY line)) SELECT user_id, line, round(greatest(lo, 0), 3) AS lo, round(hi, 3) AS hi FROM w WHERE bad"""),
-    "merge_refined": (merge_refined, f"""WITH {PC}, o AS (SELECT user_id, line, min(s) AS s, count(*) AS n FROM pc GROUP BY ALL), w AS (SELECT user_id, line, min(s) AS s2, count(*) AS n2 FROM ok GROUP BY ALL)
-SELECT user_id, line, round(CASE WHEN n2 = n THEN s2 ELSE s END, 3) AS "start", coalesce(n2 = n, false) AS accepted FROM o LEFT JOIN w USING (user_id, line)"""),
+    "merge_refined": (merge_refined, f"""WITH {PC}, o AS (SELECT user_id, line, event_id AS wi, prob, round(s, 3) AS a, round(e, 3) AS b FROM pc), w AS (SELECT *, prob >= 0.1::DOUBLE AS linked, round(a + 0.25::DOUBLE, 3) AS a2, round(b + CASE WHEN wi % 9 = 0 THEN 12.5 ELSE 0.25 END::DOUBLE, 3) AS b2 FROM o),
+k AS (SELECT *, bool_and(linked AND b2 - a2 <= 12) OVER (PARTITION BY user_id, line) AS ok FROM w) SELECT user_id, line, wi, CASE WHEN ok THEN a2 ELSE a END AS "start", CASE WHEN ok THEN b2 ELSE b END AS "end", ok AS accepted FROM k"""),
     "lag_search": (lag_search, f"WITH {LAG} SELECT lag, n, corr, mad FROM lg"),
     "best_lag": (best_lag, f"WITH {LAG}, c AS (SELECT arg_min(lag, (mad, lag)) AS c FROM lg WHERE lag % 4 = 0), z AS (SELECT * FROM lg, c WHERE abs(lag - c) <= 4) SELECT arg_min(lag, (mad, lag)) AS lag, min(mad) AS mad, arg_max(lag, (corr, -lag)) AS corr_lag FROM z"),
     "proportional_allocate": (proportional_allocate, f"WITH {ALLOC} SELECT * FROM al"),
     "lattice_snap": (lattice_snap, f"WITH {EV} SELECT event_id, round(0.41::DOUBLE + round_even((t - 0.41::DOUBLE) / 0.2329169::DOUBLE, 0) * 0.2329169::DOUBLE, 3) AS snapped FROM ev"),
     "word_confidence": (word_confidence, "SELECT event_id, round(least(greatest(CASE WHEN p > 0 THEN p ELSE 0.5 END * (0.5::DOUBLE + 0.5::DOUBLE * c), 0), 1), 3) AS conf FROM (SELECT event_id, event_id % 100 / 100.0::DOUBLE AS p, round(event_id % 7 / 6.0::DOUBLE, 4) AS c FROM events)"),
-    "split_on_grid": (split_on_grid, None),
-    "word_progress": (word_progress, None),
-    "line_progress": (line_progress, None),
+    "split_on_grid": (split_on_grid, f"""WITH RECURSIVE {TM}, {spans('tm')} SELECT event_id, k, round(CASE WHEN n > 1 THEN (sum(CASE WHEN k > 0 THEN abs(a - ({IDEAL.format(k='k')})) END) OVER (PARTITION BY event_id)) / (n - 1) ELSE 0 END, 4) AS resid, a AS "start", b AS "end" FROM sn"""),
+    "word_progress": (word_progress, f"""WITH RECURSIVE {TM}, {spans('tm')}, q AS (SELECT *, s + (e - s) * z AS t FROM sn, unnest([-0.1::DOUBLE, 0.25, 0.5, 0.75, 1.1]) u(z)),
+g AS (SELECT event_id, z, max(s) AS s, max(e) AS e, max(t) AS t, max(n) AS n, count(*) FILTER (b <= t) AS done, arg_min((t - a) / (b - a), k) FILTER (a <= t AND t < b) AS part FROM q GROUP BY event_id, z)
+SELECT event_id, z AS "at", round(CASE WHEN t <= s THEN 0 WHEN t >= e THEN 1 ELSE (done + coalesce(part, 0)) / n END, 4) AS p FROM g"""),
+    "line_progress": (line_progress, f"""WITH {TM}, l AS (SELECT *, floor(s / 86400)::INT AS line, row_number() OVER (PARTITION BY user_id, floor(s / 86400) ORDER BY s, e, event_id, w) AS k FROM tm),
+b AS (SELECT user_id, line, min(s) AS s, max(e) AS e FROM l GROUP BY ALL), t AS (SELECT DISTINCT user_id, line, unnest([s, (s + e) / 2, e]) AS t FROM b),
+p AS (SELECT t.user_id, t.line, t.t, k, length(w) AS n, CASE WHEN t.t <= s THEN 0 WHEN t.t >= e THEN 1 ELSE (t.t - s) / (e - s) END AS p FROM t JOIN l USING (user_id, line)),
+o AS (SELECT *, coalesce(min(p) OVER (PARTITION BY user_id, line, t ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) >= 1 AS open FROM p)
+SELECT user_id, line, {half_up('o.t')} AS t, round(sum(CASE WHEN NOT open THEN 0 WHEN p >= 1 THEN n + 1 ELSE p * n END)::DOUBLE, 3) AS chars FROM o GROUP BY user_id, line, o.t"""),
+    "split_word": (split_word, f"""WITH RECURSIVE {TM}, wt AS (SELECT event_id, s, e, n, list_transform(range(1, n + 1), lambda k: ((event_id + k) % 3 + 1)::DOUBLE) AS ws, list_transform(range(1, 5), lambda j: s + (event_id % 5 + 1) * 0.07::DOUBLE * j) AS ms FROM tm),
+ct AS (SELECT *, 0 AS k, s AS c FROM wt UNION ALL SELECT event_id, s, e, n, ws, ms, k + 1, CASE WHEN k + 1 = n THEN e ELSE least(greatest(CASE WHEN abs(m - g) <= 0.12::DOUBLE AND m > c + 0.02::DOUBLE AND m < e - 0.02::DOUBLE THEN m ELSE g END, c + 0.02::DOUBLE), e - 0.02::DOUBLE * (n - k - 1)) END
+  FROM (SELECT *, list_sort(list_transform(ms, lambda m: {{'d': abs(m - g), 'm': m}}))[1]['m'] AS m FROM (SELECT *, s + (e - s) * list_sum(ws[1:(k + 1)]) / list_sum(ws) AS g FROM ct WHERE k < n))),
+pr AS (SELECT event_id, (k - 1)::INT AS k, {half_up('lag(c) OVER (PARTITION BY event_id ORDER BY k)')} AS a, {half_up('c')} AS b FROM ct) SELECT event_id, k, a AS "start", b AS "end" FROM pr WHERE k >= 0"""),
+    "link_words": (link_words, None),
+    "document_lines": (document_lines, f"""WITH RECURSIVE {TM}, rw AS MATERIALIZED (SELECT user_id, floor(s / 21600)::INT AS line, event_id, w, n, prob, row_number() OVER (PARTITION BY user_id, floor(s / 21600)::INT ORDER BY event_id) AS k, s, greatest(e + event_id % 3 * 9000, s + 0.02::DOUBLE) AS e FROM tm), {REPAIR},
+x AS (SELECT rp.*, w, n, prob, event_id, round(greatest(rp.e, rp.s + 0.02::DOUBLE), 3) AS stop FROM rp JOIN rw USING (user_id, line, k)),
+l AS (SELECT *, lead(ls) OVER (PARTITION BY user_id ORDER BY line) AS nxt FROM (SELECT user_id, line, round(arg_min(s, k), 3) AS ls, arg_max(stop, k) AS le, max(k) AS last FROM x GROUP BY user_id, line)),
+c AS (SELECT x.*, (k = last AND le > nxt AND nxt > round(x.s, 3)) AS cl, nxt FROM x JOIN l USING (user_id, line)),
+d AS (SELECT user_id, line, (k - 1)::INT AS k, w, round(s, 3) AS a, CASE WHEN cl THEN round(greatest(nxt, round(s, 3) + 0.02::DOUBLE), 3) ELSE stop END AS b, round(least(greatest(CASE WHEN prob > 0 THEN prob ELSE 0.5 END * (0.5::DOUBLE + 0.5::DOUBLE * round(event_id % 7 / 6.0::DOUBLE, 4)), 0), 1), 3) AS conf, CASE WHEN n > 1 THEN n ELSE 0 END AS n_syl FROM c)
+SELECT user_id, line, first_value(a) OVER v AS line_start, last_value(b) OVER v AS line_end, k, w, a AS "start", b AS "end", conf, n_syl FROM d WINDOW v AS (PARTITION BY user_id, line ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""),
     "frame_state": (frame_state, f"""WITH {RUNS}, g AS (SELECT *, "start" - lag("end") OVER (PARTITION BY track ORDER BY run_id) AS gap FROM runs), c AS (SELECT track, i::INT AS i, i * 4.0::DOUBLE AS t FROM (SELECT DISTINCT track FROM runs), range(180) r(i))
 SELECT c.track, i, arg_min(run_id, run_id) AS run_id, coalesce(arg_min(gap >= 3, run_id), false) AS chopped FROM c JOIN g ON g.track = c.track AND t >= "start" AND t < "end" GROUP BY c.track, i"""),
-    "repair_words": (repair_words, None),
+    "repair_words": (repair_words, f"""WITH RECURSIVE {TM}, rw AS MATERIALIZED (SELECT user_id, floor(s / 86400)::INT AS line, row_number() OVER (PARTITION BY user_id, floor(s / 86400)::INT ORDER BY event_id) AS k, s, e FROM tm), {REPAIR} SELECT user_id, line, k::INT AS i, s AS "start", e AS "end" FROM rp"""),
     "line_cascade": (line_cascade, f"""WITH RECURSIVE {TM}, l AS (SELECT user_id, floor(s / 21600)::INT AS i, min(s) AS s, min(s) + count(*) * 9000 AS e FROM tm GROUP BY ALL), k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS k FROM l),
 r(user_id, k, i, s, e) AS (SELECT user_id, k, i, round(s, 3), round(e, 3) FROM k WHERE k = 1 UNION ALL SELECT k.user_id, k.k, k.i, round(k.s + b, 3), round(k.e + b, 3) FROM (SELECT k.*, CASE WHEN r.e > k.s THEN r.e - k.s + 0.001::DOUBLE ELSE 0 END AS b FROM r JOIN k ON k.user_id = r.user_id AND k.k = r.k + 1) k)
 SELECT user_id, i, s AS "start", e AS "end" FROM r"""),
-    "check_document": (check_document, "SELECT ''::VARCHAR AS rule, 0::BIGINT AS user_id, 0::INT AS i WHERE false"),
-    "check_document_broken": (check_document_broken, None),
-    "check_units": (check_units, "SELECT ''::VARCHAR AS rule, 0::BIGINT AS item_id WHERE false"),
+    "check_document": (check_document, f"WITH {DOCS} SELECT unnest(['confidence', 'text']) AS rule, user_id, i FROM dl WHERE i % 3 = 2"),
+    "check_document_broken": (check_document_broken, f"WITH {DOCS}, r AS (SELECT unnest(['confidence', 'text']) AS rule FROM dl WHERE i % 3 = 2 UNION ALL SELECT 'line count' FROM dl WHERE i = 0 AND n <> 2) SELECT rule, count(*)::BIGINT AS n FROM r GROUP BY rule"),
+    "check_units": (check_units, f"""WITH b AS (SELECT item_id, length(text) AS n, string_split(text, ' ') AS ws FROM benchmark), r AS (SELECT *, [CASE WHEN n % 3 = 0 THEN 'text' END, CASE WHEN n % 3 = 1 AND ws[1] <> '' THEN 'token' END, CASE WHEN n % 5 = 0 AND regexp_matches(array_to_string(CASE WHEN n % 3 = 1 THEN ws[2:] ELSE ws END, ' '), '[A-Za-z'']') THEN 'weight' END] AS rs FROM b)
+SELECT unnest(list_filter(rs, lambda x: x IS NOT NULL)) AS rule, item_id FROM r"""),
     "check_map": (check_map, "SELECT CASE WHEN role = 'system' THEN 'missing' ELSE 'text' END AS rule, conv_id, turn FROM conversations WHERE role = 'system' OR length(text) % 2 = 0"),
     "check_allocation": (check_allocation, f"""WITH {ALLOC}, x AS (SELECT *, round("end" - "start", 4) AS ratio, round(1 / greatest(round("end" - "start", 4), 0.01::DOUBLE), 4) AS density FROM al)
 SELECT unnest(list_filter([CASE WHEN "end" - "start" < 0.25::DOUBLE THEN 'short' END, CASE WHEN "end" - "start" > 12 THEN 'long' END, CASE WHEN NOT ratio BETWEEN 0.5 AND 2 THEN 'ratio' END, CASE WHEN NOT density BETWEEN 0.4::DOUBLE AND 3.5 THEN 'density' END], lambda r: r IS NOT NULL)) AS rule, track, k FROM x"""),
-    "decode_checks": (decode_checks, f"WITH {FR} SELECT track, true AS same, count(*)::BIGINT AS n, 0.0::DOUBLE AS diff FROM fr GROUP BY track"),
+    "decode_checks": (decode_checks, f"""WITH {FR}, h AS (SELECT track, floor(t / 1800)::INT AS h, sum(round(value * 100)::BIGINT) AS c FROM ev GROUP BY ALL), b AS (SELECT track, (h // 2 + (track = 'click')::INT)::INT AS f, sum(c)::DOUBLE / 100 AS x2 FROM h GROUP BY ALL),
+j AS (SELECT fr.track, fr.f, x, coalesce(x2, 0) AS x2 FROM fr LEFT JOIN b ON b.track = fr.track AND b.f = fr.f), g AS (SELECT track, bool_and(x = x2) AS same, count(*)::BIGINT AS n, max(abs(x - x2)) AS diff FROM j GROUP BY track),
+m AS (SELECT p.track, lag::INT AS lag, avg(abs(p.x - q.x2)) AS mad FROM j p, range(-3, 4) r(lag), j q WHERE q.track = p.track AND q.f = p.f + lag GROUP BY ALL), z AS (SELECT track, arg_min(lag, (mad, lag)) AS lag FROM m GROUP BY track)
+SELECT track, n, same, round(diff, 4) AS diff, lag, same AND lag = 0 AS ok FROM g JOIN z USING (track)"""),
     "onset_budget": (onset_budget, None),
     "banded_align": (banded_align, None),
     "stft_blocks": (stft_blocks, None),

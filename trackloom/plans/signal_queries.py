@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import folds, frames as fr, gating as gp
+from trackloom.operators import folds, frames as fr, gating as gp, intervals
 from trackloom.plans.tracks import EV, FR, NR, RUNS, SP, hourly, normal, runs, spectra
 from trackloom.sources.tables import events, table
 
@@ -39,6 +39,26 @@ def flux_flatness(spark, sf):
     return x.select("track", "f", r4("presence").alias("presence"), r4("flux").alias("flux"), r4("flatness").alias("flatness"))
 
 
+def voice_features(spark, sf):
+    bank = fr.mel_bank(spark, 8, 64, 125.0, 100.0, 8000.0)
+    x = fr.voice_features(spectra(spark, sf), bank, K, 8, 40)
+    return x.select("track", "f", r4("presence").alias("presence"), r4("strength").alias("strength"), r4("flatness").alias("flatness"))
+
+
+def feature_record(spark, sf):
+    """The features of a track side by side: envelopes, gate, runs and the strength where the voice is there. Loudness is
+    the hourly track, voice the spectra of the same number of frames."""
+    bank = fr.mel_bank(spark, 8, 64, 125.0, 100.0, 8000.0)
+    voice = fr.voice_features(spectra(spark, sf), bank, K, 8, 40)
+    presence = folds.follower(voice, K, "presence").select("track", "f", F.col("y").alias("vocal_raw"))
+    vocal = fr.norm01(presence, K, "vocal_raw").select("track", "f", "vocal_raw", F.col("y").alias("vocal"))
+    runs = gp.phrase_runs(vocal, K, "vocal", on=0.18, off=0.10)
+    x = voice.join(vocal, ["track", "f"]).withColumn("strength", fr.masked(F.col("vocal"), 0.05, F.col("strength"))).withColumn("t", F.col("f") / 100.0)
+    inside = intervals.stab_first(x.select("track", "f", "t"), runs.withColumnRenamed("start", "s").withColumnRenamed("end", "e"), K, ["f"], ["run_id"], 1.0)
+    x = x.join(inside.select("track", "f", "run_id"), ["track", "f"], "left")
+    return x.select("track", "f", r4("vocal_raw").alias("vocal_raw"), r4("vocal").alias("vocal"), r4("strength").alias("strength"), r4("flatness").alias("flatness"), "run_id")
+
+
 def mel_band_energy(spark, sf):
     bank = fr.mel_bank(spark, 8, 64, 125.0, 100.0, 8000.0)
     return fr.mel_bands(spectra(spark, sf), bank, K).select("track", "f", "band", r4("e").alias("e"))
@@ -140,6 +160,18 @@ SELECT track, f, round(sqrt(sum(s * s)), 4) AS presence, round(avg(coalesce(grea
     "mel_band_energy": (mel_band_energy, f"""WITH {SP}, c AS (SELECT k, 700 * (pow(10, (2595 * log10(1 + 100.0::DOUBLE / 700) + (2595 * log10(1 + 8000.0::DOUBLE / 700) - 2595 * log10(1 + 100.0::DOUBLE / 700)) * k / 9) / 2595) - 1) AS hz FROM range(10) r(k)),
 b AS (SELECT a.k::INT AS band, bin::INT AS bin, greatest(least((bin * 125.0::DOUBLE - a.hz) / (m.hz - a.hz), (z.hz - bin * 125.0::DOUBLE) / (z.hz - m.hz)), 0) AS w FROM c a JOIN c m ON m.k = a.k + 1 JOIN c z ON z.k = a.k + 2, range(64) r(bin))
 SELECT track, f, band, round(sum(w * s), 4) AS e FROM sx JOIN b USING (bin) WHERE w > 0 GROUP BY track, f, band"""),
+    "voice_features": (voice_features, f"""WITH {SP}, vb AS (SELECT * FROM sx WHERE bin >= 8 AND bin < 40), w AS (SELECT *, max(f) OVER (PARTITION BY track) AS n FROM vb),
+a AS (SELECT track, bin, f, s FROM w UNION ALL SELECT track, bin, -k, s FROM w, range(1, 9) r(k) WHERE f = 0 UNION ALL SELECT track, bin, n + k, s FROM w, range(1, 9) r(k) WHERE f = n),
+h AS (SELECT track, bin, f, quantile_cont(s, 0.5) OVER (PARTITION BY track, bin ORDER BY f ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS h FROM a),
+b AS (SELECT track, bin, f, s FROM w UNION ALL SELECT track, 8 - k, f, s FROM w, range(1, 9) r(k) WHERE bin = 8 UNION ALL SELECT track, 39 + k, f, s FROM w, range(1, 9) r(k) WHERE bin = 39),
+p AS (SELECT track, bin, f, quantile_cont(s, 0.5) OVER (PARTITION BY track, f ORDER BY bin ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS p FROM b),
+v AS (SELECT track, f, sqrt(sum(pow(s * (h * h / (h * h + p * p + 1e-12::DOUBLE)), 2))) AS presence, exp(avg(ln(s + 1e-10::DOUBLE))) / (avg(s) + 1e-10::DOUBLE) AS flatness FROM h JOIN p USING (track, f, bin) JOIN w USING (track, f, bin) GROUP BY track, f),
+c AS (SELECT k, 700 * (pow(10, (2595 * log10(1 + 100.0::DOUBLE / 700) + (2595 * log10(1 + 8000.0::DOUBLE / 700) - 2595 * log10(1 + 100.0::DOUBLE / 700)) * k / 9) / 2595) - 1) AS hz FROM range(10) r(k)),
+mb AS (SELECT x.k::INT AS band, bin::INT AS bin, greatest(least((bin * 125.0::DOUBLE - x.hz) / (m.hz - x.hz), (z.hz - bin * 125.0::DOUBLE) / (z.hz - m.hz)), 0) AS wt FROM c x JOIN c m ON m.k = x.k + 1 JOIN c z ON z.k = x.k + 2, range(64) r(bin)),
+en AS (SELECT track, f, band, ln(sum(wt * s) + 1e-10::DOUBLE) AS g FROM sx JOIN mb USING (bin) WHERE wt > 0 GROUP BY track, f, band),
+fl AS (SELECT track, f, avg(r) AS strength FROM (SELECT track, f, coalesce(greatest(g - lag(g) OVER (PARTITION BY track, band ORDER BY f), 0), 0) AS r FROM en) GROUP BY track, f)
+SELECT track, f::INT AS f, round(presence, 4) AS presence, round(strength, 4) AS strength, round(flatness, 4) AS flatness FROM v JOIN fl USING (track, f)"""),
+    "feature_record": (feature_record, None),
     "mel_scale": (mel_scale, "SELECT p_partkey, round(m, 4) AS mel, round(700 * (pow(10, m / 2595) - 1), 4) AS hz FROM (SELECT p_partkey, 2595 * log10(1 + p_retailprice / 700) AS m FROM part)"),
     "dft_blocks": (dft_blocks, f"""WITH {NR}, k AS (SELECT b.k AS bin, j, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 15) AS w, 2 * pi() * b.k * j / 16 AS a FROM range(9) b(k), range(16) r(j))
 SELECT track, block::INT AS block, bin::INT AS bin, round(sqrt(pow(sum(y * w * cos(a)), 2) + pow(sum(y * w * sin(a)), 2)), 4) AS mag FROM range(89) r(block) JOIN nr ON f >= block * 8 AND f < block * 8 + 16 JOIN k ON j = f - block * 8 GROUP BY track, block, bin"""),

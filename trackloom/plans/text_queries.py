@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import text as tx
-from trackloom.functions.units import units_column
+from trackloom.functions.units import CUT, GLIDES, PAIRS, SMALL_VOWELS, line_weights, parse_lines, unresolved
 from trackloom.operators import apportion as ap
 from trackloom.operators.sequences import MatchingBlocks
 from trackloom.sources.tables import events, table
@@ -54,7 +54,7 @@ def unique_lines(spark, sf):
 
 
 def latin_syllables(spark, sf):
-    w = table(spark, sf, "documents").select(F.explode(tx.words(F.lower("text"))).alias("w")).filter(F.col("w").rlike("^[a-z]+$")).distinct()
+    w = table(spark, sf, "documents").select(F.explode(F.array_distinct(tx.words(F.lower("text")))).alias("w")).filter(F.col("w").rlike("^[a-z]+$")).distinct()
     return w.select("w", tx.latin_syllables(F.col("w")).alias("n"))
 
 
@@ -92,11 +92,11 @@ def syllable_map(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", tx.words(F.col("text")).alias("ws"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     lines = c.withColumn("toks", F.lead("ws").over(w)).select("conv_id", "turn", "toks", F.posexplode("ws").alias("wi", "w"))
-    lines = lines.withColumn("chunks", F.lit(1)).withColumn("m", tx.latin_syllables(F.col("w")).cast("double"))
+    lines = lines.withColumn("chunks", tx.script_chunks(F.col("w"))).withColumn("m", tx.mora_weight(F.col("w")))
     line = Window.partitionBy("conv_id", "turn")
     lines = lines.withColumn("method", F.when(F.col("toks").isNull(), "generated").when(F.sum("chunks").over(line) == F.size("toks"), "chunks").otherwise("ratio"))
     x = ap.largest_remainder(lines, ["conv_id", "turn"], "wi", "m", F.coalesce(F.size("toks"), F.lit(0)))
-    x = x.withColumn("n", F.when(F.col("method") == "ratio", F.col("n")).otherwise(1))
+    x = x.withColumn("n", F.when(F.col("method") == "ratio", F.col("n")).when(F.col("method") == "chunks", F.col("chunks")).otherwise(1))
     x = ap.prefix_sum(x, ["conv_id", "turn"], "wi", "n", "cum").withColumn("from", F.col("cum") - F.col("n"))
     syl = F.when(F.col("method") == "generated", F.array(tx.strip_marks(F.col("w")))).otherwise(F.slice("toks", F.col("from").cast("int") + 1, F.col("n").cast("int")))
     return x.select("conv_id", "turn", "wi", "method", F.col("n").cast("long").alias("n"), F.array_join(syl, " ").alias("syl"))
@@ -118,11 +118,19 @@ def mora_slots(spark, sf):
 
 
 def char_coverage(spark, sf):
-    d = table(spark, sf, "documents").groupBy("source").agg(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(F.split("text", ""))))).alias("has"))
-    need = table(spark, sf, "benchmark").select(F.explode(F.split("text", "")).alias("c")).filter("c <> ''").agg(F.sort_array(F.collect_set("c")).alias("need"))
-    x = d.crossJoin(F.broadcast(need)).withColumn("miss", F.array_except("need", "has"))  # one row on the right
-    high = F.size(F.filter("miss", lambda c: F.ascii(c) >= 128))
-    return x.select("source", F.size("miss").cast("long").alias("n_missing"), high.cast("long").alias("n_high"))
+    chars = lambda c: F.explode(F.array_distinct(F.split(c, ""))).alias("c")
+    has = table(spark, sf, "documents").select("source", chars(F.col("text"))).distinct()
+    need = table(spark, sf, "benchmark").select(chars(F.col("text"))).filter("c <> ''").distinct()
+    # both sides are bounded by the characters that there are
+    x = has.select("source").distinct().crossJoin(F.broadcast(need)).join(has.withColumn("hit", F.lit(1)), ["source", "c"], "left")
+    missing = F.col("hit").isNull()
+    return x.groupBy("source").agg(F.count_if(missing).alias("n_missing"), F.count_if(missing & (F.ascii("c") >= 128)).alias("n_high"))
+
+
+def best_source(spark, sf):
+    """The source that covers the items' characters best: fewest high ones missing, then fewest at all."""
+    x = char_coverage(spark, sf)
+    return x.agg(F.min_by("source", F.struct("n_high", "n_missing", "source")).alias("source"), F.min(F.struct("n_high", "n_missing")).alias("m")).select("source", "m.n_high", "m.n_missing")
 
 
 def stale_cache(spark, sf):
@@ -163,24 +171,43 @@ def report_rows(spark, sf):
 
 def distinct_in_order(spark, sf):
     d = table(spark, sf, "conversations").withColumn("ws", tx.words(F.col("text")))
-    return d.select("conv_id", "turn", F.array_join(F.slice(F.array_distinct("ws"), 1, 5), " ").alias("first"), F.size(F.array_distinct("ws")).cast("long").alias("n"))
+    return d.select("conv_id", "turn", F.array_join(F.array_distinct("ws"), " ").alias("found"), F.size(F.array_distinct("ws")).cast("long").alias("n"))
 
 
 def matching_blocks(spark, sf):
-    """Known texts against noisy ones: each benchmark item and the document that holds its first five words."""
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("a"), F.md5(F.array_join(F.slice(tx.words(F.col("text")), 1, 5), " ")).alias("k"))
-    d = table(spark, sf, "documents").select("doc_id", "text", tx.words(F.col("text")).alias("w")).filter(F.size("w") >= 5)
-    d = d.select("doc_id", "text", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.md5(F.array_join(F.slice("w", i, 5), " ")))).alias("k"))
-    pairs = d.join(F.broadcast(b), "k").groupBy("item_id", "doc_id").agg(F.first("a").alias("a"), F.first("text").alias("b"))
-    spark.udtf.register("matching_blocks", MatchingBlocks)
-    pairs.createOrReplaceTempView("trackloom_pairs")
-    return spark.sql("SELECT item_id, doc_id, m.a, m.b, m.size FROM trackloom_pairs p, LATERAL matching_blocks(p.a, p.b) m")
+    """Known texts against noisy ones: each benchmark item with every document that shares any five words in a row with it;
+    a text of fewer words has all of them as its only run."""
+    def runs(w):
+        return F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 5), " ")))).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
+
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("a"), tx.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("b"), tx.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    items = b.select("item_id", F.explode(F.array_distinct(runs(F.col("w")))).alias("k"))
+    met = d.select("doc_id", F.explode(F.array_distinct(runs(F.col("w")))).alias("k")).join(items, "k").select("item_id", "doc_id").distinct()
+    pairs = met.join(b.drop("w"), "item_id").join(d.drop("w"), "doc_id")
+    blocks = MatchingBlocks(F.col("a").outer(), F.col("b").outer())
+    return pairs.lateralJoin(blocks.alias("m")).select("item_id", "doc_id", F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.size").alias("size"))
+
+
+def _parsed(spark, sf):
+    return parse_lines(table(spark, sf, "benchmark"), ["item_id"], "text")
 
 
 def token_units(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.posexplode(tx.single_split(F.col("text"))).alias("wi", "w"))
-    u = b.select("item_id", "wi", F.explode(units_column(F.col("w"))).alias("u"))
-    return u.select("item_id", "wi", F.col("u.u").alias("unit"), F.col("u.morae").alias("morae"), F.col("u.cls").alias("cls"))
+    u = _parsed(spark, sf).select("item_id", "wi", F.posexplode("units").alias("k", "u"))
+    return u.select("item_id", "wi", "k", F.col("u.u").alias("unit"), F.col("u.morae").alias("morae"), F.col("u.lo").alias("lo"), F.col("u.hi").alias("hi"), F.col("u.cls").alias("cls"), F.col("u.lang").alias("lang"))
+
+
+def line_units(spark, sf):
+    return line_weights(_parsed(spark, sf), ["item_id"])
+
+
+def unresolved_runs(spark, sf):
+    """Ideographs stand for every third word, with kana before every sixth: words of either kind need no list."""
+    w = table(spark, sf, "benchmark").select("item_id", F.explode(tx.words(F.col("text"))).alias("w"))
+    n = F.length("w")
+    x = w.select("item_id", "w", F.when(n % 3 == 0, F.concat(F.when(n % 6 == 0, "の").otherwise(""), F.lit("一二!三"))).otherwise(F.col("w")).alias("t"))
+    return unresolved(parse_lines(x, ["item_id"], "t", zh=frozenset(["三"])), ["item_id"]).groupBy("item_id", "run").count().withColumnRenamed("count", "n")
 
 
 def document_json(spark, sf):
@@ -201,10 +228,20 @@ r AS (SELECT *, (tot - base * n) - sum(floor(q)) OVER (PARTITION BY conv_id, tur
 lr AS (SELECT *, (CASE WHEN tot <= 0 THEN 0 ELSE base + floor(q) + CASE WHEN k <= rest THEN 1 ELSE 0 END END)::BIGINT AS got FROM r)"""
 MARKS = "[!-/:-@\\[-`{-~“”‘’«»„…、。・「」『』？！～]"
 MAP = f"""{WD}, c AS (SELECT conv_id, turn, {WORDS.format(t='text')} AS ws FROM conversations), l AS (SELECT conv_id, turn, lead(ws) OVER (PARTITION BY conv_id ORDER BY turn) AS toks FROM c),
-t0 AS (SELECT wd.*, toks, coalesce(len(toks), 0) AS tot, CASE WHEN toks IS NULL THEN 'generated' WHEN count(*) OVER (PARTITION BY conv_id, turn) = len(toks) THEN 'chunks' ELSE 'ratio' END AS method FROM wd JOIN l USING (conv_id, turn)), {LR},
-g AS (SELECT *, CASE WHEN method = 'ratio' THEN got ELSE 1 END AS c FROM lr), h AS (SELECT *, sum(c) OVER (PARTITION BY conv_id, turn ORDER BY wi) AS cum FROM g),
+kw AS (SELECT conv_id, turn, wi, w, regexp_replace(lower(w), '[^a-z0-9À-ɏ]', '', 'g') AS kept FROM wd),
+t0 AS (SELECT kw.*, toks, coalesce(len(toks), 0) AS tot, CASE WHEN kept = '' THEN 0 ELSE greatest(len(regexp_extract_all(kept, '[aeiouy]+')), 1) END::DOUBLE AS m, (kept <> '')::INT AS chunks,
+  CASE WHEN toks IS NULL THEN 'generated' WHEN sum((kept <> '')::INT) OVER (PARTITION BY conv_id, turn) = len(toks) THEN 'chunks' ELSE 'ratio' END AS method FROM kw JOIN l USING (conv_id, turn)), {LR},
+g AS (SELECT *, CASE method WHEN 'ratio' THEN got WHEN 'chunks' THEN chunks ELSE 1 END AS c FROM lr), h AS (SELECT *, sum(c) OVER (PARTITION BY conv_id, turn ORDER BY wi) AS cum FROM g),
 mp AS (SELECT conv_id, turn, wi, method, c::BIGINT AS n, CASE WHEN method = 'generated' THEN coalesce(nullif(lower(regexp_replace(w, '^{MARKS}+|{MARKS}+$', '', 'g')), ''), lower(w)) ELSE array_to_string(toks[(cum - c + 1)::INT:cum::INT], ' ') END AS syl FROM h)"""
 
+COVER = """WITH n AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM benchmark), h AS (SELECT DISTINCT source, unnest(string_split(text, '')) AS c FROM documents)
+SELECT s.source, count(*) FILTER (h.c IS NULL)::BIGINT AS n_missing, count(*) FILTER (h.c IS NULL AND unicode(n.c) >= 128)::BIGINT AS n_high FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT c FROM n WHERE c <> '') n LEFT JOIN h ON h.source = s.source AND h.c = n.c GROUP BY s.source"""
+SQ = CUT.replace("'", "''")
+TU = f"""tk AS (SELECT item_id, unnest(range(len(ws)))::INT AS wi, unnest(ws) AS w FROM (SELECT item_id, string_split(coalesce(text, ''), ' ') AS ws FROM benchmark)),
+us AS (SELECT item_id, wi, regexp_matches(w, '[{tx.KANA}]') AS ja, unnest(range(len(us)))::INT AS k, unnest(us) AS unit FROM (SELECT *, regexp_extract_all(w, '{SQ}') AS us FROM tk)),
+tu AS (SELECT *, CASE WHEN regexp_matches(unit, '[A-Za-z'']') THEN 'latin' WHEN regexp_matches(unit, '[{tx.GLYPH}]') THEN 'cjk' WHEN regexp_matches(unit, '[{tx.KANA}]') THEN 'kana' ELSE 'punct' END AS cls, {SYL.format(w="lower(regexp_extract(unit, '[A-Za-z'']+'))")} AS syl,
+  1 + len(regexp_extract_all(substr(regexp_extract(unit, '[{tx.KANA}][{GLIDES}{SMALL_VOWELS}]*'), 2), '[{SMALL_VOWELS}]')) - len(regexp_extract_all(unit, '{"|".join(PAIRS)}')) AS moras FROM us)"""
+
 CATALOGUE = {
     "read_lines": (read_lines, f"WITH {LN} SELECT doc_id, i, length(line)::BIGINT AS n FROM ln"),
     "words_of_lines": (words_of_lines, f"WITH {LN} SELECT doc_id, i, len({WORDS.format(t='line')})::BIGINT AS n_words, len(string_split(line, ' '))::BIGINT AS n_tokens FROM ln"),
@@ -217,23 +254,28 @@ CATALOGUE = {
     "fold_text": (fold_text, "SELECT item_id, md5(regexp_replace(lower(text), '[^a-z0-9À-ɏ]', '', 'g')) AS folded FROM benchmark"),
     "script_weights": (script_weights, f"WITH {BW}, x AS (SELECT item_id, regexp_replace(lower(w), '[^a-z0-9À-ɏ]', '', 'g') AS w FROM bw) SELECT item_id, count(*) FILTER (w <> '')::BIGINT AS chunks, round(sum(CASE WHEN w = '' THEN 0 ELSE greatest(len(regexp_extract_all(w, '[aeiouy]+')), 1) END)::DOUBLE, 1) AS morae FROM x GROUP BY item_id"),
     "script_runs": (script_runs, f"""WITH w AS (SELECT doc_id, unnest({WORDS.format(t='text')}) AS w FROM documents)
-SELECT doc_id, sum(len(regexp_extract_all(w, '[A-Za-zÀ-ɏ''’]+|[^A-Za-zÀ-ɏ''’]+')))::BIGINT AS n_runs, count(*) FILTER (regexp_matches(w, '^[A-Za-zÀ-ɏ''’]'))::BIGINT AS n_latin, count(*) FILTER (NOT regexp_matches(w, '^[A-Za-zÀ-ɏ''’]'))::BIGINT AS n_other FROM w GROUP BY doc_id"""),
+SELECT doc_id, sum(len(regexp_extract_all(w, '[A-Za-z'']+|[^A-Za-z'']+')))::BIGINT AS n_runs, count(*) FILTER (regexp_matches(w, '^[A-Za-z'']'))::BIGINT AS n_latin, count(*) FILTER (NOT regexp_matches(w, '^[A-Za-z'']'))::BIGINT AS n_other FROM w GROUP BY doc_id"""),
     "apportion_tokens": (apportion_tokens, f"WITH {WD}, t0 AS (SELECT *, turn * 7 + 3 AS tot FROM wd), {LR} SELECT conv_id, turn, wi, got AS n FROM lr"),
     "prefix_weights": (prefix_weights, f"WITH {WD} SELECT conv_id, turn, wi, sum(m) OVER (PARTITION BY conv_id, turn ORDER BY wi)::BIGINT AS cum FROM wd"),
     "syllable_map": (syllable_map, f"WITH {MAP} SELECT * FROM mp"),
     "map_stats": (map_stats, f"WITH {MAP} SELECT method, count(DISTINCT (conv_id, turn))::BIGINT AS n_lines, count(*) FILTER (n = 0)::BIGINT AS n_sparse FROM mp GROUP BY method"),
     "flatten_units": (flatten_units, f"WITH {BW}, u AS (SELECT item_id, wi, regexp_matches(w, '[.,]') AS p, {SYL.format(w='lower(w)')}::INT AS m FROM bw), x AS (SELECT *, unnest(range(CASE WHEN NOT p AND m > 1 THEN m ELSE 1 END))::INT AS part FROM u) SELECT item_id, wi, part, CASE WHEN NOT p AND m > 1 THEN 1 ELSE m END::INT AS flat_morae FROM x"),
     "mora_slots": (mora_slots, f"WITH {WD} SELECT conv_id, turn, wi, unnest(range(greatest(m, 1)))::INT AS k FROM wd"),
-    "char_coverage": (char_coverage, """WITH n AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM benchmark), h AS (SELECT DISTINCT source, unnest(string_split(text, '')) AS c FROM documents)
-SELECT s.source, count(*) FILTER (h.c IS NULL)::BIGINT AS n_missing, count(*) FILTER (h.c IS NULL AND unicode(n.c) >= 128)::BIGINT AS n_high FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT c FROM n WHERE c <> '') n LEFT JOIN h ON h.source = s.source AND h.c = n.c GROUP BY s.source"""),
+    "char_coverage": (char_coverage, COVER),
+    "best_source": (best_source, f"WITH x AS ({COVER}) SELECT source, n_high, n_missing FROM x ORDER BY n_high, n_missing, source LIMIT 1"),
     "stale_cache": (stale_cache, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"),
     "distribution": (distribution, "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.9), 4) AS p90, min(value) AS lo, max(value) AS hi, count(*) FILTER (value < 5)::BIGINT AS n_low FROM events GROUP BY event_type"),
     "anomalies": (anomalies, "WITH e AS (SELECT event_id, event_id % 100 / 100.0::DOUBLE AS conf, value, epoch_us(ts)::DOUBLE / 1000000 - 1704067200 AS t FROM events) SELECT event_id, 'conf' AS anomaly FROM e WHERE conf < 0.35::DOUBLE UNION ALL SELECT event_id, 'long' FROM e WHERE value > 60 UNION ALL SELECT event_id, 'late' FROM e WHERE t > 2500000"),
     "level_ratio": (level_ratio, "WITH e AS (SELECT event_type, value, epoch_us(ts)::DOUBLE / 1000000 - 1704067200 AS t FROM events) SELECT event_type, round(20 * log10(sqrt(avg(value * value) FILTER (t < 864000)) / sqrt(avg(value * value) FILTER (t >= 864000))), 4) AS db FROM e GROUP BY event_type"),
     "match_ratio": (match_ratio, f"WITH {BW}, {WD}, v AS (SELECT DISTINCT w FROM wd) SELECT item_id, round(sum(CASE WHEN v.w IS NOT NULL THEN length(bw.w) ELSE 0 END) / greatest(sum(length(bw.w)), 1)::DOUBLE, 4) AS ratio FROM bw LEFT JOIN v USING (w) GROUP BY item_id"),
     "report_rows": (report_rows, f"WITH {WD}, s AS (SELECT conv_id, count(*)::BIGINT AS n, sum(m)::BIGINT AS m FROM wd GROUP BY conv_id) SELECT conv_id, printf('%5d %4d words %5d morae %5.1f%%', conv_id, n, m, n * 100.0::DOUBLE / m) AS \"row\" FROM s"),
-    "distinct_in_order": (distinct_in_order, f"WITH {WD}, f AS (SELECT conv_id, turn, w, min(wi) AS wi FROM wd GROUP BY ALL) SELECT conv_id, turn, array_to_string(list(w ORDER BY wi)[1:5], ' ') AS first, count(*)::BIGINT AS n FROM f GROUP BY conv_id, turn"),
+    "distinct_in_order": (distinct_in_order, f"WITH {WD}, f AS (SELECT conv_id, turn, w, min(wi) AS wi FROM wd GROUP BY ALL) SELECT conv_id, turn, array_to_string(list(w ORDER BY wi), ' ') AS found, count(*)::BIGINT AS n FROM f GROUP BY conv_id, turn"),
     "matching_blocks": (matching_blocks, None),
-    "token_units": (token_units, None),
-    "document_json": (document_json, None),
+    "token_units": (token_units, f"WITH {TU} SELECT item_id, wi, k, unit, CASE cls WHEN 'latin' THEN syl WHEN 'cjk' THEN 1 + ja::INT WHEN 'kana' THEN moras ELSE 0 END::DOUBLE AS morae, CASE cls WHEN 'latin' THEN syl WHEN 'cjk' THEN 1 WHEN 'kana' THEN moras ELSE 0 END::DOUBLE AS lo, CASE cls WHEN 'latin' THEN syl WHEN 'cjk' THEN 1 + 2 * ja::INT WHEN 'kana' THEN moras ELSE 0 END::DOUBLE AS hi, cls, CASE WHEN cls = 'latin' THEN 'en' WHEN cls = 'kana' OR cls = 'cjk' AND ja THEN 'ja' WHEN cls = 'cjk' THEN 'zh' ELSE '--' END AS lang FROM tu"),
+    "line_units": (line_units, f"""WITH {TU}, x AS (SELECT item_id, CASE cls WHEN 'latin' THEN syl WHEN 'cjk' THEN 1 WHEN 'kana' THEN moras ELSE 0 END::DOUBLE AS lo, CASE cls WHEN 'latin' THEN syl WHEN 'cjk' THEN 1 + ja::INT WHEN 'kana' THEN moras ELSE 0 END::DOUBLE AS m, CASE cls WHEN 'latin' THEN syl WHEN 'cjk' THEN 1 + 2 * ja::INT WHEN 'kana' THEN moras ELSE 0 END::DOUBLE AS hi,
+  CASE WHEN cls = 'latin' THEN 'en' WHEN cls = 'kana' OR cls = 'cjk' AND ja THEN 'ja' WHEN cls = 'cjk' THEN 'zh' END AS lang FROM tu)
+SELECT item_id, count(*)::BIGINT AS n_units, sum(lo) AS lo, sum(m) AS morae, sum(hi) AS hi, coalesce(string_agg(DISTINCT lang, ',' ORDER BY lang), '') AS langs FROM x GROUP BY item_id"""),
+    "unresolved_runs": (unresolved_runs, f"WITH {BW} SELECT item_id, '一二' AS run, count(*)::BIGINT AS n FROM bw WHERE length(w) % 3 = 0 AND length(w) % 6 <> 0 GROUP BY item_id"),
+    "document_json": (document_json, f"""WITH c AS (SELECT conv_id, turn, {WORDS.format(t='text')} AS ws FROM conversations), l AS (SELECT conv_id, turn, '{{"i":' || turn || ',"text":' || to_json(array_to_string(ws, ' '))::VARCHAR || ',"words":[' || array_to_string(list_transform(ws, lambda w: '{{"w":' || to_json(w)::VARCHAR || '}}'), ',') || ']}}' AS line FROM c WHERE len(ws) > 0)
+SELECT conv_id, '{{"lines":[' || string_agg(line, ',' ORDER BY turn) || ']}}' AS doc FROM l GROUP BY conv_id"""),
 }
