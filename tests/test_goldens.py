@@ -230,3 +230,64 @@ def test_hysteresis_equals_the_state_machine(spark):
         active = v > 0.7 or active and v > 0.3
         want.append(active)
     assert column(gating.hysteresis(track(spark, x), ["track"], "x", 0.7, 0.3), "f", "active") == want
+
+
+def test_split_word(spark):
+    x = spark.createDataFrame([(0.0, 1.0, [1.0, 1.0, 2.0], [0.28, 0.47]), (0.0, 1.0, [1.0, 1.0], [0.9]), (0.0, 0.03, [1.0, 1.0], []), (2.0, 3.0, [2.0], [])], "s double, e double, w array<double>, m array<double>")
+    got = [[(v.start, v.end) for v in r.y] for r in x.select(tl.split_word(F.col("s"), F.col("e"), F.col("w"), F.col("m"), 0.1).alias("y")).collect()]
+    assert sorted(got) == sorted([[(0.0, 0.28), (0.28, 0.47), (0.47, 1.0)], [(0.0, 0.5), (0.5, 1.0)], [(0.0, 0.01), (0.01, 0.03)], [(2.0, 3.0)]])
+
+
+def test_next_of(spark):
+    p = spark.createDataFrame([("a", k, t) for k, t in enumerate([0.0, 1.0, 1.5, 3.0, 9.0])], "k string, id int, t double")
+    m = spark.createDataFrame([("a", 1.0, "x"), ("a", 3.0, "y")], "k string, m double, v string")
+    got = {r.id: r.out.v if r.out else None for r in intervals.next_of(p, m, ["k"], "t", "m", "out").collect()}
+    assert got == {0: "x", 1: "x", 2: "y", 3: "y", 4: None}
+    got = {r.id: r.out.v if r.out else None for r in intervals.next_of(p, m, ["k"], "t", "m", "out", strict=True).collect()}
+    assert got == {0: "x", 1: "y", 2: "y", 3: None, 4: None}
+
+
+def test_link_words_equals_the_search_word_by_word(spark):
+    """Against the same rules said over Python lists."""
+    import difflib
+    import random
+
+    rng = random.Random(11)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(24)).strip() or "a" for _ in range(6)]
+    pieces, t = [], 0.0
+    for line in lines:
+        for w in line.split():
+            t += rng.choice([0.1, 0.3, 2.0])
+            d = rng.choice([0.0, 0.2, 0.5, 3.0])
+            pieces.append((rng.choice([w, w, w[:2], "zz"]), round(t, 3), round(t + d, 3), rng.choice([0.01, 0.2, 0.6, 0.9])))
+            t += d
+    good = [p for p in pieces if p[2] > p[1] and not (p[2] - p[1] > 2.5 and p[3] < 0.3)]
+    words = [(li, wi, w) for li, line in enumerate(lines) for wi, w in enumerate(line.split())]
+    a, b = [k for k, (_, _, w) in enumerate(words) for _ in w], [k for k, p in enumerate(good) for _ in p[0]]
+    hits = {}
+    for m in difflib.SequenceMatcher(None, "".join(w for *_, w in words), "".join(p[0] for p in good), autojunk=False).get_matching_blocks():
+        for k in range(m.size):
+            hits.setdefault(a[m.a + k], []).append(good[b[m.b + k]][1:])
+    want = {}
+    for k, (li, wi, w) in enumerate(words):
+        groups = []
+        for s, e, p in sorted(hits.get(k, [])):
+            if groups and s - groups[-1][1] <= 1.2:
+                g = groups[-1]
+                g[1], g[2], g[3] = max(g[1], e), g[2] + 1, g[3] + p
+            else:
+                groups.append([s, e, 1, p])
+        fine = [g for g in groups if 0.06 * g[2] <= g[1] - g[0] <= 1.5 + 0.8 * g[2] and g[3] / g[2] >= 0.05 and not (g[2] < 0.34 * len(w) and g[3] / g[2] < 0.25)]
+        best = max(fine, key=lambda g: g[2], default=None)
+        want[li, wi] = None if best is None else (round(best[0], 3), round(best[1], 3), round(best[3] / best[2], 3))
+    got = layout.link_words(
+        spark.createDataFrame([("s", li, x) for li, x in enumerate(lines)], "k string, li int, text string"),
+        spark.createDataFrame([("s", k, *p) for k, p in enumerate(pieces)], "k string, pi int, text string, start double, end double, prob double"),
+        ["k"],
+    )
+    assert {(r.li, r.wi): None if r.start is None else pytest.approx((r.start, r.end, r.prob)) for r in got.collect()} == want
+
+
+def test_line_confidence(spark):
+    x = spark.createDataFrame([(1.0, 8.0, 4.0), (0.0, 9.0, 2.0), (0.5, 1.0, 4.0)], "c double, n double, m double")
+    assert sorted(r.v for r in x.select(tl.line_confidence(F.col("c"), F.col("n"), F.col("m")).alias("v")).collect()) == [0.4, 0.4, 1.0]

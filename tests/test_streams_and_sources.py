@@ -74,3 +74,25 @@ def test_samples(spark, tmp_path):
 def test_grid_override():
     g = documents.GridSpec(120.0, 0.5, 0.1)
     assert g.override(bpm=60).period == 1 and g.override(bpm=60, period=0.25).bpm == 240 and g.override(phase=0.3).period == 0.5
+
+
+def test_features_are_read_by_name(spark, tmp_path):
+    x = spark.createDataFrame([(t, k, k / 10, 1.0) for t in ("low", "high", "vocal") for k in range(4)], "track string, f int, x double, y double")
+    documents.write_features(x, str(tmp_path / "f"))
+    got = documents.read_features(spark, str(tmp_path / "f"), ["low", "vocal"], ["f", "x"])
+    assert got.columns == ["track", "f", "x"] and sorted({r.track for r in got.collect()}) == ["low", "vocal"] and got.count() == 8
+    assert "PartitionFilters: [isnotnull(track" in (plan := got._jdf.queryExecution().executedPlan().toString()) or "PartitionFilters: [track" in plan
+
+
+def test_readings_and_maps(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("ka  ki\n\n ku \n")
+    assert [(r.i, r.tokens) for r in documents.reading_lines(spark, str(tmp_path / "r.txt")).orderBy("i").collect()] == [(0, ["ka", "ki"]), (1, ["ku"])]
+    wanted = spark.createDataFrame([(0, "a b", ["a", "b"], ["ka", "ki"]), (1, "c", ["c"], ["ku"])], "i int, text string, words array<string>, tokens array<string>")
+    lines = [{"i": 0, "text": "a b", "words": [{"w": "a", "syl": ["ka", "ki"]}, {"w": "b", "syl": []}]}, {"i": 1, "text": "c", "words": [{"w": "c", "syl": ["ku"]}]}]
+    (tmp_path / "m.json").write_text(json.dumps({"lines": lines}))
+    assert [r.tokens for r in documents.load_map(spark, str(tmp_path / "m.json"), wanted).orderBy("i").collect()] == [["ka", "ki"], ["ku"]]
+    assert documents.load_map(spark, None, wanted).count() == 2
+    lines[1]["words"][0]["syl"] = ["ke"]
+    (tmp_path / "n.json").write_text(json.dumps({"lines": lines}))
+    with pytest.raises(ValueError, match="line 1: tokens"):
+        documents.load_map(spark, str(tmp_path / "n.json"), wanted)

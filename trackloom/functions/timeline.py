@@ -81,6 +81,12 @@ def confidence(prob: Column, cover: Column) -> Column:
     return r3(F.least(F.greatest(F.when(prob > 0, prob).otherwise(0.5) * (0.5 + 0.5 * cover), F.lit(0.0)), F.lit(1.0)))
 
 
+def line_confidence(cover: Column, notes: Column, morae: Column) -> Column:
+    """Coverage and notes for each mora, the latter weighing less where nothing is heard; rounded to .01."""
+    ratio = F.least(notes / F.greatest(morae, F.lit(1.0)), F.lit(1.0))
+    return F.round(F.least(0.6 * cover + 0.4 * ratio, 0.5 + 0.5 * cover), 2)
+
+
 def word_progress(start: Column, end: Column, syl: Column, t: Column) -> Column:
     """0 before the word, 1 after; within, equal shares per syllable, held in gaps between them."""
     n = F.size(syl)

@@ -180,6 +180,38 @@ def accept_refined(old: DataFrame, new: DataFrame, keys: list[str], longest: flo
     return x.select(*keys, "wi", pick("start", "_s"), pick("end", "_e"), pick("prob", "_p"), "accepted")
 
 
+def place_units(units: DataFrame, keys: list[str], line: str, order: str, tie: float = 1e-9, least: float = 0.001) -> DataFrame:
+    """units (keys, line, order, t, quiet, t0, t1) with start and stop: starts are kept inside their line's t0..t1 and in
+    order; units of one start share its note, which lasts up to the next start (the line's end), but not beyond `quiet`,
+    where the voice stops after it, and LEAST if nothing is left; shares are even, or all the whole of a note that is
+    too short."""
+    ks = [*keys, line]
+    w = Window.partitionBy(*ks).orderBy(order)
+    last = F.lead(order).over(w).isNull()
+    inside = F.least(F.greatest("t", F.col("t0") + 0.005), F.col("t1") - 0.005)
+    x = units.withColumn("_t", F.when(last, F.least(inside, F.col("t1") - LEAST)).otherwise(inside))
+    x = x.withColumn("_t", F.max("_t").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("_g", F.sum(F.when(F.col("_t") - F.lag("_t").over(w) <= tie, 0).otherwise(1)).over(w))
+    note = x.groupBy(*ks, "_g").agg(F.min("_t").alias("_s"), F.min_by("quiet", order).alias("_q"), F.max("t1").alias("_1"), F.count("*").alias("_n"))
+    stop = F.least(F.coalesce(F.lead("_s").over(Window.partitionBy(*ks).orderBy("_g")), F.col("_1")), F.coalesce("_q", F.col("_1")))
+    note = note.withColumn("_e", stop).withColumn("_e", F.when(F.col("_e") <= F.col("_s"), F.col("_s") + LEAST).otherwise(F.col("_e")))
+    x = x.join(note.drop("_q", "_1"), [*ks, "_g"]).withColumn("_k", F.row_number().over(Window.partitionBy(*ks, "_g").orderBy(order)) - 1)
+    room = F.col("_e") - F.col("_s")
+    whole = room < F.lit(least) * F.col("_n")
+    start = F.when(whole, F.col("_s")).otherwise(F.col("_s") + room * F.col("_k") / F.col("_n"))
+    end = F.when(whole, F.col("_e")).otherwise(F.col("_s") + room * (F.col("_k") + 1) / F.col("_n"))
+    return x.withColumn("start", start).withColumn("stop", end).drop("_t", "_g", "_s", "_e", "_n", "_k")
+
+
+def words_of_units(placed: DataFrame, keys: list[str], line: str, word: str, order: str) -> DataFrame:
+    """(keys, line, word, start, end, syl) from what place_units() returns: a word reaches from its first unit to its
+    last; syl holds its units of some width if there are several."""
+    span = F.struct(F.col(order).alias("i"), r3(F.col("start")).alias("start"), r3(F.col("stop")).alias("end"))
+    g = placed.groupBy(*keys, line, word).agg(r3(F.min_by("start", order)).alias("start"), r3(F.max_by("stop", order)).alias("end"), F.array_sort(F.collect_list(F.when(F.col("stop") > F.col("start"), span))).alias("_s"))
+    syl = F.transform("_s", lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end")))
+    return g.withColumn("syl", F.when(F.size("_s") > 1, syl)).drop("_s")
+
+
 def cascade(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, ls): lines in order; one that starts before the last one's end moves, as a whole, .001 past it."""
     rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("int").alias("i"), "start", "end"))).alias("ls"))

@@ -200,6 +200,26 @@ def document_lines(spark, sf):
     return x.select("user_id", "line", "line_start", "line_end", "k", "v.w", "v.start", "v.end", "v.conf", F.coalesce(F.size("v.syl"), F.lit(0)).alias("n_syl"))
 
 
+def _notes(spark, sf):
+    """Events as units of their user's day, on the hours of a coarse lattice, two units to a word."""
+    e = events(spark, sf).withColumn("line", F.floor(F.col("t") / 86400).cast("int"))
+    e = e.withColumn("u", F.row_number().over(Window.partitionBy("user_id", "line").orderBy("t", "event_id"))).withColumn("word", F.floor((F.col("u") - 1) / 2).cast("int"))
+    e = e.withColumn("t", F.floor(F.col("t") / 7200) * 7200.0 - F.when(F.col("event_id") % 5 == 0, 9000.0).otherwise(0.0)).withColumn("quiet", F.col("t") + F.col("event_id") % 4 * 1800.0)
+    e = e.withColumn("t0", F.col("line") * 86400.0).withColumn("t1", F.col("t0") + 86400.0)
+    return lo.place_units(e, ["user_id"], "line", "u")
+
+
+def placed_units(spark, sf):
+    return _notes(spark, sf).select("event_id", r3(F.col("start")).alias("start"), r3(F.col("stop")).alias("stop"))
+
+
+def legacy_words(spark, sf):
+    x = lo.words_of_units(_notes(spark, sf), ["user_id"], "line", "word", "u")
+    x = x.withColumn("n_syl", F.coalesce(F.size("syl"), F.lit(0)))
+    conf = tl.line_confidence(F.col("word") % 5 / 4, F.col("n_syl").cast("double"), F.lit(2.0))
+    return x.select("user_id", "line", "word", "start", "end", "n_syl", conf.alias("conf"))
+
+
 def split_word(spark, sf):
     """Events as words of one to three units, cut near marks of their own."""
     e = _timed(spark, sf).select("event_id", "start", "end", tx.latin_syllables(F.col("w")).alias("n"))
@@ -316,6 +336,13 @@ REPAIR = """rr(user_id, line, k, s, e) AS (SELECT user_id, line, k, s, e FROM rw
   SELECT x.user_id, x.line, x.k, CASE WHEN r.e - x.s > 0 AND NOT x.s - r.s >= 0.02::DOUBLE THEN round(r.e, 3) ELSE x.s END, CASE WHEN r.e - x.s > 0 AND NOT x.s - r.s >= 0.02::DOUBLE THEN round(greatest(x.e, r.e + 0.02::DOUBLE), 3) ELSE x.e END
   FROM rr r JOIN rw x ON x.user_id = r.user_id AND x.line = r.line AND x.k = r.k + 1),
 rp AS (SELECT rr.user_id, rr.line, rr.k, rr.s, CASE WHEN rr.e - x.s > 0 AND x.s - rr.s >= 0.02::DOUBLE THEN round(x.s, 3) ELSE rr.e END AS e FROM rr LEFT JOIN rw x ON x.user_id = rr.user_id AND x.line = rr.line AND x.k = rr.k + 1)"""
+NOTES = f"""{EV}, nu AS (SELECT event_id, user_id, floor(t / 86400)::INT AS line, t, row_number() OVER (PARTITION BY user_id, floor(t / 86400)::INT ORDER BY t, event_id) AS u FROM ev),
+nt AS (SELECT *, ((u - 1) // 2)::INT AS word, t9 + event_id % 4 * 1800.0::DOUBLE AS quiet, line * 86400.0::DOUBLE AS t0, line * 86400.0::DOUBLE + 86400 AS t1 FROM (SELECT *, floor(t / 7200) * 7200.0::DOUBLE - CASE WHEN event_id % 5 = 0 THEN 9000 ELSE 0 END AS t9 FROM nu)),
+nc AS (SELECT *, max(least(least(greatest(t9, t0 + 0.005::DOUBLE), t1 - 0.005::DOUBLE), CASE WHEN u = n THEN t1 - 0.02::DOUBLE ELSE t1 END)) OVER (PARTITION BY user_id, line ORDER BY u) AS m FROM (SELECT *, count(*) OVER (PARTITION BY user_id, line) AS n FROM nt)),
+ng AS (SELECT *, sum(CASE WHEN m - p <= 1e-9::DOUBLE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, line ORDER BY u) AS g FROM (SELECT *, lag(m) OVER (PARTITION BY user_id, line ORDER BY u) AS p FROM nc)),
+gr AS (SELECT user_id, line, g, min(m) AS s, arg_min(quiet, u) AS q, max(t1) AS t1, count(*) AS n FROM ng GROUP BY user_id, line, g),
+ge AS (SELECT *, CASE WHEN e <= s THEN s + 0.02::DOUBLE ELSE e END AS e2 FROM (SELECT *, least(coalesce(lead(s) OVER (PARTITION BY user_id, line ORDER BY g), t1), q) AS e FROM gr)),
+pl AS (SELECT event_id, ng.user_id, ng.line, word, u, CASE WHEN e2 - s < 0.001::DOUBLE * ge.n THEN s ELSE s + (e2 - s) * k / ge.n END AS a, CASE WHEN e2 - s < 0.001::DOUBLE * ge.n THEN e2 ELSE s + (e2 - s) * (k + 1) / ge.n END AS b FROM (SELECT *, row_number() OVER (PARTITION BY user_id, line, g ORDER BY u) - 1 AS k FROM ng) ng JOIN ge USING (user_id, line, g))"""
 DOCS = f"""{TM}, dn AS (SELECT *, floor(s / 86400)::INT AS day, round(least(e, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id), e)), 3) AS e2 FROM tm),
 dl AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY day) - 1)::INT AS i, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT DISTINCT user_id, day FROM dn WHERE s < e2))"""
 
@@ -349,6 +376,9 @@ SELECT user_id, line, {half_up('o.t')} AS t, round(sum(CASE WHEN NOT open THEN 0
 ct AS (SELECT *, 0 AS k, s AS c FROM wt UNION ALL SELECT event_id, s, e, n, ws, ms, k + 1, CASE WHEN k + 1 = n THEN e ELSE least(greatest(CASE WHEN abs(m - g) <= 0.12::DOUBLE AND m > c + 0.02::DOUBLE AND m < e - 0.02::DOUBLE THEN m ELSE g END, c + 0.02::DOUBLE), e - 0.02::DOUBLE * (n - k - 1)) END
   FROM (SELECT *, list_sort(list_transform(ms, lambda m: {{'d': abs(m - g), 'm': m}}))[1]['m'] AS m FROM (SELECT *, s + (e - s) * list_sum(ws[1:(k + 1)]) / list_sum(ws) AS g FROM ct WHERE k < n))),
 pr AS (SELECT event_id, (k - 1)::INT AS k, {half_up('lag(c) OVER (PARTITION BY event_id ORDER BY k)')} AS a, {half_up('c')} AS b FROM ct) SELECT event_id, k, a AS "start", b AS "end" FROM pr WHERE k >= 0"""),
+    "placed_units": (placed_units, f"""WITH {NOTES} SELECT event_id, {half_up('a')} AS "start", {half_up('b')} AS stop FROM pl"""),
+    "legacy_words": (legacy_words, f"""WITH {NOTES}, wd AS (SELECT user_id, line, word, {half_up('arg_min(a, u)')} AS "start", {half_up('arg_max(b, u)')} AS "end", count(*) FILTER (b > a)::INT AS m FROM pl GROUP BY user_id, line, word), wn AS (SELECT *, CASE WHEN m > 1 THEN m ELSE 0 END AS n FROM wd)
+SELECT user_id, line, word, "start", "end", n AS n_syl, {half_up('least(0.6::DOUBLE * (word % 5 / 4.0::DOUBLE) + 0.4::DOUBLE * least(n / 2.0::DOUBLE, 1), 0.5::DOUBLE + 0.5::DOUBLE * (word % 5 / 4.0::DOUBLE))', 2)} AS conf FROM wn"""),
     "link_words": (link_words, None),
     "document_lines": (document_lines, f"""WITH RECURSIVE {TM}, rw AS MATERIALIZED (SELECT user_id, floor(s / 21600)::INT AS line, event_id, w, n, prob, row_number() OVER (PARTITION BY user_id, floor(s / 21600)::INT ORDER BY event_id) AS k, s, greatest(e + event_id % 3 * 9000, s + 0.02::DOUBLE) AS e FROM tm), {REPAIR},
 x AS (SELECT rp.*, w, n, prob, event_id, round(greatest(rp.e, rp.s + 0.02::DOUBLE), 3) AS stop FROM rp JOIN rw USING (user_id, line, k)),

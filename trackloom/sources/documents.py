@@ -37,6 +37,41 @@ def write_documents(docs: DataFrame, path: str, keep_nulls: bool = False) -> Non
     docs.select(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": str(not keep_nulls).lower()}).alias("value")).write.text(path)
 
 
+def write_features(features: DataFrame, path: str, by: str = "track") -> None:
+    """Named tracks as Parquet, a folder for each name, so that a reader opens only those it asks for."""
+    features.write.partitionBy(by).parquet(path)
+
+
+def read_features(spark: SparkSession, path: str, names: list[str] | None = None, columns: list[str] | None = None, by: str = "track") -> DataFrame:
+    """What write_features() wrote: the named tracks (all by default) and only the columns asked for."""
+    x = spark.read.parquet(path)
+    x = x if names is None else x.filter(F.col(by).isin(names))
+    return x if columns is None else x.select(by, *columns)
+
+
+def reading_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, i, tokens): the non-blank lines of a reading, their tokens between white space, none empty."""
+    return read_lines(spark, path).select("file", "i", F.filter(F.split(F.trim("text"), r"\s+"), lambda t: t != "").alias("tokens"))
+
+
+MAP = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("words", T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("syl", T.ArrayType(T.StringType()))])))]))
+
+
+def load_map(spark: SparkSession, path: str | None, rebuilt: DataFrame) -> DataFrame:
+    """(i, text, words, tokens) of a syllable map: the file at path if it is there and fits, else `rebuilt`, the map made
+    from the lines and readings. A file fits if it has the same lines, words and sung tokens; one that doesn't raises."""
+    from trackloom.operators.checks import check_map
+
+    if path is None:
+        return rebuilt
+    lines = spark.read.json(path, schema=T.StructType([T.StructField("lines", MAP)]), multiLine=True).select(F.inline("lines"))
+    found = lines.select("i", "text", F.col("words.w").alias("words"), F.flatten("words.syl").alias("tokens"), F.col("words").alias("map"))
+    wrong = check_map(found.drop("map"), rebuilt, ["i"]).orderBy("i").take(3)
+    if wrong:
+        raise ValueError(f"the map doesn't fit: {', '.join(f'line {r.i}: {r.rule}' for r in wrong)}")
+    return found
+
+
 def read_samples(spark: SparkSession, path: str, channels: int = 2) -> DataFrame:
     """(file, i, x): raw little-endian float32 files, channels averaged."""
 
