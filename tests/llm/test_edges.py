@@ -104,6 +104,25 @@ def test_stages_keep_clashing_columns(spark, docs, labels, items, name):
         assert {r.shard for r in rows} <= {0, 1, 2} and all(isinstance(r.shard, int) for r in rows)
 
 
+@pytest.mark.parametrize("what", ["rows", "no documents", "no side tables"])
+def test_pipeline_over_edge_tables(spark, docs, labels, items, tmp_path, what):
+    import corpus_pipeline
+
+    wide = docs.select("doc_id", "text", "source", *[F.lit(f"mine {c}").alias(c) for c in CLASHES])
+    tables = {"documents": wide, "labels": labels, "benchmark": items}
+    for name, frame in tables.items():
+        empty = what == "no documents" and name == "documents" or what == "no side tables" and name != "documents"
+        (frame.limit(0) if empty else frame).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*[c for c in wide.columns if c != "shard"], "shard"]
+    rows = out.collect()
+    assert (what == "no documents") == (not rows) or len(rows) < len(ROWS) * 2
+    seen = {(r.doc_id, r.text) for r in rows}
+    assert seen <= {(a, b) for a, b, _ in ROWS} and all(0 <= r.shard < 40 for r in rows)
+    assert not any(r.text == ROWS[0][1] for r in rows) or what == "no side tables"
+    assert all(r[c] == f"mine {c}" for r in rows for c in CLASHES if c != "shard")
+
+
 def test_mixed_rows_are_those_drawn(docs):
     """copies() and emit() agree also where rows share an id, a source and a size."""
     want = {}

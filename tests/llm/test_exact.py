@@ -116,6 +116,31 @@ def test_linked_pairs_whose_differences_share_nothing(spark, num, lacks, own):
     assert 100 * len(common) >= num * len(members[b"x"] | members[b"y"]) and find(b"x") == find(b"y")
 
 
+@pytest.mark.parametrize("families", [1, 4])
+def test_differences_in_a_group_without_a_common_shingle(spark, families):
+    """One group of several families: no shingle is in most of its classes, so the differences are the whole sets."""
+    rng, members = random.Random(families), {}
+    for f in range(families):
+        base = set(range(1000 * f, 1000 * f + 200))
+        for k in range(12):
+            members[b"%d-%02d" % (f, k)] = base - set(rng.sample(sorted(base), 8)) | {10**6 + 100 * f + k}
+    groups = spark.createDataFrame([(b"c", k, len(m), 0, k) for k, m in members.items()], "c binary, key binary, n long, u long, root binary")
+    sets = spark.createDataFrame([(k, np.array(sorted(m), np.int64).tobytes()) for k, m in members.items()], "key binary, set binary")
+    met = {(bytes(r.a), bytes(r.b)) for r in neardup._pairs_by_difference(groups, sets, 85, 100, lambda x, y: F.lit(True)).collect()}
+    root = {k: k for k in members}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in met:
+        if 100 * len(members[a] & members[b]) >= 85 * len(members[a] | members[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    linked = [(a, b) for a, b in itertools.combinations(sorted(members), 2) if 100 * len(members[a] & members[b]) >= 85 * len(members[a] | members[b])]
+    assert linked and all(find(a) == find(b) for a, b in linked)
+
+
 @pytest.mark.parametrize("small", [0, 10**6])
 def test_connected_components(spark, small):
     rng = random.Random(2)
@@ -433,6 +458,60 @@ def test_levenshtein_trie():
         assert trie.find(word) == ((want[2], want[0]) if want else None), word
 
 
+def plain_learn(rows):
+    """The lexicon's rules over Python lists."""
+    toxic, clean = [t for t, y in rows if y], [t for t, y in rows if not y]
+    contexts = defaultdict(set)
+    for t in toxic:
+        w = ["", *toxicity.WORD.findall(t.lower()), ""]
+        for word in set(w[1:-1]):
+            k = w.index(word, 1)
+            contexts[word].add((w[k - 1], w[k + 1]))
+    weights, share = {}, len(toxic) / len(rows)
+    for word, found in contexts.items():
+        a, b = len(found), sum(word in toxicity.WORD.findall(t.lower()) for t in clean)
+        if a < 3:
+            continue
+        g = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
+        weight = math.log((a / len(toxic)) / ((b + 0.5) / len(clean)))
+        if weight >= math.log(8) and g >= 18 and not word.isdigit():
+            weights[word] = weight
+    return weights
+
+
+def test_lexicon_and_scores(spark):
+    """Lexicon, curve and scores against plain versions."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(400):
+        text = [rng.choice(words) for _ in range(30)]
+        if k % 4 == 0:
+            text[rng.randrange(30)] = rng.choice(["scoundrel", "moronic", "scoundrel"])
+        rows.append((" ".join(text), int(k % 4 == 0)))
+    weights, own, slope, intercept = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    assert weights == pytest.approx(plain_learn(rows)) and set(weights) == {"scoundrel", "moronic"} and not own
+    docs = spark.createDataFrame([(0, "you scoundrel and scoundrel"), (1, "w1 w2"), (2, "a moornic one"), (3, None)], "doc_id int, text string")
+    labels = spark.createDataFrame([(k + 10, y) for k, (_, y) in enumerate(rows)], "doc_id int, toxic int")
+    both = docs.unionByName(spark.createDataFrame([(k + 10, t) for k, (t, _) in enumerate(rows)], "doc_id int, text string"))
+    got = {r.doc_id: r for r in toxicity.score(both, labels).collect()}
+    learned = plain_learn([(t, y) for k, (t, y) in enumerate(rows) if zlib.crc32(str(k + 10).encode()) % 3 != 1])
+    evidence = {0: learned["scoundrel"] * 1.5, 1: 0.0, 2: learned["moronic"] * toxicity.FUZZY, 3: 0.0}
+    assert {k: got[k].evidence for k in range(4)} == pytest.approx(evidence)
+    assert got[0].score > got[2].score > got[1].score == got[3].score and got[0].predicted == 1 and got[1].predicted == 0
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Precision, recall and ranking on the fold that nothing is learned from."""
+    data = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    got = toxicity.score(spark.read.parquet(f"{data}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    toxic, clean = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
+    assert toxic and sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean)) >= 0.95
+    hits = [r.toxic for r in got if r.predicted]
+    assert sum(hits) >= 0.9 * len(hits) and sum(hits) >= 0.8 * len(toxic)
+
+
 def test_quotation_counts_less():
     m = toxicity.Matcher({"scoundrel": 3.0})
     plain, quoted, reported, misspelled = (m.evidence(t)[0] for t in ("You scoundrel there", "The “scoundrel” there", "She said scoundrel", "You scoundrol there"))
@@ -489,6 +568,36 @@ def test_unclosed_elements_take_linear_time():
     assert time.process_time() - began < 3
 
 
+def test_importance_against_plain_counts(spark):
+    """Log-ratios and the drawn rows against dictionaries of n-gram counts."""
+    rng = random.Random(13)
+    rows = [(k, None if k == 5 else " ".join(rng.choice(["The", "house", "runs", "42", "!!", "x9", "over"]) for _ in range(rng.randint(0, 30)))) for k in range(120)]
+    labels = [(k, k % 2) for k in range(0, 120, 2)] + [(k, 1) for k in range(1, 120, 4)]
+    got = importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), share=0.25).collect()
+
+    def grams(text):
+        import xxhash
+
+        tokens = re.findall(r"\w+|[^\w\s]+", text or "")
+        h, o = [xxhash.xxh3_64_intdigest(t) >> 16 for t in tokens], [importance._outline(t) for t in tokens]
+        keys = h + [1 if a == b else a * 31 + b for a, b in itertools.pairwise(h)] + [(a * 16 + b) * 16 + c + (1 << 50) for a, b, c in zip(o, o[1:], o[2:], strict=False)]
+        return [((k * 0x9E3779B97F4A7C15) % (1 << 64)) >> 51 for k in keys]
+
+    good = {k for k, q in labels if q == 1 and zlib.crc32(str(k).encode()) % 2 == 0}
+    raw, target = Counter(), Counter()
+    for k, t in rows:
+        raw.update(grams(t))
+        if k in good:
+            target.update(grams(t))
+    n, m = sum(raw.values()) + 8192, sum(target.values()) + 8192
+    for r in got:
+        g = grams(rows[r.doc_id][1])
+        want = sum(math.log((target[x] + 1) / m) - math.log((raw[x] + 1) / n) for x in g)
+        assert r.n_grams == len(g) and r.log_ratio == pytest.approx(want, abs=1e-9) and r.importance == pytest.approx(want * 200 / (len(g) + 10), abs=1e-9)
+    keys = sorted((r.gumbel_key for r in got), reverse=True)
+    assert sum(r.kept for r in got) == 30 and all(r.kept == (r.gumbel_key >= keys[29] - 1e-6) for r in got)
+
+
 def test_resampling_separates_and_counts(spark):
     rng = random.Random(9)
     good = lambda: " ".join(rng.choice(["the", "house", "runs", "over", "green", "hills", "and", "sleeps"]) for _ in range(40)) + "."

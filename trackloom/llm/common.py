@@ -79,6 +79,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder, by the file system that it is in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does the same, and much faster, where no other letter has a lower form."""
     rest = F.regexp_replace(text, r"[\x00-\x7F]+", "")

@@ -148,8 +148,8 @@ def pack_groups(groups: DataFrame, n_shards: int, chunk_groups: int = 100_000) -
     return packed
 
 
-def assign(rows: DataFrame, *, key: Column, size: Column, n_shards: int, order: Column, chunk_groups: int = 100_000) -> DataFrame:
-    """rows with one column more, packed, which holds the shard. Groups are rows of equal key; order tells rows of a
+def assign(rows: DataFrame, *, key: Column, size: Column, n_shards: int, order: Column, out: str = "packed", chunk_groups: int = 100_000) -> DataFrame:
+    """rows with one column more, `out`, which holds the shard. Groups are rows of equal key; order tells rows of a
     group apart, and rows that it doesn't tell apart must be equal."""
     k, size_, piece, pieces_, n_, cell_, start_ = (free(rows, name) for name in ("p_key", "p_size", "p_piece", "p_pieces", "p_n", "p_cell", "p_start"))
     rows = rows.withColumn(k, key).withColumn(size_, size)
@@ -170,7 +170,7 @@ def assign(rows: DataFrame, *, key: Column, size: Column, n_shards: int, order:
     # rows j*n/p up to (j+1)*n/p of n equal rows
     count = F.ceil((F.col("piece") + 1) * F.col("n") / F.col("p")) - F.ceil(F.col("piece") * F.col("n") / F.col("p"))
     pieces = pieces.select("key", "piece", (count * F.col("bytes") / F.col("n")).cast("long").alias("bytes"))
-    packed = pack_groups(pieces, n_shards, chunk_groups).select(F.col("key").alias(k), F.col("piece").alias(piece), F.col("shard").alias("packed"))
+    packed = pack_groups(pieces, n_shards, chunk_groups).select(F.col("key").alias(k), F.col("piece").alias(piece), F.col("shard").alias(out))
     return tagged.join(packed, [k, piece]).drop(k, piece)
 
 
@@ -208,9 +208,6 @@ def shard_rows(docs: DataFrame, *, text_col: str = "text", n_shards: int = 40, c
     # rows of one group that agree in these hashes agree in all that can be hashed
     hashed = [c for c, f in zip(columns, docs.schema, strict=True) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     order = F.struct(F.xxhash64(*hashed), F.hash(*hashed))
-    if "packed" in (c.lower() for c in docs.columns):  # assign() adds a column of that name
-        inner, names = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), docs.columns
-        out = shard_rows(inner, text_col=f"c{[c.lower() for c in names].index(text_col.lower())}", n_shards=n_shards, chunk_groups=chunk_groups)
-        return out.toDF(*names, "shard")
-    out = assign(docs, key=F.unhex(F.sha2(text, 256)), size=text_bytes(text), n_shards=n_shards, order=order, chunk_groups=chunk_groups)
-    return out.select(*columns, F.col("packed").cast("int").alias("shard"))
+    packed = free(docs, "packed")
+    out = assign(docs, key=F.unhex(F.sha2(text, 256)), size=text_bytes(text), n_shards=n_shards, order=order, out=packed, chunk_groups=chunk_groups)
+    return out.select(*columns, F.col(packed).cast("int").alias("shard"))
