@@ -1,13 +1,18 @@
 """A training corpus from the documents table: quality, near-duplicates, decontamination, mixture, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-docs of the next one. All but the last return the columns of documents.
+docs of the next one. All but the last return the columns of documents, whatever further ones there are.
+
+Null and empty texts are documents like any other: the classifier draws them by their chance, they are nobody's copy,
+hold no benchmark words, take no words of the mixture (so it leaves them as drawn by its sums) and 16 bytes of a shard.
+Null ids and sources are values of their own. Repeated rows (one id, one text) are one document after the second stage.
+Empty tables give empty results: without labels half of the documents are drawn, without benchmark none is dropped.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm import decontamination, importance, mixing, neardup, sharding
-from trackloom.llm.common import fresh_path, table
+from trackloom.llm.common import fresh_path, remove, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, every stage written to and read from the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage, every stage written to and read from the shared folder. What a stage has read is
+    removed once its own rows are written."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if read:
+            remove(spark, read)
+        read = path
     return docs
