@@ -12,7 +12,7 @@ hash class), and only the cells' counts, at most classes x 64 for a source, are
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import all_columns, free
+from trackloom.llm.common import all_columns, cut, free
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SUB = 64
@@ -56,6 +56,7 @@ def _drawn(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     hexed = lambda c, a, n: F.conv(F.substring(c, a, n), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), key.alias("h"))
     rows = rows.select("*", F.floor(F.sqrt(F.col("size").cast("double"))).cast("long").alias("length_class"), (hexed(F.col("h"), 1, 4) % SUB).alias("sub"))
+    rows = cut(rows)  # a few numbers for each document: texts are read, and their words counted, once
     cell = Window.partitionBy("src", "length_class", "sub")
     before = Window.partitionBy("src").orderBy("length_class", "sub").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy("src", "length_class", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
