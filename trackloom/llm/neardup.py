@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, free, lean, small_or_not
+from trackloom.llm.common import BROADCAST_IDS, cut, free, lean, small_or_not
 from trackloom.llm.graphs import components
 
 TREES, DEPTH, SMALL, NEXT = 16, 6, 32, 3
@@ -186,19 +186,23 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs_by_difference(groups: DataFrame, sets: DataFrame, num: int, den: int, bound) -> DataFrame:
     """groups (c, key, n, u, root) -> (a, b) pairs between components that may be linked, none of those left out."""
+    # what is known of a group is one row, joined so that the classes of a large group don't meet in one task
     apart = groups.groupBy("c").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 <> r1")
-    groups = cut(groups.join(apart.select("c", "m"), "c"))
+    apart = small_or_not(cut(apart.select("c", "m")))
+    groups = cut(groups.join(apart, "c"))
     held = groups.join(sets, "key").select("c", "set").mapInArrow(lean(_exploded), "key binary, shingle long")
-    common = held.groupBy(F.col("key").alias("c"), "shingle").count().join(apart.select("c", "m"), "c").filter(2 * F.col("count") > F.col("m"))
-    common = common.groupBy("c").agg(F.collect_list("shingle").alias("common"))
+    common = held.groupBy(F.col("key").alias("c"), "shingle").count().join(apart, "c").filter(2 * F.col("count") > F.col("m"))
+    common = cut(common.groupBy("c").agg(F.collect_list("shingle").alias("common")))
+    n_common = common.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]
     # a group whose classes have no shingle in common has an empty B
-    rows = groups.join(sets, "key").join(common, "c", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>"))).select("c", "key", "n", "u", "root", "set", "common")
+    rows = groups.join(sets, "key").join(F.broadcast(common) if n_common <= BROADCAST_IDS else common, "c", "left")
+    rows = rows.select("c", "key", "n", "u", "root", "set", F.coalesce("common", F.array().cast("array<long>")).alias("common"))
     diffs = cut(rows.mapInArrow(lean(_differences), "c binary, key binary, n long, u long, root binary, nd long, shingle long"))
     # x and y whose D share nothing are linked only if off(x) + off(y) <= 0. The class with the least off has no more
     # than either, so then it is linked with both, and one hub is enough
     off = (den + num) * F.col("nd") - (den - num) * F.col("n")
-    nearest = diffs.groupBy("c").agg(F.min_by(F.struct("key", "root"), F.struct(off, "key")).alias("y0"))
-    major = groups.groupBy("c", "root").count().groupBy("c").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
+    nearest = small_or_not(cut(diffs.groupBy("c").agg(F.min_by(F.struct("key", "root"), F.struct(off, "key")).alias("y0"))))
+    major = small_or_not(cut(groups.groupBy("c", "root").count().groupBy("c").agg(F.max_by("root", F.struct("count", "root")).alias("major"))))
     pairs = groups.join(nearest, "c").filter(F.col("root") != F.col("y0.root")).select(F.least("key", "y0.key").alias("a"), F.greatest("key", "y0.key").alias("b")).distinct()
     # elements that two classes at least have, rarest first; from the first one that a pair shares on, it can share
     # no more than either has left
