@@ -83,13 +83,13 @@ class LexiconTrie:
 
 
 class Matcher(dict):
-    """word -> (term, evidence, is misspelled) or None, remembered for up to 100,000 words."""
+    """word -> (term, evidence, is misspelled) or None, remembered for up to 300,000 words."""
 
     def __init__(self, weights: dict[str, float], own_words: frozenset[str] = frozenset()):
         self.trie, self.own = LexiconTrie(weights), own_words
 
     def __missing__(self, word: str):
-        if len(self) > 100_000:
+        if len(self) > 300_000:
             self.clear()
         found = self.trie.find(word)
         if found and found[1]:
