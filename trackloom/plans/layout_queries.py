@@ -352,7 +352,14 @@ CATALOGUE = {
     "best_cluster": (best_cluster, f"""WITH {PC}, {CL.format(gap=1.2)}, b AS (SELECT *, row_number() OVER (PARTITION BY user_id, line ORDER BY n DESC, cl) AS k FROM cl WHERE NOT (e - s < 0.06::DOUBLE * n OR e - s > 1.5 + 0.8::DOUBLE * n OR p / n < 0.05::DOUBLE OR (n < 0.34 * 2 AND p / n < 0.25::DOUBLE)))
 SELECT user_id, line, round(s, 3) AS "start", round(e, 3) AS "end", round(p / n, 3) AS prob FROM b WHERE k = 1"""),
     "fill_missing_inline": (fill_missing_inline, f'WITH {HO} SELECT event_id, round(s, 3) AS "start", round(e, 3) AS "end" FROM fi WHERE filled'),
-    "spray_missing": (spray_missing, None),
+    "spray_missing": (spray_missing, f"""WITH {RUNS}, q0 AS (SELECT greatest("start", 100.0::DOUBLE) AS a, least("end", 600.0::DOUBLE) AS b FROM runs WHERE track = 'click'), q1 AS (SELECT a, b FROM q0 WHERE a < b UNION ALL SELECT 100.0::DOUBLE, 600.0::DOUBLE WHERE NOT EXISTS (SELECT 1 FROM q0 WHERE a < b)),
+sg AS (SELECT a, b, c1, c1 - (b - a) AS c0, max(c1) OVER () AS total FROM (SELECT a, b, sum(b - a) OVER (ORDER BY a) AS c1 FROM q1)),
+ws AS (SELECT conv_id, turn, unnest(range(len(l))) AS wi, unnest(l) AS w FROM (SELECT conv_id, turn, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '') AS l FROM conversations)),
+wk AS (SELECT conv_id AS track, row_number() OVER p AS k, length(w)::DOUBLE AS len, sum(length(w)::DOUBLE) OVER p AS c, sum(length(w)::DOUBLE) OVER (PARTITION BY conv_id) AS whole FROM ws WINDOW p AS (PARTITION BY conv_id ORDER BY turn, wi)),
+u AS (SELECT track, k, len, total * c / whole AS u1, total * (c - len) / whole AS u0 FROM wk, (SELECT max(total) AS total FROM sg)),
+x AS (SELECT track, k, max(len) AS len, max(u0) AS u0, max(u1) AS u1, arg_min(a + (u0 - c0), c1) FILTER (u0 <= c1 + 1e-9::DOUBLE) AS st, arg_min(b, c1) FILTER (u0 <= c1 + 1e-9::DOUBLE) AS st_end, arg_min(a + (u1 - c0), c1) FILTER (u1 <= c1 + 1e-9::DOUBLE) AS en FROM u, sg GROUP BY track, k),
+y AS (SELECT track, k, st, least(CASE WHEN en - st > u1 - u0 + 0.35::DOUBLE THEN least(en, st_end) ELSE en END, st + 1 + 0.45::DOUBLE * len) AS e FROM x)
+SELECT track, k::INT AS k, {half_up('st')} AS "start", {half_up('CASE WHEN e <= st THEN st + 0.02::DOUBLE ELSE e END')} AS "end" FROM y"""),
     "bad_line_flags": (bad_line_flags, f"WITH {HO} SELECT user_id, line, (max(e - s) > 6.5 OR max(prob) <= 0 OR max(e) - min(s) > 12 OR (count(*) > 1 AND max(e - s) > 0.75 * (max(e) - min(s)))) AS bad FROM fi WHERE s IS NOT NULL GROUP BY user_id, line"),
     "refine_windows": (refine_windows, f"""WITH {PC}, g AS (SELECT user_id, line, min(s) AS s, max(e) AS e, (max(e - s) > 6.5 OR max(prob) <= 0 OR max(e) - min(s) > 12 OR (count(*) > 1 AND max(e - s) > 0.75 * (max(e) - min(s)))) AS bad FROM pc GROUP BY user_id, line),
 w AS (SELECT *, coalesce(lag(e) OVER p, 0) - 2 AS lo, coalesce(lead(s) OVER p, e + 25) + 2 AS hi FROM g WINDOW p AS (PARTITION BY user_id ORDER BY line)) SELECT user_id, line, round(greatest(lo, 0), 3) AS lo, round(hi, 3) AS hi FROM w WHERE bad"""),
