@@ -191,16 +191,16 @@ def band_rms(frames: DataFrame, keys: list[str], x: str, kind: str, edges: tuple
     return frames.select(*keys, "f", x).groupBy(*keys).applyInPandas(run, schema)
 
 
-def stft(frames: DataFrame, keys: list[str], x: str, size: int, hop: int) -> DataFrame:
-    """(keys, block, mag array<float>): Hann-windowed magnitudes, the track padded by half a window at both ends."""
-    window = np.hanning(size)
-    schema = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys) + ", block int, mag array<float>"
+def stft(frames: DataFrame, keys: list[str], x: str, size: int, hop: int, kind: str = "float") -> DataFrame:
+    """(keys, block, mag array<kind>): Hann-windowed magnitudes, the track padded by half a window at both ends."""
+    window, dtype = np.hanning(size), {"float": np.float32, "double": np.float64}[kind]
+    schema = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys) + f", block int, mag array<{kind}>"
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         y = np.pad(part.sort_values("f")[x].to_numpy(float), size // 2)
         blocks = np.lib.stride_tricks.sliding_window_view(y, size)[::hop]
-        out = [np.abs(np.fft.rfft(blocks[k : k + 4096] * window)).astype(np.float32) for k in range(0, len(blocks), 4096)]
-        mags = np.concatenate(out) if out else np.zeros((0, size // 2 + 1), np.float32)
+        out = [np.abs(np.fft.rfft(blocks[k : k + 4096] * window)).astype(dtype) for k in range(0, len(blocks), 4096)]
+        mags = np.concatenate(out) if out else np.zeros((0, size // 2 + 1), dtype)
         table = pd.DataFrame({"block": np.arange(len(mags)), "mag": list(mags)})
         for name, value in zip(reversed(keys), reversed(key), strict=True):
             table.insert(0, name, value)

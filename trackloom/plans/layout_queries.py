@@ -274,7 +274,7 @@ def decode_checks(spark, sf):
 
 
 def onset_budget(spark, sf):
-    return sq.onsets(normal(spark, sf), ["track"], "y", 60)
+    return sq.onsets(normal(spark, sf), ["track"], "y", 60).withColumn("strength", F.round("strength", 6))
 
 
 def banded_align(spark, sf):
@@ -283,11 +283,13 @@ def banded_align(spark, sf):
 
 
 def stft_blocks(spark, sf):
-    return sq.stft(normal(spark, sf), ["track"], "y", 64, 16)
+    x = sq.stft(normal(spark, sf), ["track"], "y", 64, 16, "double")
+    return x.select("track", "block", F.posexplode("mag").alias("bin", "mag")).withColumn("mag", F.round("mag", 4))
 
 
 def band_rms(spark, sf):
-    return sq.band_rms(normal(spark, sf), ["track"], "y", "band", (0.02, 0.2), 1.0, 24, 12)
+    x = sq.band_rms(normal(spark, sf), ["track"], "y", "band", (0.02, 0.2), 1.0, 24, 12)
+    return x.withColumn("rms", F.round("rms", 6))
 
 
 PC = EV.replace("AS track", "AS kind") + """,
@@ -346,6 +348,33 @@ pl AS (SELECT event_id, ng.user_id, ng.line, word, u, CASE WHEN e2 - s < 0.001::
 DOCS = f"""{TM}, dn AS (SELECT *, floor(s / 86400)::INT AS day, round(least(e, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id), e)), 3) AS e2 FROM tm),
 dl AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY day) - 1)::INT AS i, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT DISTINCT user_id, day FROM dn WHERE s < e2))"""
 
+#: Peaks of nr.y as sequences.onset_peaks() chooses them: (track, k, f, y) in kept.
+ONSETS = f"""{NR}, c AS (SELECT *, sum(n) OVER (PARTITION BY track ORDER BY f) AS g FROM (SELECT *, CASE WHEN y = lag(y) OVER (PARTITION BY track ORDER BY f) THEN 0 ELSE 1 END AS n FROM nr)),
+q AS (SELECT track, g, min(f) AS a, max(f) AS b, min(y) AS y FROM c GROUP BY track, g), z AS (SELECT *, lag(y) OVER w AS l, lead(y) OVER w AS r FROM q WINDOW w AS (PARTITION BY track ORDER BY g)),
+h AS (SELECT track, coalesce(quantile_cont(y, 0.85) FILTER (y > 0), 1) AS h FROM nr GROUP BY track),
+pk(track, rem, xs) AS (SELECT track, list({{'y': y, 'f': ((a + b) // 2)::INT}} ORDER BY y DESC, a + b DESC), [{{'y': 0.0::DOUBLE, 'f': 0::INT}}][2:] FROM z JOIN h USING (track) WHERE y > l AND y > r AND y >= h GROUP BY track
+UNION ALL SELECT track, list_filter(rem, lambda x: abs(x.f - rem[1].f) >= 3), list_append(xs, rem[1]) FROM pk WHERE len(rem) > 0),
+th(track, xs) AS (SELECT track, list(x ORDER BY x.f) FROM (SELECT track, unnest(xs) AS x FROM pk WHERE len(rem) = 0) GROUP BY track
+UNION ALL SELECT track, xs[1:j - 1] || xs[j + 1:] FROM (SELECT track, xs, CASE WHEN xs[m].y <= xs[m + 1].y THEN m ELSE m + 1 END AS j
+  FROM (SELECT track, xs, list_position(d, list_min(d)) AS m FROM (SELECT track, xs, list_transform(range(1, len(xs)), lambda i: xs[i + 1].f - xs[i].f) AS d FROM th WHERE len(xs) > 60)))),
+kept AS (SELECT track, k, x.f AS f, x.y AS y FROM (SELECT track, unnest(range(len(xs)))::INT AS k, unnest(xs) AS x FROM th WHERE len(xs) <= 60))"""
+
+
+def _cascade(name: str, source: str) -> str:
+    """A recursive table name(track, f, o, states...) of the sections of band_rms() over source(track, f, y), f from 0."""
+    sos = sq.butterworth("band", 4, (0.02, 0.2), 1.0)
+    states = [f"s{k}{i}" for k in range(len(sos)) for i in (1, 2)]
+    out, after, at = [], [], "d.y"
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos.tolist()):
+        out.append(f"{b0!r}::DOUBLE * {at} + p.s{k}1 AS o{k}")
+        after += [f"{b1!r}::DOUBLE * {at} - {a1!r}::DOUBLE * o{k} + p.s{k}2 AS n{k}1", f"{b2!r}::DOUBLE * {at} - {a2!r}::DOUBLE * o{k} AS n{k}2"]
+        at = f"o{k}"
+    fields = ", ".join(f"n{x[1:]}" for x in states)
+    zero = ", ".join("0.0::DOUBLE" for _ in states)
+    return f"""{name}(track, f, o, {", ".join(states)}) AS (SELECT DISTINCT track, -1, 0.0::DOUBLE, {zero} FROM {source}
+UNION ALL SELECT track, f, {at}, {fields} FROM (SELECT d.track, d.f, {", ".join(out + after)} FROM {name} p JOIN {source} d ON d.track = p.track AND d.f = p.f + 1))"""
+
+
 CATALOGUE = {
     "sound_pieces": (sound_pieces, f"WITH {PC} SELECT event_id FROM ok"),
     "time_clusters": (time_clusters, f"WITH {PC}, {CL.format(gap=7200)} SELECT user_id, line, cl, round(s, 3) AS \"start\", round(e, 3) AS \"end\", n, round(p, 2) AS p_sum FROM cl"),
@@ -410,8 +439,12 @@ SELECT unnest(list_filter([CASE WHEN "end" - "start" < 0.25::DOUBLE THEN 'short'
 j AS (SELECT fr.track, fr.f, x, coalesce(x2, 0) AS x2 FROM fr LEFT JOIN b ON b.track = fr.track AND b.f = fr.f), g AS (SELECT track, bool_and(x = x2) AS same, count(*)::BIGINT AS n, max(abs(x - x2)) AS diff FROM j GROUP BY track),
 m AS (SELECT p.track, lag::INT AS lag, avg(abs(p.x - q.x2)) AS mad FROM j p, range(-3, 4) r(lag), j q WHERE q.track = p.track AND q.f = p.f + lag GROUP BY ALL), z AS (SELECT track, arg_min(lag, (mad, lag)) AS lag FROM m GROUP BY track)
 SELECT track, n, same, round(diff, 4) AS diff, lag, same AND lag = 0 AS ok FROM g JOIN z USING (track)"""),
-    "onset_budget": (onset_budget, None),
+    "onset_budget": (onset_budget, f"""WITH RECURSIVE {ONSETS}
+SELECT track, k, f, round(y / max(y) OVER (PARTITION BY track), 6) AS strength FROM kept"""),
     "banded_align": (banded_align, None),
-    "stft_blocks": (stft_blocks, None),
-    "band_rms": (band_rms, None),
+    "stft_blocks": (stft_blocks, f"""WITH {NR}, bs AS (SELECT b.k AS bin, j, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 63) AS w, 2 * pi() * b.k * j / 64 AS a FROM range(33) b(k), range(64) r(j)),
+p AS (SELECT track, f + 32 AS i, y FROM nr), m AS (SELECT track, block, bin, sqrt(pow(sum(y * w * cos(a)), 2) + pow(sum(y * w * sin(a)), 2)) AS mag FROM range(46) r(block) JOIN p ON i >= block * 16 AND i < block * 16 + 64 JOIN bs ON j = i - block * 16 GROUP BY ALL)
+SELECT track, block::INT AS block, bin::INT AS bin, round(mag, 4) AS mag FROM m"""),
+    "band_rms": (band_rms, f"""WITH RECURSIVE {NR}, d1 AS MATERIALIZED (SELECT track, f, y FROM nr), {_cascade("up", "d1")}, d2 AS MATERIALIZED (SELECT track, 719 - f AS f, o AS y FROM up WHERE f >= 0), {_cascade("down", "d2")}
+SELECT track, f // 12 AS f, round(r, 6) AS rms FROM (SELECT track, 719 - f AS f, sqrt(sum(o * o) OVER (PARTITION BY track ORDER BY 719 - f ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) / 24) AS r FROM down WHERE f >= 0) WHERE f % 12 = 0"""),
 }

@@ -138,6 +138,18 @@ def beat_sequence(spark, sf):
     return gp.beats(tracks, K, 720.0)
 
 
+#: Harmonic presence and flatness of bins 8 to 39 (v), mean rise of the log band energies (fl).
+VOICE = f"""{SP}, vb AS (SELECT * FROM sx WHERE bin >= 8 AND bin < 40), w AS (SELECT *, max(f) OVER (PARTITION BY track) AS n FROM vb),
+a AS (SELECT track, bin, f, s FROM w UNION ALL SELECT track, bin, -k, s FROM w, range(1, 9) r(k) WHERE f = 0 UNION ALL SELECT track, bin, n + k, s FROM w, range(1, 9) r(k) WHERE f = n),
+h AS (SELECT track, bin, f, quantile_cont(s, 0.5) OVER (PARTITION BY track, bin ORDER BY f ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS h FROM a),
+b AS (SELECT track, bin, f, s FROM w UNION ALL SELECT track, 8 - k, f, s FROM w, range(1, 9) r(k) WHERE bin = 8 UNION ALL SELECT track, 39 + k, f, s FROM w, range(1, 9) r(k) WHERE bin = 39),
+p AS (SELECT track, bin, f, quantile_cont(s, 0.5) OVER (PARTITION BY track, f ORDER BY bin ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS p FROM b),
+v AS (SELECT track, f, sqrt(sum(pow(s * (h * h / (h * h + p * p + 1e-12::DOUBLE)), 2))) AS presence, exp(avg(ln(s + 1e-10::DOUBLE))) / (avg(s) + 1e-10::DOUBLE) AS flatness FROM h JOIN p USING (track, f, bin) JOIN w USING (track, f, bin) GROUP BY track, f),
+c AS (SELECT k, 700 * (pow(10, (2595 * log10(1 + 100.0::DOUBLE / 700) + (2595 * log10(1 + 8000.0::DOUBLE / 700) - 2595 * log10(1 + 100.0::DOUBLE / 700)) * k / 9) / 2595) - 1) AS hz FROM range(10) r(k)),
+mb AS (SELECT x.k::INT AS band, bin::INT AS bin, greatest(least((bin * 125.0::DOUBLE - x.hz) / (m.hz - x.hz), (z.hz - bin * 125.0::DOUBLE) / (z.hz - m.hz)), 0) AS wt FROM c x JOIN c m ON m.k = x.k + 1 JOIN c z ON z.k = x.k + 2, range(64) r(bin)),
+en AS (SELECT track, f, band, ln(sum(wt * s) + 1e-10::DOUBLE) AS g FROM sx JOIN mb USING (bin) WHERE wt > 0 GROUP BY track, f, band),
+fl AS (SELECT track, f, avg(r) AS strength FROM (SELECT track, f, coalesce(greatest(g - lag(g) OVER (PARTITION BY track, band ORDER BY f), 0), 0) AS r FROM en) GROUP BY track, f)"""
+
 CATALOGUE = {
     "hourly_frames": (hourly_frames, f"WITH {FR} SELECT track, f, x, round_even((f * 441 + 200)::DOUBLE / 44100.0::DOUBLE * 100.0::DOUBLE, 0)::BIGINT AS n FROM fr"),
     "env_rms": (env_rms, f"WITH {FR} SELECT track, (f / 4)::INT AS f, round(r, 4) AS rms FROM (SELECT track, f, sqrt(sum(x * x) OVER (PARTITION BY track ORDER BY f ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) / 8) AS r FROM fr) WHERE f % 4 = 0"),
@@ -160,18 +172,20 @@ SELECT track, f, round(sqrt(sum(s * s)), 4) AS presence, round(avg(coalesce(grea
     "mel_band_energy": (mel_band_energy, f"""WITH {SP}, c AS (SELECT k, 700 * (pow(10, (2595 * log10(1 + 100.0::DOUBLE / 700) + (2595 * log10(1 + 8000.0::DOUBLE / 700) - 2595 * log10(1 + 100.0::DOUBLE / 700)) * k / 9) / 2595) - 1) AS hz FROM range(10) r(k)),
 b AS (SELECT a.k::INT AS band, bin::INT AS bin, greatest(least((bin * 125.0::DOUBLE - a.hz) / (m.hz - a.hz), (z.hz - bin * 125.0::DOUBLE) / (z.hz - m.hz)), 0) AS w FROM c a JOIN c m ON m.k = a.k + 1 JOIN c z ON z.k = a.k + 2, range(64) r(bin))
 SELECT track, f, band, round(sum(w * s), 4) AS e FROM sx JOIN b USING (bin) WHERE w > 0 GROUP BY track, f, band"""),
-    "voice_features": (voice_features, f"""WITH {SP}, vb AS (SELECT * FROM sx WHERE bin >= 8 AND bin < 40), w AS (SELECT *, max(f) OVER (PARTITION BY track) AS n FROM vb),
-a AS (SELECT track, bin, f, s FROM w UNION ALL SELECT track, bin, -k, s FROM w, range(1, 9) r(k) WHERE f = 0 UNION ALL SELECT track, bin, n + k, s FROM w, range(1, 9) r(k) WHERE f = n),
-h AS (SELECT track, bin, f, quantile_cont(s, 0.5) OVER (PARTITION BY track, bin ORDER BY f ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS h FROM a),
-b AS (SELECT track, bin, f, s FROM w UNION ALL SELECT track, 8 - k, f, s FROM w, range(1, 9) r(k) WHERE bin = 8 UNION ALL SELECT track, 39 + k, f, s FROM w, range(1, 9) r(k) WHERE bin = 39),
-p AS (SELECT track, bin, f, quantile_cont(s, 0.5) OVER (PARTITION BY track, f ORDER BY bin ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS p FROM b),
-v AS (SELECT track, f, sqrt(sum(pow(s * (h * h / (h * h + p * p + 1e-12::DOUBLE)), 2))) AS presence, exp(avg(ln(s + 1e-10::DOUBLE))) / (avg(s) + 1e-10::DOUBLE) AS flatness FROM h JOIN p USING (track, f, bin) JOIN w USING (track, f, bin) GROUP BY track, f),
-c AS (SELECT k, 700 * (pow(10, (2595 * log10(1 + 100.0::DOUBLE / 700) + (2595 * log10(1 + 8000.0::DOUBLE / 700) - 2595 * log10(1 + 100.0::DOUBLE / 700)) * k / 9) / 2595) - 1) AS hz FROM range(10) r(k)),
-mb AS (SELECT x.k::INT AS band, bin::INT AS bin, greatest(least((bin * 125.0::DOUBLE - x.hz) / (m.hz - x.hz), (z.hz - bin * 125.0::DOUBLE) / (z.hz - m.hz)), 0) AS wt FROM c x JOIN c m ON m.k = x.k + 1 JOIN c z ON z.k = x.k + 2, range(64) r(bin)),
-en AS (SELECT track, f, band, ln(sum(wt * s) + 1e-10::DOUBLE) AS g FROM sx JOIN mb USING (bin) WHERE wt > 0 GROUP BY track, f, band),
-fl AS (SELECT track, f, avg(r) AS strength FROM (SELECT track, f, coalesce(greatest(g - lag(g) OVER (PARTITION BY track, band ORDER BY f), 0), 0) AS r FROM en) GROUP BY track, f)
+    "voice_features": (voice_features, f"""WITH {VOICE}
 SELECT track, f::INT AS f, round(presence, 4) AS presence, round(strength, 4) AS strength, round(flatness, 4) AS flatness FROM v JOIN fl USING (track, f)"""),
-    "feature_record": (feature_record, None),
+    "feature_record": (feature_record, f"""WITH RECURSIVE {VOICE},
+vs AS MATERIALIZED (SELECT track, list(presence ORDER BY f) AS ys FROM v GROUP BY track),
+sm(track, f, y) AS (SELECT track, 0, (1 - exp(CASE WHEN ys[1] > 0 THEN -1.0::DOUBLE ELSE -1 / 9.0::DOUBLE END)) * ys[1] FROM vs
+UNION ALL SELECT vs.track, sm.f + 1, y * exp(CASE WHEN ys[sm.f + 2] > y THEN -1.0::DOUBLE ELSE -1 / 9.0::DOUBLE END) + (1 - exp(CASE WHEN ys[sm.f + 2] > y THEN -1.0::DOUBLE ELSE -1 / 9.0::DOUBLE END)) * ys[sm.f + 2] FROM sm JOIN vs USING (track) WHERE sm.f + 1 < len(ys)),
+vo AS (SELECT track, f, y AS vocal_raw, least(greatest(y / (quantile_cont(y, 0.99) OVER (PARTITION BY track) + 1e-12::DOUBLE), 0), 1) AS vocal FROM sm),
+on_ AS (SELECT *, coalesce(last_value(CASE WHEN vocal > 0.18::DOUBLE THEN 1 WHEN vocal <= 0.10::DOUBLE THEN 0 END IGNORE NULLS) OVER (PARTITION BY track ORDER BY f ROWS UNBOUNDED PRECEDING), 0) AS active FROM vo),
+o1 AS (SELECT track, min(f) AS a, max(f) AS b FROM (SELECT track, f, f - row_number() OVER (PARTITION BY track ORDER BY f) AS g FROM on_ WHERE active = 1) GROUP BY track, g),
+o2 AS (SELECT *, sum(CASE WHEN (a - pb) / 100.0::DOUBLE < 0.15::DOUBLE THEN 0 ELSE 1 END) OVER (PARTITION BY track ORDER BY a) AS g FROM (SELECT *, lag(b) OVER (PARTITION BY track ORDER BY a) AS pb FROM o1)),
+o3 AS (SELECT track, min(a) AS a, max(b) AS b FROM o2 GROUP BY track, g HAVING (max(b) - min(a) + 1) / 100.0::DOUBLE >= 0.15::DOUBLE),
+o4 AS (SELECT *, (row_number() OVER (PARTITION BY track ORDER BY a) - 1)::INT AS run_id FROM o3)
+SELECT vo.track, vo.f, round(vocal_raw, 4) AS vocal_raw, round(vocal, 4) AS vocal, round(CASE WHEN vocal > 0.05::DOUBLE THEN strength ELSE 0 END, 4) AS strength, round(flatness, 4) AS flatness, run_id
+FROM vo JOIN v ON v.track = vo.track AND v.f = vo.f JOIN fl ON fl.track = vo.track AND fl.f = vo.f LEFT JOIN o4 ON o4.track = vo.track AND vo.f BETWEEN o4.a AND o4.b"""),
     "mel_scale": (mel_scale, "SELECT p_partkey, round(m, 4) AS mel, round(700 * (pow(10, m / 2595) - 1), 4) AS hz FROM (SELECT p_partkey, 2595 * log10(1 + p_retailprice / 700) AS m FROM part)"),
     "dft_blocks": (dft_blocks, f"""WITH {NR}, k AS (SELECT b.k AS bin, j, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 15) AS w, 2 * pi() * b.k * j / 16 AS a FROM range(9) b(k), range(16) r(j))
 SELECT track, block::INT AS block, bin::INT AS bin, round(sqrt(pow(sum(y * w * cos(a)), 2) + pow(sum(y * w * sin(a)), 2)), 4) AS mag FROM range(89) r(block) JOIN nr ON f >= block * 8 AND f < block * 8 + 16 JOIN k ON j = f - block * 8 GROUP BY track, block, bin"""),
