@@ -192,6 +192,14 @@ def test_matching_blocks(spark):
     assert got == [(0, 0, 2), (3, 2, 2), (5, 4, 0)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=60), st.text("abc", max_size=60))
+def test_common_blocks_are_those_of_single_characters(a, b):
+    import difflib
+
+    assert sequences.common_blocks(a, b) == [tuple(m) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 9), max_size=30), st.integers(1, 6))
 def test_peaks_stand_apart(values, distance):

@@ -160,8 +160,8 @@ def link_words(lines: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFram
         return x.withColumn(at, F.explode(F.sequence(F.col("_0").cast("int"), (F.col("_0") + n - 1).cast("int"))))
 
     both = stream(words, ["li", "wi"], "_a").join(stream(heard, ["pi"], "_b"), keys)
-    # few bytes, much work: a set number of partitions isn't joined into fewer ones
-    both = both.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    # few bytes, much work: dealt anew by number, partitions aren't joined into fewer ones
+    both = both.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = both.lateralJoin(MatchingBlocks(F.col("_a").outer(), F.col("_b").outer()).alias("m")).filter("m.size > 0")
     blocks = blocks.select(*keys, F.col("m.a").alias("_p"), F.col("m.b").alias("_q"), F.explode(F.sequence(F.lit(0), F.col("m.size") - 1)).alias("_k"))
     at = blocks.select(*keys, (F.col("_p") + F.col("_k")).alias("_p"), (F.col("_q") + F.col("_k")).alias("_q"))

@@ -9,13 +9,39 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
+def common_blocks(a: str, b: str, gram: int = 4) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, size) of the longest common block (the first in a, then in b), recursively left and right
+    of it, neighbours that touch joined; ends with (len a, len b, 0). Blocks of `gram` characters and more are searched
+    as runs of equal grams, which stand in far fewer places than single characters."""
+    grams = [[x[i : i + gram] for i in range(len(x) - gram + 1)] for x in (a, b)]
+    long = SequenceMatcher(None, *grams, autojunk=False)
+    todo, found = [(0, len(a), 0, len(b))], []
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        i, j, n = 0, 0, 0
+        if min(a1 - a0, b1 - b0) >= gram:
+            i, j, n = long.find_longest_match(a0, a1 - gram + 1, b0, b1 - gram + 1)
+            n += gram - 1 if n else 0
+        if not n:
+            i, j, n = SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).find_longest_match()
+            i, j = i + a0, j + b0
+        if n:
+            found.append((i, j, n))
+            todo += [x for x in ((a0, i, b0, j), (i + n, a1, j + n, b1)) if x[0] < x[1] and x[2] < x[3]]
+    out: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(found):
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            i, j, n = out[-1][0], out[-1][1], out.pop()[2] + n
+        out.append((i, j, n))
+    return [*out, (len(a), len(b), 0)]
+
+
 @udtf(returnType=StructType([StructField(n, IntegerType()) for n in ("a", "b", "size")]))
 class MatchingBlocks:
-    """Longest common blocks of two texts, recursively left and right of each; ends with (len a, len b, 0)."""
+    """common_blocks() of two texts, a null one being empty."""
 
     def eval(self, a: str, b: str):
-        for m in SequenceMatcher(None, a or "", b or "", autojunk=False).get_matching_blocks():
-            yield m.a, m.b, m.size
+        yield from common_blocks(a or "", b or "")
 
 
 def peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
