@@ -279,7 +279,8 @@ def onset_budget(spark, sf):
 
 def banded_align(spark, sf):
     o = sq.onsets(normal(spark, sf), ["track"], "y", 60).groupBy("track").agg(F.array_sort(F.collect_list(F.struct("k", "strength"))).alias("x"))
-    return sq.align_tracks(o.select("track", F.lit(40).alias("slots"), F.col("x.strength").alias("strengths")), ["track"], "slots", "strengths")
+    x = sq.align_tracks(o.select("track", F.lit(40).alias("slots"), F.col("x.strength").alias("strengths")), ["track"], "slots", "strengths")
+    return x.withColumn("cost", F.round("cost", 6))
 
 
 def stft_blocks(spark, sf):
@@ -441,7 +442,23 @@ m AS (SELECT p.track, lag::INT AS lag, avg(abs(p.x - q.x2)) AS mad FROM j p, ran
 SELECT track, n, same, round(diff, 4) AS diff, lag, same AND lag = 0 AS ok FROM g JOIN z USING (track)"""),
     "onset_budget": (onset_budget, f"""WITH RECURSIVE {ONSETS}
 SELECT track, k, f, round(y / max(y) OVER (PARTITION BY track), 6) AS strength FROM kept"""),
-    "banded_align": (banded_align, None),
+    "banded_align": (banded_align, f"""WITH RECURSIVE {ONSETS},
+o AS (SELECT track, k, y / max(y) OVER (PARTITION BY track) AS s FROM kept), oc AS (SELECT track, k, 0.25::DOUBLE * (1 - s) AS soft, sum(0.6::DOUBLE * (1 - s)) OVER (PARTITION BY track ORDER BY k) AS cum FROM o),
+st AS MATERIALIZED (SELECT track, count(*)::INT AS n, list(soft ORDER BY k) AS soft, [0.0::DOUBLE] || list(cum ORDER BY k) AS cum FROM oc GROUP BY track),
+dp(track, i, r, how) AS (SELECT track, 0, [0.0::DOUBLE] || list_transform(range(n), lambda j: 1e9::DOUBLE), []::INT[] FROM st
+UNION ALL SELECT track, i, [1e9::DOUBLE] || list_transform(range(1, n + 1), lambda j: CASE WHEN j BETWEEN a AND b THEN least(al[j], be[j]) ELSE 1e9 END),
+  list_transform(range(1, n + 1), lambda j: CASE WHEN j NOT BETWEEN a AND b THEN 0 WHEN al[j] < be[j] - 1e-9::DOUBLE THEN 3 WHEN mt[j] <= hd[j] THEN 1 ELSE 2 END)
+  FROM (SELECT *, list_transform(range(1, n + 1), lambda j: CASE WHEN j BETWEEN a AND b THEN list_min(list_transform(range(a, j + 1), lambda t: be[t] - cum[t + 1])) + cum[j + 1] ELSE 1e9 END) AS al
+  FROM (SELECT *, list_transform(range(1, n + 1), lambda j: least(mt[j], hd[j])) AS be
+  FROM (SELECT *, list_transform(range(1, n + 1), lambda j: r[j] + soft[j]) AS mt, list_transform(range(1, n + 1), lambda j: r[j + 1] + 0.9::DOUBLE) AS hd
+  FROM (SELECT dp.track, dp.i + 1 AS i, r, n, soft, cum, greatest(1, round_even((dp.i + 1) * n / 40.0::DOUBLE, 0)::INT - greatest(60, floor(0.2::DOUBLE * n)::INT)) AS a, least(n, round_even((dp.i + 1) * n / 40.0::DOUBLE, 0)::INT + greatest(60, floor(0.2::DOUBLE * n)::INT)) AS b
+  FROM dp JOIN st ON st.track = dp.track WHERE dp.i < 40))))),
+e AS (SELECT dp.track, list_transform(range(0, n + 1), lambda j: r[j + 1] + cum[n + 1] - cum[j + 1]) AS ends FROM dp JOIN st ON st.track = dp.track WHERE i = 40),
+hw AS MATERIALIZED (SELECT track, list(how ORDER BY i) AS how FROM dp WHERE i > 0 GROUP BY track),
+tb(track, i, j, slot, onset) AS (SELECT track, 40, (list_position(ends, list_min(ends)) - 1)::INT, NULL::INT, NULL::INT FROM e
+UNION ALL SELECT track, i - (h < 3)::INT, j - (h <> 2)::INT, CASE WHEN h = 1 THEN i - 1 END, CASE WHEN h = 1 THEN j - 1 END FROM (SELECT tb.track, i, j, how[i][j] AS h FROM tb JOIN hw ON hw.track = tb.track WHERE i > 0 AND j > 0) WHERE h > 0),
+m AS (SELECT track, slot, onset FROM tb WHERE slot IS NOT NULL)
+SELECT e.track, sl.slot::INT AS slot, m.onset, round(list_min(ends), 6) AS cost, (SELECT count(*) FROM m c WHERE c.track = e.track)::INT AS n_match FROM e JOIN range(40) sl(slot) ON true LEFT JOIN m ON m.track = e.track AND m.slot = sl.slot"""),
     "stft_blocks": (stft_blocks, f"""WITH {NR}, bs AS (SELECT b.k AS bin, j, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 63) AS w, 2 * pi() * b.k * j / 64 AS a FROM range(33) b(k), range(64) r(j)),
 p AS (SELECT track, f + 32 AS i, y FROM nr), m AS (SELECT track, block, bin, sqrt(pow(sum(y * w * cos(a)), 2) + pow(sum(y * w * sin(a)), 2)) AS mag FROM range(46) r(block) JOIN p ON i >= block * 16 AND i < block * 16 + 64 JOIN bs ON j = i - block * 16 GROUP BY ALL)
 SELECT track, block::INT AS block, bin::INT AS bin, round(mag, 4) AS mag FROM m"""),
