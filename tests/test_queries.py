@@ -45,3 +45,23 @@ def test_names_are_distinct_and_entry_runs(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.entry(spark).take(1)) == 1
+
+
+def test_matching_blocks_of_all_pairs(spark, duck):
+    """Every item against every document in plain Python: those that share any five words in a row."""
+    from difflib import SequenceMatcher
+
+    def runs(text):
+        w = (text or "").split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    items, docs = duck.sql("SELECT item_id, text FROM benchmark").fetchall(), duck.sql("SELECT doc_id, text FROM documents").fetchall()
+    of_docs = [(k, t, runs(t)) for k, t in docs]
+    want = set()
+    for item, a in items:
+        mine = runs(a)
+        for doc, b, theirs in of_docs:
+            if mine & theirs:
+                want |= {(item, doc, *m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()}
+    got = [tuple(r) for r in catalogue.queries()["matching_blocks"](spark, DATA).select("item_id", "doc_id", "a", "b", "size").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want

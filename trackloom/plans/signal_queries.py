@@ -95,7 +95,8 @@ def phrase_runs(spark, sf):
 def phrase_runs_events(spark, sf):
     ev = events(spark, sf).select(F.col("event_type").alias("track"), F.floor(F.col("t") / 3600).alias("h"))
     n = ev.groupBy("track", "h").count()
-    inside = phrase_runs(spark, sf).join(n, "track").filter((F.col("h") >= F.col("start")) & (F.col("h") < F.col("end")))
+    spans = phrase_runs(spark, sf).withColumn("s", F.col("start")).withColumn("e", F.col("end"))
+    inside = intervals.points_in(spans, n.withColumn("t", F.col("h").cast("double")), K, 24.0)
     return inside.groupBy("track", "run_id", "start", "end", "mean", "peak").agg(F.sum("count").alias("n_events"))
 
 
