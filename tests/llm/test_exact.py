@@ -568,6 +568,13 @@ def test_unclosed_elements_take_linear_time():
     assert time.process_time() - began < 3
 
 
+def test_pages_of_many_elements_without_article_take_linear_time():
+    page = "".join(f"<div><p>{SAID}</p></div><div>x{k}</div>" for k in range(4000))
+    began = time.process_time()
+    assert html_text.main_text(page).count(SAID.strip()) == 4000
+    assert time.process_time() - began < 3
+
+
 def test_importance_against_plain_counts(spark):
     """Log-ratios and the drawn rows against dictionaries of n-gram counts."""
     rng = random.Random(13)

@@ -245,7 +245,8 @@ def main_text(page: str | None) -> str:
     whole = any(b.article for b in blocks)
     if not whole:
         homes = main_elements(blocks, labels)
-        inside = [next((k for k, home in enumerate(homes, 1) if b.path[: len(home)] == home), 0) for b in blocks]
+        place, sizes = {home: k for k, home in enumerate(homes, 1)}, sorted({len(home) for home in homes})
+        inside = [min((place[b.path[:n]] for n in sizes if b.path[:n] in place), default=0) for b in blocks]
         blocks = [replace(b, article=k) if k and not b.furniture else b for b, k in zip(blocks, inside, strict=True)]
         labels = [first_pass(b) for b in blocks]
     whole = whole and any(b.article and not b.furniture for b in blocks)
