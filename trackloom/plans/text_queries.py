@@ -178,7 +178,7 @@ def matching_blocks(spark, sf):
     """Known texts against noisy ones: each benchmark item with every document that shares any five words in a row with it;
     a text of fewer words has all of them as its only run."""
     def runs(w):
-        return F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 5), " ")))).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
+        return F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.slice(w, i, 5)))).otherwise(F.array(F.xxhash64(w)))
 
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("a"), tx.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("b"), tx.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
