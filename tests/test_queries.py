@@ -25,6 +25,8 @@ def canonical(x: pd.DataFrame) -> pd.DataFrame:
     x = x[sorted(x.columns)].copy()
     for c in x.columns:
         x[c] = x[c].map(lambda v: None if v is None else str(v)) if x[c].dtype == object else x[c]
+        if isinstance(x[c].dtype, pd.Int32Dtype | pd.Int64Dtype):
+            x[c] = x[c].astype("float64")  # as Spark gives integers with nulls
     return x.sort_values(list(x.columns)).reset_index(drop=True)
 
 
