@@ -296,6 +296,12 @@ def test_link_words_equals_the_search_word_by_word(spark):
     assert {(r.li, r.wi): None if r.start is None else pytest.approx((r.start, r.end, r.prob)) for r in got.collect()} == want
 
 
+def test_fixed_rounds_as_printf(spark):
+    values = [64.25, 64.75, 0.15, 0.35, 0.05, 99.95, 100.0, 1234567.25, -2.25, 0.0]
+    got = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select("v", tx.fixed(F.col("v"), 1, 5).alias("s")).collect()
+    assert [r.s for r in got] == [*(f"{v:5.1f}" for v in values), None]
+
+
 def test_line_confidence(spark):
     x = spark.createDataFrame([(1.0, 8.0, 4.0), (0.0, 9.0, 2.0), (0.5, 1.0, 4.0)], "c double, n double, m double")
     assert sorted(r.v for r in x.select(tl.line_confidence(F.col("c"), F.col("n"), F.col("m")).alias("v")).collect()) == [0.4, 0.4, 1.0]

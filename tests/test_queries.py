@@ -42,6 +42,19 @@ def test_query(spark, duck, name):
     pd.testing.assert_frame_equal(canonical(got), canonical(want), check_dtype=False, rtol=1e-9)
 
 
+def test_report_rows_rounds_as_its_sql(spark, duck, tmp_path):
+    """257 words of 400 syllables, 64.25 %, and 63 of 112, 56.25 %: halves that printf rounds to the even digit."""
+    talks = [(1, 114, 143), (2, 2, 7), (4, 7, 0), (None, 14, 49)]
+    rows = [(k, turn, "user", " ".join([w] * n)) for k, *counts in talks for turn, (w, n) in enumerate(zip(["ba", "bado"], counts, strict=True)) if n]
+    spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duck.cursor()
+    con.sql(f"CREATE TEMP VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(catalogue.oracle_sql()["report_rows"]).fetchall()
+    got = [tuple(r) for r in catalogue.queries()["report_rows"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert any(row and row.endswith(" 64.2%") for _, row in got)
+
+
 def test_names_are_distinct_and_entry_runs(spark):
     import __spark_entry__ as e
 

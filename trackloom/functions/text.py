@@ -36,6 +36,12 @@ def latin_syllables(word: Column) -> Column:
     return F.greatest(n - F.when(silent, 1).otherwise(0), F.lit(1)).cast("int")
 
 
+def fixed(x: Column, digits: int, width: int = 0) -> Column:
+    """x with so many digits after the point, right-aligned, as C's printf: the double's exact value is rounded, halves
+    to the even digit (format_string rounds the shortest decimal form, halves up)."""
+    return F.when(x.isNotNull(), F.format_string(f"%{width or ''}s", F.call_function("format_number", x, F.lit("0." + "0" * digits))))
+
+
 def strip_marks(word: Column) -> Column:
     """Marks off both ends, lowered; the lowered word if nothing is left."""
     bare = F.lower(F.regexp_replace(word, f"^{PUNCTUATION}+|{PUNCTUATION}+$", ""))

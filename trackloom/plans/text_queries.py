@@ -166,7 +166,9 @@ def match_ratio(spark, sf):
 
 def report_rows(spark, sf):
     x = line_stats(spark, sf)
-    return x.select("conv_id", F.format_string("%5d %4d words %5d morae %5.1f%%", F.col("conv_id"), F.col("n_words"), F.col("morae"), F.col("n_words") * 100.0 / F.col("morae")).alias("row"))
+    share = tx.fixed(F.col("n_words") * 100.0 / F.col("morae"), 1, 5)
+    row = F.format_string("%5d %4d words %5d morae %s%%", F.col("conv_id"), F.col("n_words"), F.col("morae"), share)
+    return x.select("conv_id", F.when(F.col("conv_id").isNotNull(), row).alias("row"))
 
 
 def distinct_in_order(spark, sf):
