@@ -296,6 +296,15 @@ def test_link_words_equals_the_search_word_by_word(spark):
     assert {(r.li, r.wi): None if r.start is None else pytest.approx((r.start, r.end, r.prob)) for r in got.collect()} == want
 
 
+def test_link_words_broadcasts_nothing(spark):
+    """However few bytes Spark expects: it doesn't count what explosions and the search make of a row."""
+    lines = spark.createDataFrame([("s", 0, "ab cd")], "k string, li int, text string")
+    pieces = spark.createDataFrame([("s", 0, "ab", 0.0, 0.4, 0.9), ("s", 1, "cd", 0.5, 0.9, 0.9)], "k string, pi int, text string, start double, end double, prob double")
+    got = layout.link_words(lines, pieces, ["k"])
+    assert {(r.w, r.start, r.end) for r in got.collect()} == {("ab", 0.0, 0.4), ("cd", 0.5, 0.9)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fixed_rounds_as_printf(spark):
     values = [64.25, 64.75, 0.15, 0.35, 0.05, 99.95, 100.0, 1234567.25, -2.25, 0.0]
     got = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select("v", tx.fixed(F.col("v"), 1, 5).alias("s")).collect()

@@ -143,7 +143,10 @@ def build_lines(words: DataFrame, keys: list[str], line: str, order: str, phase:
 def link_words(lines: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
     """lines (keys, li, text), pieces (keys, pi, text, start, end, prob) -> (keys, li, wi, w, start, end, prob) of every
     word, times null where nothing was heard: sound pieces, common blocks of the two folded character streams, and of a
-    word's matched characters the best cluster in time."""
+    word's matched characters the best cluster in time.
+
+    All joins are by sort and merge: rows are put at one for each row before an explosion or a UDTF, so by size words and
+    characters of any number would be broadcast."""
     from trackloom.functions import text as tx
     from trackloom.operators.sequences import MatchingBlocks
 
@@ -159,16 +162,17 @@ def link_words(lines: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFram
         x = rows.withColumn("_0", F.sum(n).over(Window.partitionBy(*keys).orderBy(*order)) - n).filter(n > 0)
         return x.withColumn(at, F.explode(F.sequence(F.col("_0").cast("int"), (F.col("_0") + n - 1).cast("int"))))
 
-    both = stream(words, ["li", "wi"], "_a").join(stream(heard, ["pi"], "_b"), keys)
+    both = stream(words, ["li", "wi"], "_a").join(stream(heard, ["pi"], "_b").hint("merge"), keys)
     # few bytes, much work: dealt anew by number, partitions aren't joined into fewer ones
     both = both.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = both.lateralJoin(MatchingBlocks(F.col("_a").outer(), F.col("_b").outer()).alias("m")).filter("m.size > 0")
     blocks = blocks.select(*keys, F.col("m.a").alias("_p"), F.col("m.b").alias("_q"), F.explode(F.sequence(F.lit(0), F.col("m.size") - 1)).alias("_k"))
     at = blocks.select(*keys, (F.col("_p") + F.col("_k")).alias("_p"), (F.col("_q") + F.col("_k")).alias("_q"))
-    hits = at.join(places(words, ["li", "wi"], "_p").select(*keys, "li", "wi", "_p"), [*keys, "_p"]).join(places(heard, ["pi"], "_q").select(*keys, "start", "end", "prob", "_q"), [*keys, "_q"])
+    of_words, of_heard = places(words, ["li", "wi"], "_p").select(*keys, "li", "wi", "_p"), places(heard, ["pi"], "_q").select(*keys, "start", "end", "prob", "_q")
+    hits = at.join(of_words.hint("merge"), [*keys, "_p"]).join(of_heard.hint("merge"), [*keys, "_q"])
     ids = [*keys, "li", "wi"]
-    found = clusters(hits.select(*ids, "start", "end", "prob"), ids).join(words.select(*ids, F.greatest(F.length("_f"), F.lit(1)).alias("_len")), ids)
-    return words.drop("_f").join(best_cluster(found, ids, F.col("_len")), ids, "left")
+    found = clusters(hits.select(*ids, "start", "end", "prob"), ids).join(words.select(*ids, F.greatest(F.length("_f"), F.lit(1)).alias("_len")).hint("merge"), ids)
+    return words.drop("_f").join(best_cluster(found, ids, F.col("_len")).hint("merge"), ids, "left")
 
 
 def accept_refined(old: DataFrame, new: DataFrame, keys: list[str], longest: float = 12.0) -> DataFrame:
