@@ -141,6 +141,30 @@ def test_differences_in_a_group_without_a_common_shingle(spark, families):
     assert linked and all(find(a) == find(b) for a, b in linked)
 
 
+def test_a_groups_common_shingles_are_told_in_few_rows(spark, monkeypatch):
+    """1,000 classes in two groups, each of 40 common shingles, 10 that half of the classes have and 30 of its own: not a
+    row for each shingle of a class, though all classes are counted."""
+    rng = np.random.default_rng(5)
+    half = rng.random((1000, 10)) < 0.5
+    of = [np.sort(np.r_[np.arange(40), 100 + np.nonzero(half[k])[0], 1000 + 30 * k + np.arange(30)]).astype(np.int64) for k in range(1000)]
+    key = [k.to_bytes(16, "big") for k in range(1000)]
+    groups = spark.createDataFrame([(c, x, 1000) for c in (b"c", b"d") for x in key], "c binary, key binary, m long")
+    sets = spark.createDataFrame([(x, v.tobytes()) for x, v in zip(key, of, strict=True)], "key binary, set binary")
+    total = spark.sparkContext.accumulator(0)
+    inner = neardup._majorities
+
+    def watched(batches):
+        for out in inner(batches):
+            total.add(out.num_rows)
+            yield out
+
+    monkeypatch.setattr(neardup, "_majorities", watched)
+    seen = {(bytes(r.c), r.shingle): r.seen for r in neardup._counted(groups, sets).collect()}
+    assert {k: n for k, n in seen.items() if k[1] < 40} == {(c, k): 1000 for c in (b"c", b"d") for k in range(40)}
+    assert all(n <= half[:, k - 100].sum() for (_, k), n in seen.items() if k >= 40)
+    assert 0 < total.value <= 2 * 20 * 50 < 0.02 * 2 * sum(map(len, of))
+
+
 @pytest.mark.parametrize("small", [0, 10**6])
 def test_connected_components(spark, small):
     rng = random.Random(2)

@@ -12,10 +12,11 @@ Candidates are drawn only between classes not yet in one component:
   also paired with one leader; then the region is divided by the next label value (a depth of its own for each
   region: as deep as it stays dense) and treated likewise, down to the full depth;
 * what is then still apart in a dense region is compared by differences: B holds the shingles that most of the
-  region's classes have, D(x) is what x has beyond B or lacks of it. Since |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|,
-  a pair far from B is linked only if its D share enough elements: a join on them, with bounds on how many can still
-  follow (rarest first), gives the candidates; each class is compared with the one nearest to B for its size, which
-  is linked with both classes of any linked pair whose D share nothing.
+  region's classes have (counted in chunks of about CHUNK classes, where most of a chunk have them; any B gives the same
+  links, so one that barely most classes have may be missing), D(x) is what x has beyond B or lacks of it. Since
+  |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, a pair far from B is linked only if its D share enough elements: a join on
+  them, with bounds on how many can still follow (rarest first), gives the candidates; each class is compared with the
+  one nearest to B for its size, which is linked with both classes of any linked pair whose D share nothing.
 In dense regions pairs that can't be linked are left out by an exact bound: a shingle that only one class of all
 dense regions has is private to it, and what two classes share is at most either one's shingles that aren't. The
 class with the fewest private shingles, the middle of its region, leads.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import BROADCAST_IDS, cut, free, lean, small_or_not
 from trackloom.llm.graphs import components
 
-TREES, DEPTH, SMALL, NEXT = 16, 6, 32, 3
+TREES, DEPTH, SMALL, NEXT, CHUNK = 16, 6, 32, 3, 64
 
 
 class WordHashes(dict):
@@ -173,6 +174,38 @@ def _private(sets: DataFrame) -> DataFrame:
     return once.groupBy("key").agg(F.count("*").alias("u"))
 
 
+def _majorities(batches: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """(c, chunk, set) in order -> (c, shingle, seen): the shingles that more than half of a chunk's classes have, and how
+    many have them. A chunk is taken in parts of about `most` bytes."""
+    held: list[np.ndarray] = []
+    at, size = (None, None), 0
+
+    def told() -> pa.RecordBatch:
+        shingles, seen = np.unique(np.concatenate(held), return_counts=True)
+        common = 2 * seen > len(held)
+        return pa.RecordBatch.from_arrays([pa.array([at[0]] * int(common.sum()), pa.binary()), pa.array(shingles[common]), pa.array(seen[common])], ["c", "shingle", "seen"])
+
+    for batch in batches:
+        for c, chunk, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if held and ((c, chunk) != at or size >= most):
+                yield told()
+                held, size = [], 0
+            at = (c, chunk)
+            held.append(np.frombuffer(x.as_buffer(), np.int64).copy())
+            size += held[-1].nbytes
+    if held:
+        yield told()
+
+
+def _counted(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """groups (c, key, m), m the number of c's classes -> (c, shingle, seen): in how many classes a shingle was counted
+    that most classes of some chunk have. Sets are read as they are: a class is in up to TREES groups, and a row for each
+    shingle in each of them would be many."""
+    chunk = F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / CHUNK)).alias("chunk")
+    rows = groups.select("c", "key", chunk).join(sets, "key").select("c", "chunk", "set").repartition("c", "chunk").sortWithinPartitions("c", "chunk")
+    return rows.mapInArrow(lean(_majorities), "c binary, shingle long, seen long").groupBy("c", "shingle").agg(F.sum("seen").alias("seen"))
+
+
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(c, key, n, u, root, set, common) -> the elements of set ^ common, each with their number."""
     for batch in _slices(batches, 5):
@@ -190,8 +223,7 @@ def _pairs_by_difference(groups: DataFrame, sets: DataFrame, num: int, den: int,
     apart = groups.groupBy("c").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 <> r1")
     apart = small_or_not(cut(apart.select("c", "m")))
     groups = cut(groups.join(apart, "c"))
-    held = groups.join(sets, "key").select("c", "set").mapInArrow(lean(_exploded), "key binary, shingle long")
-    common = held.groupBy(F.col("key").alias("c"), "shingle").count().join(apart, "c").filter(2 * F.col("count") > F.col("m"))
+    common = _counted(groups, sets).join(apart, "c").filter(2 * F.col("seen") > F.col("m"))
     common = cut(common.groupBy("c").agg(F.collect_list("shingle").alias("common")))
     n_common = common.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]
     # a group whose classes have no shingle in common has an empty B
